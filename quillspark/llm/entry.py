@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import tokenbin
+from quillspark.llm import mixing, ordinal, simhash, tokenbin
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_binary": tokenbin.op5,
+        "op6_mixing": mixing.op6,
+        "op7_simhash": simhash.op7,
+        "op9_quality_classifier": ordinal.op9,
     }
 
 
