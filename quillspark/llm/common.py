@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,63 @@ def batch_of(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def n_words(text: F.Column) -> F.Column:
     """Number of words of a text column; null: none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+class WordHasher:
+    """Cuts texts into words and hashes them, all by numpy.
+
+    ``fold`` is a table of 256 bytes that each byte goes through first (lower case, marks to blanks). A word's hash
+    is a polynomial over its bytes modulo 2 ** 64, taken from running sums, and its length.
+    """
+
+    _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
+
+    def __init__(self, fold: np.ndarray | None = None):
+        self.fold = fold
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, self._R, np.uint64)])
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, pow(self._R, -1, 1 << 64), np.uint64)])
+        return self.up, self.down
+
+    def __call__(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that lie in ``data`` from edge to edge: each word's begin, end and hash, and the edges counted in words."""
+        if not len(data):
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros(0, np.uint64), np.zeros(len(edges), np.int64)
+        if self.fold is not None:
+            data = self.fold[data]
+        black = ~BLANK[data]
+        begin, end = np.ones(len(data), bool), np.ones(len(data), bool)
+        begin[1:] = ~black[:-1]
+        begin[edges[:-1][edges[:-1] < len(data)]] = True
+        end[:-1] = begin[1:] | ~black[1:]
+        begins, ends = np.flatnonzero(begin & black), np.flatnonzero(end & black) + 1
+        up, down = self._powers(len(data) + 1)
+        sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
+        hashes = (sums[ends] - sums[begins]) * down[begins] * np.uint64(0xD6E8FEB86659FD93) + (ends - begins).astype(np.uint64)
+        return begins, ends, hashes, np.searchsorted(begins, edges)
+
+
+#: Bytes between words.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+#: Lower case for A to Z, and a blank for every ASCII mark.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[0x41:0x5B] += 32
+FOLD[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
+
+
+def pieces(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The UTF-8 bytes of a string column, some MB of whole texts at a time: first row, row after, bytes, edges. Null: no bytes."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + size, side="right")) - 1)
+        yield a, b, data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
+        a = b

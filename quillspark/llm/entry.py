@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing, ordinal, simhash, tokenbin
+from quillspark.llm import decontam, mixing, ordinal, simhash, tokenbin
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.op6,
         "op7_simhash": simhash.op7,
         "op9_quality_classifier": ordinal.op9,
+        "op10_decontamination": decontam.op10,
     }
 
 
