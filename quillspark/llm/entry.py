@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontam, mixing, ordinal, secrets, simhash, tokenbin
+from quillspark.llm import decontam, mixing, ordinal, perplexity, secrets, simhash, tokenbin
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1,
+        "op2_quality_rules": perplexity.op2,
         "op5_token_binary": tokenbin.op5,
         "op6_mixing": mixing.op6,
         "op7_simhash": simhash.op7,
