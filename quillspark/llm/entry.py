@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontam, mixing, ordinal, perplexity, secrets, simhash, tokenbin
+from quillspark.llm import chat, decontam, licenses, mixing, ordinal, perplexity, secrets, simhash, tokenbin
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1,
         "op2_quality_rules": perplexity.op2,
+        "op3_chat": chat.op3,
         "op5_token_binary": tokenbin.op5,
         "op6_mixing": mixing.op6,
         "op7_simhash": simhash.op7,
+        "op8_licenses": licenses.op8,
         "op9_quality_classifier": ordinal.op9,
         "op10_decontamination": decontam.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licenses": licenses.ORACLE_SQL}
