@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat, decontam, licenses, mixing, ordinal, perplexity, secrets, simhash, tokenbin
+from quillspark.llm import chat, decontam, licenses, masked, mixing, ordinal, perplexity, secrets, simhash, tokenbin
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.op1,
         "op2_quality_rules": perplexity.op2,
         "op3_chat": chat.op3,
+        "op4_masked_likelihood": masked.op4,
         "op5_token_binary": tokenbin.op5,
         "op6_mixing": mixing.op6,
         "op7_simhash": simhash.op7,
