@@ -149,9 +149,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, in the columns of ``docs``."""
-    taken = mix(docs.withColumn("_size", n_words(F.col("text"))), size=F.col("_size"), **options).where(F.col("copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: the rows of ``docs``, each as often as it is taken, in the columns of ``docs``, whatever their names."""
+    packed = docs.select("doc_id", "source", n_words(F.col("text")).alias("words"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    taken = mix(packed, size=F.col("words"), **options).where(F.col("copies") > 0)
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import table, texts
 
@@ -141,36 +142,41 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return fit([np.array(x, np.int64) for x in rows.column("slots").to_numpy(zero_copy_only=False)], rows.column("grade").to_numpy())
 
 
-SCORES = pa.schema([("expected_grade", pa.float64()), ("tail", pa.float64())])
+def judged(column: pa.Array, model: Model, seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grades and tail probabilities of a column of texts."""
+    raw = np.array([model.weights[features(t or "", seen)].sum(dtype=np.float64) for t in column.to_pylist()])
+    if not len(model.thresholds):
+        return np.full(len(raw), GRADES - 1.0), np.ones(len(raw))
+    tails = model.tails(raw)
+    return tails.sum(axis=1), tails[:, -1]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with expected_grade and tail = P(good); columns of these names are replaced."""
     docs = docs.drop("expected_grade", "tail")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("expected_grade", DoubleType()), StructField("tail", DoubleType())])
+    names = [*docs.columns, "expected_grade", "tail"]
+    schema = T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType())])
 
     def scored(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = sent.value, {}
+        seen: dict[bytes, int] = {}
         for frame in frames:
-            raw = np.array([m.weights[features(t, seen)].sum(dtype=np.float64) for t in texts(frame)])
-            if len(m.thresholds):
-                tails = m.tails(raw)
-                expected, tail = tails.sum(axis=1), tails[:, -1]
-            else:
-                expected, tail = np.full(len(raw), GRADES - 1.0), np.ones(len(raw))
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=[*names, "expected_grade", "tail"])
+            expected, tail = judged(frame.column("text"), sent.value, seen)
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=names)
 
     return docs.mapInArrow(scored, schema)
 
 
 def select(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """``docs`` whose tail probability is at least ``least``."""
-    columns = docs.columns
-    return score(docs, train(docs, labels, **options)).where(F.col("tail") >= least).select(*columns)
+    """The rows of ``docs`` whose tail probability is at least ``least``, with their columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+
+    def kept(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for frame in frames:
+            yield frame.filter(pa.array(judged(frame.column("text"), sent.value, seen)[1] >= least))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,9 +233,11 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A row without doc_id stays, as nothing tells which one it is; of repeated rows of the staying document one stays.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), radius).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, docs.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = near_duplicates(docs.select("doc_id", "text"), radius)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    known = docs.where(F.col("doc_id").isNotNull())
+    # USING the one shared name, so no other column's name matters
+    return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
