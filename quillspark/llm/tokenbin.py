@@ -21,6 +21,7 @@ row each, side by side. An empty table makes no block. Other columns are not rea
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import new_path, table
+from quillspark.llm.common import WordHasher, new_path, pieces, table
 
 BLOCK_IDS = 1 << 16
-#: Chunks whose ids a worker remembers; then it forgets all and starts anew.
-CACHE_CHUNKS = 500_000
+#: Chunks, and parts of chunks, whose ids a worker remembers; then it forgets all and starts anew.
+CACHE_CHUNKS, CACHE_PARTS = 1_000_000, 600_000
 
 BLOCKS = "part int, block int, first bigint, n_ids bigint, bits int, doc_ids array<bigint>, lens array<bigint>, payload binary"
 BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -68,17 +69,17 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """A tokenizer whose ids of blank-separated chunks are remembered.
+    """A tokenizer for blank-separated chunks, which remembers their parts.
 
     Holds for tokenizers that drop white space and never join across it, as the given word BPE does: encoding the
-    chunks apart then equals encoding the text. New chunks of a text are encoded in one call, divided by a special
-    token; a chunk that has this token's text in it is encoded by itself. A chunk of letters and closing marks is
+    chunks apart then equals encoding the text. Many chunks are encoded in one call, divided by a special token; a
+    chunk that has this token's text in it is encoded by itself. A chunk of letters and closing marks is
     looked up as these two, so that ``Word,`` and ``word`` share their work; plain letters go straight to the
     library's merge model, for which the other steps change nothing. Probes at the start switch both shortcuts off
     for a tokenizer that treats such chunks otherwise.
     """
 
-    MARKS = ".,;:!?$%&*#"
+    MARKS = b".,;:!?$%&*#"
 
     def __init__(self, file: str, divider: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
@@ -86,106 +87,194 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
         self.divider, self.divider_id = divider, self.tokenizer.token_to_id(divider)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+        # the characters that stand for bytes in the vocabulary: themselves if they can be seen, else from 256 on
+        seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
         self.plain = all(self._ids(a + b) == self._merged(a.lower()) + self._ids(b) for a, b in (("Hello", ",.!?"), ("ab", "$%&*#"), ("Extraordinarily", ";:")))
-        self.split = self.plain and self._ids("\u00c9t\u00e9!") == self._ids("\u00c9t\u00e9") + self._ids("!")
+        shown = "\u00e9t\u00ff\u0159".encode().decode("latin-1").translate(self.shown)
+        self.split = self.plain and self._ids("\u00c9t\u0178\u0158!") == self._merged(shown) + self._ids("!")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _merged(self, letters: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-
-    def _encode_apart(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {p: self._ids(p) for p in pieces if self.divider in p or self.divider_id is None}
-        even = [p for p in pieces if p not in out]
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _encode_apart(self, pieces: list[bytes]) -> None:
+        """Add ``pieces`` to the parts, many in one call."""
+        mark = self.divider.encode()
+        even = [p for p in pieces if self.divider_id is not None and mark not in p]
+        for p in set(pieces).difference(even):
+            self.parts[p] = self._ids(p.decode())
         for k in range(0, len(even), 128):
             part = even[k : k + 128]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.divider.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.divider.join([p.decode() for p in part])], add_special_tokens=False)[0].ids, "<u4")
             raw, a = ids.tobytes(), 0
             for p, b in zip(part, [*np.flatnonzero(ids == self.divider_id).tolist(), len(ids)]):
-                out[p] = raw[4 * a : 4 * b]
+                self.parts[p] = raw[4 * a : 4 * b]
                 a = b + 1
-        return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        known, parts = self.known, self.parts
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        if len(parts) > CACHE_CHUNKS:
+    def ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk as little-endian unsigned 32-bit integers."""
+        parts, marks = self.parts, self.MARKS
+        if len(parts) > CACHE_PARTS:
             parts.clear()
-        later: list[tuple[bytes, str, str]] = []
+            parts[b""] = b""
+        cut: list[tuple[bytes, bytes]] = []
+        missing: list[bytes] = []
         for c in chunks:
-            if c in known:
-                continue
-            text = c.decode()
-            core = text.rstrip(self.MARKS) if self.split else text
-            if core and self.split and core.isalpha():
-                tail = text[len(core) :]
-                if core.isascii():
-                    core = core.lower()
-                    if core not in parts:
-                        parts[core] = self._merged(core)
+            core = c.rstrip(marks)
+            tail = c[len(core) :]
+            if core.isalpha() and self.plain:  # A to Z only
+                core = core.lower()
+                if core not in parts:
+                    parts[core] = self._merged(core.decode())
+            elif self.split and core and (letters := core.decode()).isalpha():
+                if core not in parts:
+                    if max(letters) < "\u0250" and "\u0130" not in letters:  # composed, and lower case letter by letter
+                        parts[core] = self._merged(letters.lower().encode().decode("latin-1").translate(self.shown))
+                    else:
+                        missing.append(core)
             else:
-                core, tail = text, ""
-            later.append((c, core, tail))
-        missing = {p for _, core, tail in later for p in (core, tail) if p and p not in parts}
-        parts.update(self._encode_apart(list(missing)))
-        parts[""] = b""
-        for c, core, tail in later:
-            known[c] = parts[core] + parts[tail]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new: set[bytes] = set()
-        new.update(*split)
-        self.learn(new)
-        find = self.known.__getitem__
-        return [b"".join(map(find, chunks)) for chunks in split]
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoder(file: str) -> ChunkEncoder:
+                core, tail = c, b""
+                if core not in parts:
+                    missing.append(core)
+            if tail not in parts:
+                missing.append(tail)
+            cut.append((core, tail))
+        if missing:
+            self._encode_apart(list(set(missing)))
+        return [parts[core] + parts[tail] for core, tail in cut]
+
+
+class ChunkTable:
+    """Numpy hash table from chunks' 64-bit hashes to their ids, which lie in one pool."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(1 << 16, np.uint64)
+        self.slots = np.zeros(1 << 16, np.int64)
+        self.n = self.used = 0
+        self.starts, self.lens, self.pool = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), np.zeros(1 << 17, np.uint32)
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash is, or where it would go."""
+        mask = np.uint64(len(self.keys) - 1)
+        at = (hashes ^ (hashes >> np.uint64(29))) & mask
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            there = self.keys[at[open_]]
+            open_ = open_[(there != hashes[open_]) & (there != 0)]
+            at[open_] = (at[open_] + np.uint64(1)) & mask
+        return at.astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where there is none."""
+        at = self._places(hashes)
+        return np.where(self.keys[at] == hashes, self.slots[at], -1)
+
+    def _put(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        while len(hashes):
+            at = self._places(hashes)
+            self.keys[at] = hashes  # of those that want one place, the last has it
+            won = self.keys[at] == hashes
+            self.slots[at[won]] = slots[won]
+            hashes, slots = hashes[~won], slots[~won]
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Add hashes, each once and none of them there yet."""
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        while self.used + len(pool) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.n + len(ids) > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        if 2 * (self.n + len(ids)) > len(self.keys):
+            size, full = len(self.keys), self.keys != 0
+            while 2 * (self.n + len(ids)) > size:
+                size *= 2
+            keys, slots = self.keys[full], self.slots[full]
+            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+            self._put(keys, slots)
+        self.pool[self.used : self.used + len(pool)] = pool
+        self.starts[self.n : self.n + len(ids)] = self.used + np.cumsum(lens) - lens
+        self.lens[self.n : self.n + len(ids)] = lens
+        self._put(hashes, np.arange(self.n, self.n + len(ids)))
+        self.n, self.used = self.n + len(ids), self.used + len(pool)
+
+
+class Encoder:
+    """Encodes Arrow's string columns: chunks are cut, hashed and looked up by numpy, new ones go to the library."""
+
+    def __init__(self, file: str):
+        self.chunks, self.table, self.hasher = ChunkEncoder(file), ChunkTable(), WordHasher()
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the column's texts, and how many each text has. Null: none."""
+        out, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for _, _, data, edges in pieces(column):
+            ids, n = self._encode(data, edges)
+            out.append(ids)
+            counts.append(n)
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _encode(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins, ends, hashes, words = self.hasher(data, edges)
+        hashes[hashes == 0] = 1
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.table.n + len(distinct) > CACHE_CHUNKS:
+            self.table = ChunkTable()
+        slots = self.table.find(distinct)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            raw = data.tobytes()
+            self.table.add(distinct[new], self.chunks.ids_of([raw[a:b] for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist())]))
+            slots = self.table.find(distinct)
+        slots = slots[which]
+        lens = self.table.lens[slots]
+        total = np.r_[0, np.cumsum(lens)]
+        ids = self.table.pool[np.repeat(self.table.starts[slots] - total[:-1], lens) + np.arange(total[-1])]
+        return ids, np.diff(total[words])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(file: str) -> Encoder:
     """This worker's encoder; it lives as long as the worker, over many tasks."""
     if file not in _encoders:
         _encoders.clear()
-        _encoders[file] = ChunkEncoder(file)
+        _encoders[file] = Encoder(file)
     return _encoders[file]
 
 
 def _block_writer(file: str, end_id: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, block, first = encoder(file), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
         doc_ids: list = []
-        lens: list[int] = []
-        held: list[bytes] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal doc_ids, lens, held, size, block, first
-            ids = np.frombuffer(b"".join(held), "<u4")
-            out = [part], [block], [first], [len(ids)], [bits], [doc_ids], [lens], [pack(ids, bits)]
-            first, block = first + len(ids), block + 1
-            doc_ids, lens, held, size = [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, BLOCKS_ARROW)], schema=BLOCKS_ARROW)
+        lens = np.zeros(0, np.int64)
+        held = np.zeros(0, np.uint32)
+
+        def cut(n: int) -> pa.RecordBatch:
+            """A block of the first n documents held."""
+            nonlocal doc_ids, lens, held, block, first
+            size = int(lens[:n].sum())
+            row = part, block, first, size, bits, doc_ids[:n], lens[:n].tolist(), pack(held[:size], bits)
+            doc_ids, lens, held = doc_ids[n:], lens[n:], held[size:]
+            first, block = first + size, block + 1
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, BLOCKS_ARROW)], schema=BLOCKS_ARROW)
 
         for frame in frames:
-            for k in range(0, frame.num_rows, 64):
-                some = frame.slice(k, 64)
-                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode_many([x or "" for x in some.column(1).to_pylist()])):
-                    doc_ids.append(doc_id)
-                    lens.append(len(ids) // 4 + 1)
-                    held += ids, end
-                    size += lens[-1]
-                    if size >= BLOCK_IDS:
-                        yield flush()
+            for k in range(0, frame.num_rows, 500):
+                some = frame.slice(k, 500)
+                ids, n = enc.encode(some.column(1))
+                doc_ids += some.column(0).to_pylist()
+                held = np.concatenate([held, np.insert(ids, np.cumsum(n), np.uint32(end_id))])
+                lens = np.concatenate([lens, n + 1])
+                while len(held) >= BLOCK_IDS:
+                    yield cut(int(np.searchsorted(np.cumsum(lens), BLOCK_IDS)) + 1)
         if doc_ids:
-            yield flush()
+            yield cut(len(doc_ids))
 
     return blocks
 
@@ -200,12 +289,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks with ``start``, the ids of all documents before each. The parts' sums are one row a part."""
+    """The blocks with ``start``, the ids of all documents before each. The parts' sums are broadcast: one row for each partition of the write."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("part_start"))
-    return blocks.join(starts, blocks.part == starts.p).select(*blocks.columns, (F.col("part_start") + F.col("first")).alias("start"))
+    return blocks.join(F.broadcast(starts), blocks.part == starts.p).select(*blocks.columns, (F.col("part_start") + F.col("first")).alias("start"))
 
 
 def _block_reader(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
