@@ -61,9 +61,9 @@ BROADCAST_BYTES = 64 << 20
 _EXACT = 24
 
 
-def _strings(tree) -> tuple[list[str | None], list[frozenset[str]] | None]:
+def _strings(tree) -> tuple[set[str] | None, list[frozenset[str]]]:
     """Of a syntax tree: its strings, case folded, if they are few (else None), and clauses of trigrams."""
-    exact: set[str] | None = {""}
+    exact = {""}
     clauses: list[frozenset[str]] = [frozenset()]
 
     def grams(words: set[str]) -> list[frozenset[str]]:
@@ -72,8 +72,7 @@ def _strings(tree) -> tuple[list[str | None], list[frozenset[str]] | None]:
     def close() -> None:
         """The strings gathered so far end here; what they need joins the clauses."""
         nonlocal exact, clauses
-        if exact is not None:
-            clauses = [a | b for a, b in product(clauses, grams(exact))]
+        clauses = [a | b for a, b in product(clauses, grams(exact))]
         exact = {""}
 
     for op, arg in tree:
@@ -130,11 +129,10 @@ def trigram_query(pattern: str, most: int = 4) -> list[frozenset[str]]:
 
     A clause keeps ``most`` trigrams, picked alike in every clause: fewer only let more candidates through.
     """
-    strings, clauses = _strings(parser.parse(pattern))
-    clauses = {frozenset(sorted(c, key=lambda t: zlib.crc32(t.encode()))[:most]) for c in clauses}
-    if frozenset() in clauses:
-        return []
-    return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
+    implied = lambda cs: {c for c in cs if not any(d < c for d in cs)}
+    _, clauses = _strings(parser.parse(pattern))
+    clauses = implied({frozenset(sorted(c, key=lambda t: zlib.crc32(t.encode()))[:most]) for c in implied(set(clauses))})
+    return [] if frozenset() in clauses else sorted(clauses, key=sorted)
 
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
