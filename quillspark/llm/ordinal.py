@@ -78,10 +78,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.05, sparse: float = 5e-4, least_rows: int = 4) -> Model:
-    """Maximum likelihood by Adam on all rows at once, grades weighed evenly.
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.1, sparse: float = 3e-4, least_rows: int = 4) -> Model:
+    """Maximum likelihood by Adam on all rows at once; rare grades weigh more, by the square root of their rarity.
 
-    An absolute-value penalty (``sparse``) and a least number of rows of a slot (``least_rows``) leave weights only to
+    An absolute-value penalty on words (``sparse``) and a least number of rows of a slot (``least_rows``) leave weights only to
     what many documents of a grade share; else the many rare words of a long text would outvote the few that tell.
     """
     present = np.unique(grades)
@@ -96,7 +96,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: floa
     column, at = column[keep], at[keep]
     w = np.zeros(len(used))
     cut = np.array([-1.0, np.log(2.0)])  # first threshold, logarithm of the gap to the next
-    balance = len(grades) / (len(present) * np.bincount(grades, minlength=GRADES)[grades])
+    balance = np.sqrt(len(grades) / (len(present) * np.bincount(grades, minlength=GRADES)[grades]))
+    penalty = np.where(used < 1 << BITS, sparse, 0.0)
     above = grades[:, None] > np.arange(GRADES - 1)[None, :]
     m, v = [np.zeros_like(w), np.zeros_like(cut)], [np.zeros_like(w), np.zeros_like(cut)]
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -117,7 +118,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: floa
             pace = rate / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-4)
             x -= pace * (m[k] / (1 - 0.9**step))
             if k == 0:
-                x[:] = np.sign(x) * np.maximum(np.abs(x) - pace * sparse, 0)
+                x[:] = np.sign(x) * np.maximum(np.abs(x) - pace * penalty, 0)
     weights = np.zeros(size, np.float32)
     weights[used[common]] = w[common]
     return Model(weights, np.array([cut[0], cut[0] + np.exp(cut[1])]))
