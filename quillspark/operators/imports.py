@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.paths import base_name, folder, normalized, relative
 from quillspark.functions.text import SPACE
+from quillspark.sources.shared import written
 
 # The expression for imports, its braces escaped for Java, and the share of an importer's score.
 IMPORT = rf"import[{SPACE}]+(?:\{{[^}}]*\}}|[^;]+)[{SPACE}]+from[{SPACE}]+['\"]([^'\"]+)['\"]"
@@ -70,13 +68,13 @@ def boost_in_order(scored: DataFrame, pairs: DataFrame) -> DataFrame:
     triangular, and repeating the step settles it exactly after as many rounds as the longest chain of imports that
     follows the scan. Rounds are joins; each is cut off by a table in the shared folder.
     """
-    base = _table(scored.select("scan_index", "score"))
-    links = _table(pairs)
+    base = written(scored.select("scan_index", "score"), "scores")
+    links = written(pairs, "importers")
     now = base.select("scan_index", F.col("score").alias("now"))
     while True:
         of = base.join(now, "scan_index").select(F.col("scan_index").alias("j"), "score", "now")
         sums = links.join(of, "j").groupBy("i").agg(F.sum(F.when(F.col("j") < F.col("i"), F.col("now")).otherwise(F.col("score")) * SHARE).alias("boost"))
-        next_ = _table(_boosted(base, sums).select("scan_index", (F.col("score") + F.col("boost")).alias("now"), "boost"))
+        next_ = written(_boosted(base, sums).select("scan_index", (F.col("score") + F.col("boost")).alias("now"), "boost"), "boosts")
         old = now.select("scan_index", F.col("now").alias("old"))
         moved = next_.join(old, "scan_index").where(F.abs(F.col("now") - F.col("old")) > 1e-12).limit(1).count()
         now = next_.select("scan_index", "now")
@@ -84,17 +82,6 @@ def boost_in_order(scored: DataFrame, pairs: DataFrame) -> DataFrame:
             return _boosted(scored, next_.select(F.col("scan_index").alias("i"), "boost"))
 
 
-def _table(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder_ = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder_:
-        folder_ = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", folder_)
-    path = f"{folder_.rstrip('/')}/boost-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_boost(boosted: DataFrame) -> DataFrame:
     """Scores with the boost added (not held below 1), and the reason for it."""
     reason = F.concat(F.lit("Imported by "), F.floor(F.col("boost") * 100 + 0.5).cast("string"), F.lit(" highly relevant files"))

@@ -429,11 +429,12 @@ def cache_key(spark, d):
     return _read(spark, d, "documents").select("doc_id", cache.cache_key_of(F.col("source"), F.col("lang"), F.lit("a,b"), F.lit(True), F.col("doc_id")).alias("cache_key"))
 
 
-@query(f"WITH {TEXT_SQL}, a AS (SELECT path, md5(content) AS m1 FROM texts WHERE content IS NOT NULL), b AS (SELECT path, md5(CASE WHEN scan_index % 100 = 3 THEN content || 'x' ELSE content END) AS m2 FROM texts WHERE content IS NOT NULL AND scan_index % 100 <> 5) SELECT path, m1 AS stored, m2 AS current FROM a FULL JOIN b USING (path) WHERE m1 IS DISTINCT FROM m2")
+@query(f"WITH {TEXT_SQL}, a AS (SELECT path, md5(content) AS m1 FROM texts WHERE content IS NOT NULL), b AS (SELECT path, md5(CASE WHEN path LIKE '%/src3/%' THEN content || 'x' ELSE content END) AS m2 FROM texts WHERE content IS NOT NULL AND path NOT LIKE '%/es/src5/%') SELECT path, m1 AS stored, m2 AS current FROM a FULL JOIN b USING (path) WHERE m1 IS DISTINCT FROM m2")
 def cache_validity(spark, d):
     corpus = text_corpus(spark, d)
-    changed = F.when(F.col("scan_index") % 100 == 3, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
-    return cache.differences(cache.hashes(corpus), cache.hashes(corpus.where(F.col("scan_index") % 100 != 5).withColumn("content", changed)))
+    changed = F.when(F.col("path").like("%/src3/%"), F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+    later = corpus.where(~F.col("path").like("%/es/src5/%")).withColumn("content", changed)
+    return cache.differences(cache.hashes(corpus), cache.hashes(later))
 
 
 _REDUCED_SQL = f"{CODE_SQL}, r AS (SELECT scan_index, {_tokens_sql('content')} AS original_tokens, {_tokens_sql('skeleton')} AS skeleton_tokens FROM (SELECT scan_index, content, {_skeleton_sql(False)} AS skeleton FROM {_JOINED}))"
