@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import new_path, shared_dir, written
+
+__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "n_words", "new_path", "pieces", "shared_dir", "table", "texts", "written"]
+
 #: A word is a run of anything but these characters (space, tab to carriage return).
 #: ``bytes.split()`` splits at exactly this set, which the Python paths rely on.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,29 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and no executor's loss matters."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
