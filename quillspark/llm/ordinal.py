@@ -78,8 +78,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.1, sparse: float = 3e-4, least_rows: int = 4) -> Model:
-    """Maximum likelihood by Adam on all rows at once; rare grades weigh more, by the square root of their rarity.
+def fit(slots: np.ndarray, lens: np.ndarray, grades: np.ndarray, steps: int = 200, rate: float = 0.1, sparse: float = 3e-4, least_rows: int = 4) -> Model:
+    """Fit rows of ``lens`` slots each, which lie one after another in ``slots``.
+
+    Maximum likelihood by Adam on all rows at once; rare grades weigh more, by the square root of their rarity.
 
     An absolute-value penalty on words (``sparse``) and a least number of rows of a slot (``least_rows``) leave weights only to
     what many documents of a grade share; else the many rare words of a long text would outvote the few that tell.
@@ -88,12 +90,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: floa
     size = (1 << BITS) + SHAPES
     if len(present) < 2:
         return Model(np.zeros(size, np.float32), np.zeros(0))
-    lens = np.array([len(r) for r in rows])
-    slots, at = np.concatenate(rows), np.repeat(np.arange(len(rows)), lens)
-    used, column = np.unique(slots, return_inverse=True)
-    common = np.bincount(column) >= least_rows
-    keep = common[column]
-    column, at = column[keep], at[keep]
+    at = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    common = np.bincount(slots, minlength=size) >= least_rows
+    keep = common[slots]
+    slots, at = slots[keep], at[keep]
+    used = np.flatnonzero(common)
+    column = (np.cumsum(common, dtype=np.int32) - 1)[slots]
+    del keep, slots
     w = np.zeros(len(used))
     cut = np.array([-1.0, np.log(2.0)])  # first threshold, logarithm of the gap to the next
     balance = np.sqrt(len(grades) / (len(present) * np.bincount(grades, minlength=GRADES)[grades]))
@@ -102,14 +105,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: floa
     m, v = [np.zeros_like(w), np.zeros_like(cut)], [np.zeros_like(w), np.zeros_like(cut)]
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
-        score = np.bincount(at, weights=w[column], minlength=len(rows))
+        score = np.bincount(at, weights=w[column], minlength=len(lens))
         theta = np.array([cut[0], cut[0] + np.exp(cut[1])])
         tail = sig(score[:, None] - theta[None, :])
         p = np.where(grades == 0, 1 - tail[:, 0], np.where(grades == 1, tail[:, 0] - tail[:, 1], tail[:, 1]))
         slope = tail * (1 - tail)  # of each tail by the score
         d0 = np.where(grades == 0, -slope[:, 0], np.where(grades == 1, slope[:, 0], 0.0))
         d1 = np.where(grades == 1, -slope[:, 1], np.where(grades == 2, slope[:, 1], 0.0))
-        scale = -balance / np.maximum(p, 1e-9) / len(rows)
+        scale = -balance / np.maximum(p, 1e-9) / len(lens)
         by_score, by_theta = scale * (d0 + d1), np.array([-(scale * d0).sum(), -(scale * d1).sum()])
         gradients = [np.bincount(column, weights=by_score[at], minlength=len(used)), np.array([by_theta.sum(), by_theta[1] * np.exp(cut[1])])]
         for k, (x, g) in enumerate(zip((w, cut), gradients)):
@@ -120,7 +123,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: floa
             if k == 0:
                 x[:] = np.sign(x) * np.maximum(np.abs(x) - pace * penalty, 0)
     weights = np.zeros(size, np.float32)
-    weights[used[common]] = w[common]
+    weights[used] = w
     return Model(weights, np.array([cut[0], cut[0] + np.exp(cut[1])]))
 
 
@@ -135,12 +138,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     def found(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            yield pa.RecordBatch.from_arrays([frame.column("grade").cast(pa.int64()), pa.array([features(t) for t in texts(frame)], pa.list_(pa.int64()))], names=["grade", "slots"])
+            yield pa.RecordBatch.from_arrays([frame.column("grade").cast(pa.int32()), pa.array([features(t) for t in texts(frame)], pa.list_(pa.int32()))], names=["grade", "slots"])
 
     chosen = graded(labels).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows
-    rows = known.select("grade", "text").mapInArrow(found, "grade bigint, slots array<bigint>").limit(2 * max_labelled).toArrow()
-    return fit([np.array(x, np.int64) for x in rows.column("slots").to_numpy(zero_copy_only=False)], rows.column("grade").to_numpy())
+    rows = known.select("grade", "text").mapInArrow(found, "grade int, slots array<int>").limit(2 * max_labelled).toArrow()
+    slots, grades = rows.column("slots").combine_chunks(), rows.column("grade").to_numpy()
+    return fit(slots.flatten().to_numpy(), np.diff(slots.offsets.to_numpy()), grades)
 
 
 def judged(column: pa.Array, model: Model, seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ def corpus(n: int, seed: int) -> tuple[list[str], np.ndarray]:
 def test_held_out_accuracy():
     texts, grades = corpus(900, 1)
     rows = [ordinal.features(t) for t in texts]
-    model = ordinal.fit(rows[:600], grades[:600])
+    model = ordinal.fit(np.concatenate(rows[:600]), np.array([len(x) for x in rows[:600]]), grades[:600])
     assert model.thresholds[0] < model.thresholds[1]
     tails = model.tails(np.array([model.weights[x].sum(dtype=float) for x in rows[600:]]))
     assert (tails[:, 0] >= tails[:, 1]).all()
