@@ -11,9 +11,9 @@ of probabilities and back-off weights, searched by bisection for the distinct n-
 
 Languages are the ``LANGUAGES`` below, each with a model of its own; all other values, and null, share one, so the
 number of models is bounded as well. Bands: log-perplexities of the documents that pass the base rules and have
-``LEAST`` n-grams or more give each language a median and quartiles; documents further than ``WIDTH`` times the
-distance of the quartile on that side from the median, and at least ``SLACK`` in the logarithm, are rejected. Both
-ends scale with the language's own spread, so a corpus without outliers loses nothing.
+``LEAST`` n-grams or more give each language a median and quartiles; documents further from the median than ``WIDTH``
+times the distance of the quartile on that side are rejected. The language's own spread alone sets both ends; only a
+spread of next to nothing, as many copies of one text make it, counts as ``SLACK`` in the logarithm.
 
 Null and empty texts have no words, so the base rules reject them; perplexity is null then. Repeated rows count as
 often as they occur. Documents of fewer than ``LEAST`` n-grams, and languages without quartiles, get the base
@@ -35,7 +35,9 @@ ORDER = 4
 BITS = 5
 SYMBOLS = 1 << BITS
 LEAST = 200
-WIDTH, SLACK = 8.0, 0.15
+WIDTH, SLACK = 5.0, 0.03
+#: Bytes that are looked at in one go; the arrays for one take some thirty times as much.
+PIECE = 4 << 20
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "ru", "sv", "tr", "uk", "vi", "zh")
 OTHER = "other"
 
@@ -83,7 +85,7 @@ def counts(docs: DataFrame) -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         for frame in frames:
             names = np.array(frame.column("language").to_pylist(), object)
-            for a, b, data, edges in pieces(frame.column("text"), 8 << 20):
+            for a, b, data, edges in pieces(frame.column("text"), PIECE):
                 codes, n = grams(data, edges)
                 of = np.repeat(names[a:b], n)
                 for name in set(names[a:b].tolist()):
@@ -240,7 +242,7 @@ def measured(docs: DataFrame) -> DataFrame:
         for frame in frames:
             names = np.array(frame.column("language").to_pylist(), object)
             sums, sizes = np.zeros(frame.num_rows), np.zeros(frame.num_rows, np.int64)
-            for a, b, data, edges in pieces(frame.column("text"), 8 << 20):
+            for a, b, data, edges in pieces(frame.column("text"), PIECE):
                 codes, n = grams(data, edges)
                 of, value = np.repeat(names[a:b], n), np.zeros(len(codes))
                 for name in set(names[a:b].tolist()) & set(models):

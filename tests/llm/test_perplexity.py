@@ -100,6 +100,21 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert not kept[900] and all(kept[k] for k in range(200))
 
 
+def test_spread_alone_sets_the_band(spark):
+    """A text that is far out for its language goes, though it is near the median in absolute terms."""
+    r = np.random.default_rng(6)
+    parts = ["an", "er", "th", "on", "re", "in", "ing", "and"]
+    sentence = lambda n, end="": " ".join("".join(r.choice(parts, r.integers(1, 4))) + end for _ in range(n))
+    rows = [(k, sentence(600), "en") for k in range(150)]
+    rows.append((900, sentence(560) + " " + sentence(40, " |"), "en"))
+    found = perplexity.rule(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).toPandas().set_index("doc_id")
+    clean = found.log_perplexity[:150]
+    q = np.quantile(clean, [0.25, 0.5, 0.75])
+    assert found.high[0] - q[1] == pytest.approx(max(perplexity.WIDTH * (q[2] - q[1]), perplexity.SLACK), rel=0.1)
+    assert 0 < found.log_perplexity[900] - q[1] < 0.15 and not found.kept[900]
+    assert found.kept[:150].sum() >= 147
+
+
 def test_base_verdict(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").collect()}
     for r in perplexity.op2(spark, sf).where("doc_id is not null").collect():
