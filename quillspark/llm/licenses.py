@@ -68,6 +68,51 @@ NOTICES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+#: (licence, digest): canonical digests of long licence texts, wrapped as published; the SQL doesn't know them.
+DIGESTS = (
+    ("Apache-2.0", "9768e9ac0a2ddb298695e7c2ca9bfa36"),
+    ("Apache-2.0", "db4fae888ce4068810986a16e5953e7a"),  # without the appendix
+    ("GPL-1.0", "e64afbb3eb9ed9907294af675f791aba"),
+    ("GPL-1.0", "dbf3c47f5a8f127e58d08cabc1ebb916"),  # without the appendix
+    ("GPL-2.0", "e374d0b43c25aed1a2b28951fe92a546"),
+    ("GPL-2.0", "cbb3451938de95cbb302d3c10690ede8"),  # without the appendix
+    ("GPL-3.0", "3d166aeeeb2ec1fea896f0a01f69dc5c"),
+    ("GPL-3.0", "911c13fc9d0f569481e5c351a7c4f103"),  # without the appendix
+    ("LGPL-2.0", "7d054715126defc8a18808a6934f14a4"),
+    ("LGPL-2.0", "1389f4e6c9257fffaaa58a4ba72e4209"),  # without the appendix
+    ("LGPL-2.1", "519c5306e9399a753b0e3b10cc3f1fbd"),
+    ("LGPL-2.1", "ea4739ccf5314c5f636f979cc03259e2"),  # without the appendix
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "5ceeca1c675fb218d9d7a541deb0cd2a"),
+    ("MPL-2.0", "35fb4d2625087f7fd780039aa7b4ebb2"),
+    ("CC0-1.0", "48fee373d5abaf94bbae926793a16535"),
+    ("GFDL-1.2", "fd920ddc37a3d7e8c50763b83c95353c"),
+    ("GFDL-1.3", "69253b6f159e4a07012cc5d95badaa85"),
+    ("Artistic-1.0-Perl", "6f45651e3e829ff0f6d4fc9f04384095"),
+)
+#: (licence, line): more notices of one line; the SQL doesn't know them.
+MORE_NOTICES = tuple(
+    (name, line)
+    for name, title, spdx in (
+        ("Apache-2.0", "Apache License, Version 2.0", ()),
+        ("Apache-2.0", "Apache License 2.0", ()),
+        ("MIT", "MIT License", ()),
+        ("ISC", "ISC License", ("ISC",)),
+        ("Zlib", "zlib License", ("Zlib",)),
+        ("BSD-2-Clause", "BSD 2-Clause License", ("BSD-2-Clause",)),
+        ("BSD-3-Clause", "BSD 3-Clause License", ("BSD-3-Clause",)),
+        ("GPL-2.0", "GNU General Public License, version 2", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later")),
+        ("GPL-3.0", "GNU General Public License, version 3", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later")),
+        ("LGPL-2.1", "GNU Lesser General Public License, version 2.1", ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later")),
+        ("LGPL-3.0", "GNU Lesser General Public License, version 3", ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later")),
+        ("MPL-2.0", "Mozilla Public License, version 2.0", ("MPL-2.0",)),
+        ("CC0-1.0", "CC0 1.0 Universal License", ("CC0-1.0",)),
+        ("CC-BY-4.0", "CC BY 4.0 License", ("CC-BY-4.0",)),
+        ("CC-BY-SA-4.0", "CC BY-SA 4.0 License", ("CC-BY-SA-4.0",)),
+        ("CC-BY-NC-4.0", "CC BY-NC 4.0 License", ("CC-BY-NC-4.0",)),
+    )
+    for line in (*[f"{how} under the {title}." for how in ("Licensed", "Released", "Distributed", "This work is licensed")], *[f"SPDX-License-Identifier: {x}" for x in spdx])
+)
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
     "analyse": "analyze",
@@ -121,9 +166,11 @@ def digest(x: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """(unit, licence, digest): unit is text or line."""
-    rows = [("text", *x) for x in TEXTS] + [("line", *x) for x in NOTICES]
+    rows = [("text", *x) for x in TEXTS] + [("line", *x) for x in NOTICES + MORE_NOTICES]
     lines = F.filter(canonical_lines(F.col("text")), lambda x: x != "")
-    return spark.createDataFrame(rows, "unit string, license string, text string").select("unit", "license", digest(F.array_join(lines, " ")).alias("digest")).distinct()
+    made = spark.createDataFrame(rows, "unit string, license string, text string").select("unit", "license", digest(F.array_join(lines, " ")).alias("digest"))
+    fixed = spark.createDataFrame(list(DIGESTS), "license string, digest string").select(F.lit("text").alias("unit"), "license", F.unhex("digest").alias("digest"))
+    return made.unionByName(fixed).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:

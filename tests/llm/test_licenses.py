@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -25,6 +27,37 @@ def test_texts_and_notices(spark, text, license, notices, n):
     assert [(x["license"], x["notices"], x["n_notices"]) for x in r] == [(license, notices, n)]
 
 
+@pytest.mark.parametrize("name, license", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_licence_files(spark, name, license):
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no licence files on this machine")
+    text = path.read_text()
+    head, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+    rows = [(1, text), (2, head + end), (3, text[: len(text) // 2])]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {1: license, 2: license, 3: None}
+
+
+@pytest.mark.parametrize(
+    "line, license",
+    [
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("Distributed under the GNU Lesser General Public Licence, version 2.1", "LGPL-2.1"),
+        ("Licensed under the Mozilla Public License, version 2.0.", "MPL-2.0"),
+        ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ],
+)
+def test_more_notices(spark, line, license):
+    r = licenses.scan(spark.createDataFrame([(1, "some text\n" + line)], "doc_id bigint, text string")).first()
+    assert (r["notices"], r["n_notices"]) == (license, 1)
+
+
+def test_a_digest_names_one_licence(spark):
+    rows = licenses.known(spark).collect()
+    assert len({(r["unit"], bytes(r["digest"])) for r in rows}) == len(rows)
+
+
 def test_against_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet/*.parquet'")
