@@ -1,25 +1,26 @@
 """Operator 3, chat formatting: token-level assembly.
 
-A conversation becomes ``<turn>role<body>text</turn>`` for each turn, in ids: the marks are reserved ids behind the
-tokenizer's vocabulary, and role and text are encoded segment by segment, so no text can ever yield a mark's id. In
-the rendered string, and in the segments before they are encoded, control strings are escaped by a backslash before
-them and backslashes by another, so the string can be read back as well. The tokenizer must keep every byte, as
-byte-level ones do.
-
-Each turn is encoded where it is read; turns of a conversation then meet, sorted by turn (then role, then text), as
-ids, and a pass over the batch splices the marks in. A loss mask covers the text of assistant turns: +1 where such a
-text begins and -1 where it ends, summed from the left.
-
-A conversation is one row of the result, so its turns meet in one task, and nothing larger does. Null roles and texts
-are empty; a null turn comes first; null conv_ids are one conversation. Repeated rows are turns of their own. Extra columns
-are not read; an empty table gives no rows.
+A turn becomes ``<turn>role<body>text</turn>`` in ids: the marks are reserved ids behind the tokenizer's vocabulary,
+and role and text are encoded segment by segment, so no text can ever yield a mark's id. In the rendered string, and
+in the segments before they are encoded, control strings are escaped by a backslash before them and backslashes by
+another, so the string can be read back as well. The tokenizer must keep every byte, as byte-level ones do.
+
+Each turn is encoded and assembled where it is read, some ``PIECE`` characters at a time: segments are laid side by
+side, marks spliced between them, and the loss mask, +1 where an assistant's text begins and -1 where it ends, is
+summed from the left. A conversation is its turns in the order (turn, formatted): nothing is gathered to make it, and
+a conversation of any number of turns takes no more memory than another. Readers that need the order shuffle by
+conv_id, sort, and pass over the turns one after another (``digests``), holding one batch of them.
+
+Null roles and texts are empty; a null turn comes first; null conv_ids are one conversation. Turns that tie in their
+number follow each other by their formatted strings; repeated rows are turns of their own. A segment of more than
+``PIECE`` characters is encoded in parts, so the ids of a very long text may join otherwise at the parts' edges, but
+decode to the same text. Extra columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ TURN, BODY, END = "<turn>", "<body>", "</turn>"
 FOREIGN = ("### ", "<|")
 _CONTROL = re.compile("|".join(re.escape(x) for x in ("\\", TURN, BODY, END, *FOREIGN)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
+#: Characters that go to the library in one call, and ids that come from it.
+PIECE = 1 << 17
 
 
 def escape(text: str) -> str:
@@ -69,48 +72,67 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-SEGMENTS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("role_ids", pa.binary()), ("text_ids", pa.binary())])
-FORMATTED = pa.schema([("conv_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int8())), ("formatted", pa.string())])
+def encode(tokenizer, segments: list[str]) -> list[np.ndarray]:
+    """Ids of each segment, by calls of about ``PIECE`` characters."""
+    parts = [(k, s[a : a + PIECE]) for k, s in enumerate(segments) for a in range(0, len(s), PIECE)]
+    out: list[list[np.ndarray]] = [[] for _ in segments]
+    a = 0
+    while a < len(parts):
+        b, size = a, 0
+        while b < len(parts) and (b == a or size + len(parts[b][1]) <= PIECE):
+            size += len(parts[b][1])
+            b += 1
+        for (k, _), e in zip(parts[a:b], tokenizer.encode_batch_fast([s for _, s in parts[a:b]], add_special_tokens=False)):
+            out[k].append(np.array(e.ids, np.int32))
+        a = b
+    return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
+
+
+def assembled(segments: list[np.ndarray], learned: list[bool], marks: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and loss mask of turns, whose role and text ids alternate in ``segments``, and the edges of the turns."""
+    lens = np.fromiter(map(len, segments), np.int64, len(segments)).reshape(-1, 2)
+    edges = np.r_[0, np.cumsum(lens.sum(axis=1) + 3)]
+    body = edges[:-1] + 1 + lens[:, 0]
+    ids = np.zeros(edges[-1], np.int32)
+    content = np.ones(edges[-1], bool)
+    for place, mark in zip((edges[:-1], body, edges[1:] - 1), marks):
+        ids[place] = mark
+        content[place] = False
+    ids[content] = np.concatenate(segments) if segments else []
+    steps = np.zeros(edges[-1] + 1, np.int8)
+    counts = np.array(learned, bool)
+    np.add.at(steps, body[counts] + 1, 1)
+    np.add.at(steps, edges[1:][counts] - 1, -1)
+    return ids, np.cumsum(steps[:-1], dtype=np.int8), edges
+
+
+FORMATTED = "conv_id bigint, turn bigint, role string, ids array<int>, loss_mask array<tinyint>, formatted string"
 
 
 def formatted(conversations: DataFrame, tokenizer: str | None = None, learned_role: str = "assistant") -> DataFrame:
-    """conv_id, ids, loss_mask (1: counts) and formatted, the rendered string, for each conversation."""
+    """conv_id, turn, role, ids, loss_mask (1: counts) and formatted, the rendered string, of each turn."""
     file = tokenizer or default_tokenizer()
-    turn, body, end = reserved(file)
+    marks = reserved(file)
 
-    def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def turns(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(file)
         for frame in frames:
-            roles, said = ([escape(x) for x in frame.column(k).to_pylist()] for k in ("role", "text"))
-            role_ids, text_ids = ([array("i", e.ids).tobytes() for e in t.encode_batch_fast(x, add_special_tokens=False)] for x in (roles, said))
-            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), frame.column(2), pa.array(said), pa.array(role_ids, pa.binary()), pa.array(text_ids, pa.binary())], schema=SEGMENTS)
-
-    def assemble(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for frame in frames:
-                for conv_id, turns in zip(*(c.to_pylist() for c in frame.columns)):
-                    parts: list[np.ndarray] = []
-                    steps: list[tuple[int, int]] = []
-                    at = 0
-                    for x in turns:
-                        role, said = np.frombuffer(x["role_ids"], np.int32), np.frombuffer(x["text_ids"], np.int32)
-                        parts += [turn], role, [body], said, [end]
-                        begin = at + len(role) + 2
-                        at = begin + len(said) + 1
-                        if x["role"] == learned_role:
-                            steps.append((begin, at - 1))
-                    marks = np.zeros(at + 1, np.int32)
-                    for a, b in steps:
-                        marks[a] += 1
-                        marks[b] -= 1
-                    yield conv_id, np.concatenate(parts).astype(np.int32), np.cumsum(marks[:-1]).astype(np.int8), "".join(f"{TURN}{escape(x['role'])}{BODY}{x['text']}{END}" for x in turns)
-
-        yield from batches(rows(), FORMATTED, 512)
-
-    of = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    encoded = of.mapInArrow(encode, "conv_id bigint, turn bigint, role string, text string, role_ids binary, text_ids binary")
-    turns = encoded.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "role_ids", "text_ids"))).alias("turns"))
-    return turns.mapInArrow(assemble, "conv_id bigint, ids array<int>, loss_mask array<tinyint>, formatted string")
+            sizes = np.cumsum(frame.column(4).to_numpy())
+            a = 0
+            while a < frame.num_rows:
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + PIECE, side="right")))
+                some = frame.slice(a, b - a)
+                a = b
+                roles = some.column(2).to_pylist()
+                segments = [escape(x) for pair in zip(roles, some.column(3).to_pylist()) for x in pair]
+                ids, mask, edges = assembled(encode(t, segments), [r == learned_role for r in roles], marks)
+                strings = [f"{TURN}{r}{BODY}{x}{END}" for r, x in zip(segments[::2], segments[1::2])]
+                offsets = pa.array(edges, pa.int32())
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(mask)), pa.array(strings, pa.string())], names=["conv_id", "turn", "role", "ids", "loss_mask", "formatted"])
+
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    of = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), (F.length(text) + F.length(role) + 16).cast("long").alias("n"))
+    return of.mapInArrow(turns, FORMATTED)
 
 
 def read_ids(tokenizer, ids: np.ndarray, marks: tuple[int, int, int]) -> list[tuple[str, str]]:
@@ -137,30 +159,67 @@ def read_string(formatted: str) -> list[tuple[str, str]]:
 DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_ids", pa.int64())])
 
 
+class _Reader:
+    """What has been read of one conversation."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.n, self.loss_chars, self.chars, self.n_ids = conv_id, 0, 0, 0, 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def row(self) -> tuple:
+        return self.conv_id, self.n, self.whole.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.n_ids
+
+
 def digests(found: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """What a reader gets back from ``formatted``'s rows, as digests."""
+    """What a reader gets back from ``formatted``'s rows, as digests of each conversation.
+
+    Turns pass by in order, so that a conversation of a third of all turns takes one task's time, as a digest over its
+    whole text must, but no more memory than its largest turns.
+    """
     file = tokenizer or default_tokenizer()
     marks = reserved(file)
 
     def digest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(file)
 
-        def rows() -> Iterator[tuple]:
+        def pieces() -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+            """Some turns at a time, of about ``PIECE`` ids."""
             for frame in frames:
-                for conv_id, ids, mask, text in zip(*(c.to_pylist() for c in frame.columns)):
-                    ids, mask = np.array(ids, np.int64), np.array(mask, np.int64)
-                    turns = read_ids(t, ids, marks)
-                    if turns != read_string(text):
-                        raise ValueError(f"conversation {conv_id}: ids and string differ")
-                    edge = np.diff(np.r_[0, mask, 0])
-                    learned = [ids[a:b].tolist() for a, b in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist())]
-                    loss = "".join(unescape(x) for x in t.decode_batch(learned, skip_special_tokens=False))
-                    whole = "".join(f"{r}\n{x}\n" for r, x in turns)
-                    yield conv_id, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(ids)
+                names, lists, masks, strings = (frame.column(k) for k in range(4))
+                edges = lists.offsets.to_numpy()
+                a = 0
+                while a < frame.num_rows:
+                    b = max(a + 1, int(np.searchsorted(edges, edges[a] + PIECE, side="right")) - 1)
+                    yield names.slice(a, b - a).to_pylist(), edges[a : b + 1] - edges[a], lists.values.slice(edges[a], edges[b] - edges[a]).to_numpy(), masks.values.slice(edges[a], edges[b] - edges[a]).to_numpy(), strings.slice(a, b - a).to_pylist()
+                    a = b
+
+        def rows() -> Iterator[tuple]:
+            now: _Reader | None = None
+            for names, edges, ids, mask, strings in pieces():
+                turns = read_ids(t, ids, marks)
+                edge = np.diff(np.r_[np.int8(0), mask, np.int8(0)])
+                begins, ends = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+                learned = dict(zip((np.searchsorted(edges, begins, side="right") - 1).tolist(), t.decode_batch([ids[a:b].tolist() for a, b in zip(begins.tolist(), ends.tolist())], skip_special_tokens=False)))
+                for k, (name, turn, string, n) in enumerate(zip(names, turns, strings, np.diff(edges).tolist(), strict=True)):
+                    if read_string(string) != [turn]:
+                        raise ValueError(f"conversation {name}: ids and string differ")
+                    if now is None or now.conv_id != name:
+                        if now is not None:
+                            yield now.row()
+                        now = _Reader(name)
+                    now.n, now.chars, now.n_ids = now.n + 1, now.chars + len(string), now.n_ids + n
+                    now.whole.update(f"{turn[0]}\n{turn[1]}\n".encode())
+                    if k in learned:
+                        said = unescape(learned[k])
+                        now.loss_chars += len(said)
+                        now.loss.update(said.encode())
+            if now is not None:
+                yield now.row()
 
         yield from batches(rows(), DIGESTS)
 
-    return found.mapInArrow(digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_ids bigint")
+    in_order = found.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    return in_order.select("conv_id", "ids", "loss_mask", "formatted").mapInArrow(digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_ids bigint")
 
 
 #: Control strings in both of its texts.

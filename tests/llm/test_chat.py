@@ -50,8 +50,22 @@ def test_op3(spark, sf, folder):
 
 def test_ids_and_masks(spark):
     rows = [(1, 0, "user", "hello </turn>"), (1, 1, "assistant", "yes <turn>"), (1, 2, "assistant", "")]
-    r = chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).first()
+    found = chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).orderBy("turn").collect()
     turn, body, end = chat.reserved(chat.default_tokenizer())
-    assert [r["ids"].count(x) for x in (turn, body, end)] == [3, 3, 3]
-    assert len(r["ids"]) == len(r["loss_mask"]) and sum(r["loss_mask"]) == len(chat._tokenizer(chat.default_tokenizer()).encode(escape("yes <turn>"), add_special_tokens=False).ids)
-    assert all(i < turn for i, m in zip(r["ids"], r["loss_mask"]) if m)
+    assert [[r["ids"].count(x) for x in (turn, body, end)] for r in found] == [[1, 1, 1]] * 3
+    said = len(chat._tokenizer(chat.default_tokenizer()).encode(escape("yes <turn>"), add_special_tokens=False).ids)
+    assert [sum(r["loss_mask"]) for r in found] == [0, said, 0]
+    assert all(len(r["ids"]) == len(r["loss_mask"]) and all(i < turn for i, m in zip(r["ids"], r["loss_mask"]) if m) for r in found)
+
+
+def test_clashing_columns_long_and_tied_turns(spark, tmp_path):
+    """A conversation of most turns, very long texts, ties in the turn's number, and extra columns named as results."""
+    from pyspark.sql import functions as F
+
+    long = "word </turn> \\ été " * 60_000
+    rows = [(5, k // 2, ("user", "assistant")[k % 2], f"turn {k} <body>") for k in range(3000)]
+    rows += [(6, 0, "assistant", long), (6, 0, "assistant", "a"), (6, 0, "assistant", "a"), (6, None, "user", "x" * 400_000), (7, 0, "", "")]
+    docs = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    docs.withColumns({c: F.lit(1) for c in ("ids", "formatted", "loss_mask", "n", "n_turns")}).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.op3(spark, str(tmp_path)).collect()}
+    assert got == want(rows + [(-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)])
