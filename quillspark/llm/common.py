@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.shared import new_path, shared_dir, written
 
-__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "n_words", "new_path", "pieces", "shared_dir", "table", "texts", "written"]
+__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "mixed", "n_words", "new_path", "parts", "pieces", "shared_dir", "table", "texts", "written"]
 
 #: A word is a run of anything but these characters (space, tab to carriage return).
 #: ``bytes.split()`` splits at exactly this set, which the Python paths rely on.
@@ -53,21 +53,17 @@ def n_words(text: F.Column) -> F.Column:
 class WordHasher:
     """Cuts texts into words and hashes them, all by numpy.
 
-    ``fold`` is a table of 256 bytes that each byte goes through first (lower case, marks to blanks). A word's hash
-    is a polynomial over its bytes modulo 2 ** 64, taken from running sums, and its length.
+    ``fold`` is a table of 256 bytes that each byte goes through first (lower case, marks to blanks). A word's hash is
+    a sum of random 64-bit values, one for each byte at each place, mixed. Sums can be taken up where they were left,
+    so texts of any length are hashed ``WINDOW`` bytes at a time; what is held of all of it are a few bytes a byte.
+    Equal hashes almost surely mean equal words; whoever needs certainty compares the bytes.
     """
 
-    _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
+    WINDOW = 1 << 18
+    _VALUES = np.random.default_rng(11).integers(0, 1 << 64, 64 * 256, np.uint64)
 
     def __init__(self, fold: np.ndarray | None = None):
         self.fold = fold
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, self._R, np.uint64)])
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, pow(self._R, -1, 1 << 64), np.uint64)])
-        return self.up, self.down
 
     def __call__(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of texts that lie in ``data`` from edge to edge: each word's begin, end and hash, and the edges counted in words."""
@@ -82,10 +78,29 @@ class WordHasher:
         begin[edges[:-1][edges[:-1] < len(data)]] = True
         end[:-1] = begin[1:] | ~black[1:]
         begins, ends = np.flatnonzero(begin & black), np.flatnonzero(end & black) + 1
-        up, down = self._powers(len(data) + 1)
-        sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
-        hashes = (sums[ends] - sums[begins]) * down[begins] * np.uint64(0xD6E8FEB86659FD93) + (ends - begins).astype(np.uint64)
-        return begins, ends, hashes, np.searchsorted(begins, edges)
+        del begin, end
+        hashes = (ends - begins).astype(np.uint64)
+        for a in range(0, len(data), self.WINDOW):
+            b = a + self.WINDOW
+            i, j = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(begins, b, side="left"))
+            n = np.minimum(ends[i:j], b) - np.maximum(begins[i:j], a)
+            at = np.flatnonzero(black[a:b])  # the bytes of these words, one after another
+            place = at + a - np.repeat(begins[i:j], n)
+            value = self._VALUES[((place & 63) << 8) | data[a:b][at]]
+            far = np.flatnonzero(place >= 64)
+            if len(far):
+                value[far] = mixed(value[far] + (place[far] >> 6).astype(np.uint64))
+            sums = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
+            upto = np.cumsum(n)
+            hashes[i:j] += sums[upto] - sums[upto - n]
+        return begins, ends, mixed(hashes), np.searchsorted(begins, edges)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit integers, each to another, all bits of it changed."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 #: Bytes between words.
@@ -98,13 +113,34 @@ FOLD[0x41:0x5B] += 32
 FOLD[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
 
 
-def pieces(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """The UTF-8 bytes of a string column, some MB of whole texts at a time: first row, row after, bytes, edges. Null: no bytes."""
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column and where each text begins in them. Null: no bytes."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), edges
+
+
+def pieces(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The UTF-8 bytes of a string column, some MB of whole texts at a time: first row, row after, bytes, edges. Null: no bytes."""
+    data, edges = _buffers(column)
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(edges, edges[a] + size, side="right")) - 1)
         yield a, b, data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
         a = b
+
+
+def parts(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``pieces``, but a text of more than ``size`` bytes comes in several, cut behind blanks: then its row comes again."""
+    for a, b, data, edges in pieces(column, size):
+        at = 0
+        while len(data) - at > size:
+            step = size
+            while step < len(data) - at and not BLANK[data[at + step - 1]]:
+                back = np.flatnonzero(BLANK[data[at + step - size : at + step]])
+                step = step - size + int(back[-1]) + 1 if len(back) else step + size
+            if step >= len(data) - at:
+                break
+            yield a, b, data[at : at + step], np.array([0, step])
+            at += step
+        yield a, b, data[at:], edges - at if at == 0 else np.array([0, len(data) - at])

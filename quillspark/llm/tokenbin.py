@@ -15,7 +15,8 @@ Texts are encoded after the range sort, so only texts are shuffled, once. Global
 parts, one row for each part.
 
 Null text counts as empty; an empty text is the end id alone. A null doc_id comes first. Repeated doc_ids keep one
-row each, side by side. An empty table makes no block. Other columns are not read.
+row each, side by side; rows that tie in doc_id follow each other by text. A very long text is encoded some MB at a
+time, cut behind blanks. An empty table makes no block. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WordHasher, new_path, pieces, table
+from quillspark.llm.common import WordHasher, new_path, parts, table
 
 BLOCK_IDS = 1 << 16
 #: Chunks, and parts of chunks, whose ids a worker remembers; then it forgets all and starts anew.
@@ -149,13 +150,14 @@ class ChunkEncoder:
 
 
 class ChunkTable:
-    """Numpy hash table from chunks' 64-bit hashes to their ids, which lie in one pool."""
+    """Numpy hash table from chunks' 64-bit hashes to their bytes and their ids, which lie in a pool each."""
 
     def __init__(self) -> None:
         self.keys = np.zeros(1 << 16, np.uint64)
         self.slots = np.zeros(1 << 16, np.int64)
-        self.n = self.used = 0
+        self.n = self.used = self.written = 0
         self.starts, self.lens, self.pool = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), np.zeros(1 << 17, np.uint32)
+        self.begins, self.sizes, self.bytes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), np.zeros(1 << 18, np.uint8)
 
     def _places(self, hashes: np.ndarray) -> np.ndarray:
         """Where each hash is, or where it would go."""
@@ -181,42 +183,67 @@ class ChunkTable:
             self.slots[at[won]] = slots[won]
             hashes, slots = hashes[~won], slots[~won]
 
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
-        """Add hashes, each once and none of them there yet."""
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    def store(self, chunks: list[bytes], ids: list[bytes]) -> np.ndarray:
+        """Slots of chunks that are put into the pools, under no hash as yet."""
+        pool, raw = np.frombuffer(b"".join(ids), "<u4"), np.frombuffer(b"".join(chunks), np.uint8)
+        lens, sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.fromiter(map(len, chunks), np.int64, len(chunks))
+        twice = lambda x: np.concatenate([x, np.zeros_like(x)])
         while self.used + len(pool) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool = twice(self.pool)
+        while self.written + len(raw) > len(self.bytes):
+            self.bytes = twice(self.bytes)
         while self.n + len(ids) > len(self.starts):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        if 2 * (self.n + len(ids)) > len(self.keys):
+            self.starts, self.lens, self.begins, self.sizes = map(twice, (self.starts, self.lens, self.begins, self.sizes))
+        self.pool[self.used : self.used + len(pool)] = pool
+        self.bytes[self.written : self.written + len(raw)] = raw
+        slots = np.arange(self.n, self.n + len(ids))
+        self.starts[slots], self.lens[slots] = self.used + np.cumsum(lens) - lens, lens
+        self.begins[slots], self.sizes[slots] = self.written + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used, self.written = self.n + len(ids), self.used + len(pool), self.written + len(raw)
+        return slots
+
+    def add(self, hashes: np.ndarray, chunks: list[bytes], ids: list[bytes]) -> None:
+        """Add chunks under their hashes, each of which comes once and is not there yet."""
+        slots = self.store(chunks, ids)
+        if 2 * self.n > len(self.keys):
             size, full = len(self.keys), self.keys != 0
-            while 2 * (self.n + len(ids)) > size:
+            while 2 * self.n > size:
                 size *= 2
-            keys, slots = self.keys[full], self.slots[full]
+            keys, held = self.keys[full], self.slots[full]
             self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-            self._put(keys, slots)
-        self.pool[self.used : self.used + len(pool)] = pool
-        self.starts[self.n : self.n + len(ids)] = self.used + np.cumsum(lens) - lens
-        self.lens[self.n : self.n + len(ids)] = lens
-        self._put(hashes, np.arange(self.n, self.n + len(ids)))
-        self.n, self.used = self.n + len(ids), self.used + len(pool)
+            self._put(keys, held)
+        self._put(hashes, slots)
+
+    def others(self, slots: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the chunks ``data[begins:ends]`` have other bytes than their slots."""
+        sizes = ends - begins
+        upto = np.cumsum(sizes)
+        along = np.arange(upto[-1] if len(upto) else 0)
+        mine = data[np.repeat(begins - (upto - sizes), sizes) + along]
+        held = self.bytes[np.minimum(np.repeat(self.begins[slots] - (upto - sizes), sizes) + along, len(self.bytes) - 1)]
+        out = self.sizes[slots] != sizes
+        out[np.searchsorted(upto, np.flatnonzero(mine != held), side="right")] = True
+        return np.flatnonzero(out)
 
 
 class Encoder:
-    """Encodes Arrow's string columns: chunks are cut, hashed and looked up by numpy, new ones go to the library."""
+    """Encodes Arrow's string columns: chunks are cut, hashed and looked up by numpy, new ones go to the library.
+
+    A hash only says where to look: each chunk's bytes are compared with those of the chunk found there, and one that
+    shares its hash with another is encoded by itself.
+    """
 
     def __init__(self, file: str):
         self.chunks, self.table, self.hasher = ChunkEncoder(file), ChunkTable(), WordHasher()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts, and how many each text has. Null: none."""
-        out, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for _, _, data, edges in pieces(column):
+        out, counts = [np.zeros(0, np.uint32)], np.zeros(len(column), np.int64)
+        for a, b, data, edges in parts(column):
             ids, n = self._encode(data, edges)
             out.append(ids)
-            counts.append(n)
-        return np.concatenate(out), np.concatenate(counts)
+            counts[a:b] += n
+        return np.concatenate(out), counts
 
     def _encode(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins, ends, hashes, words = self.hasher(data, edges)
@@ -227,15 +254,23 @@ class Encoder:
         slots = self.table.find(distinct)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = data.tobytes()
-            self.table.add(distinct[new], self.chunks.ids_of([raw[a:b] for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist())]))
+            raw = self._raw(data, begins[first[new]], ends[first[new]])
+            self.table.add(distinct[new], raw, self.chunks.ids_of(raw))
             slots = self.table.find(distinct)
         slots = slots[which]
+        other = self.table.others(slots, data, begins, ends)
+        if len(other):
+            raw = self._raw(data, begins[other], ends[other])
+            slots[other] = self.table.store(raw, self.chunks.ids_of(raw))
         lens = self.table.lens[slots]
         total = np.r_[0, np.cumsum(lens)]
         ids = self.table.pool[np.repeat(self.table.starts[slots] - total[:-1], lens) + np.arange(total[-1])]
         return ids, np.diff(total[words])
 
+    @staticmethod
+    def _raw(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        return [data[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -284,7 +319,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     from tokenizers import Tokenizer
 
     bits = bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
-    by_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    by_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     by_id.mapInArrow(_block_writer(tokenizer, end_id, bits), BLOCKS).write.option("compression", "zstd").parquet(path)
 
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillspark.llm import tokenbin
+from quillspark.llm import common, tokenbin
 from quillspark.llm.tokenbin import Encoder, pack, unpack
 
 FILE = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -75,3 +75,60 @@ def test_random_access(spark, sf, tmp_path):
     assert part == whole[90:1200]
     tokenizer = Tokenizer.from_file(FILE)
     assert whole == [x for r in docs.orderBy("doc_id").collect() for x in [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1]]
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_chunks_that_collide_in_polynomial_hashes(encoder, n):
+    found = [thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))]
+    ids, counts = encoder.encode(pa.array(found))
+    want = [encoder.chunks.tokenizer.encode(x, add_special_tokens=False).ids for x in found]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_equal_hashes_are_told_apart():
+    """With a hash that only knows a word's length, every chunk still has its own ids."""
+    enc = Encoder(FILE)
+    whole = enc.hasher
+
+    def poor(data, edges):
+        begins, ends, _, words = whole(data, edges)
+        return begins, ends, (ends - begins).astype(np.uint64), words
+
+    enc.hasher = poor
+    found = ["one two six ten", None, "two one", "alpha gamma delta sigma", "six"]
+    for _ in range(2):
+        ids, n = enc.encode(pa.array(found))
+        want = [enc.chunks.tokenizer.encode(x or "", add_special_tokens=False).ids for x in found]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_long_texts_are_cut_behind_blanks(encoder):
+    r = np.random.default_rng(1)
+    found = ["ab", " ".join(map(str, r.integers(0, 5000, 900_000))), "x" * 50_000 + " y", ""]
+    column = pa.array(found)
+    sizes = [len(d) for _, _, d, _ in common.parts(column, 1 << 16)]
+    assert max(sizes) <= 1 << 16 and sum(sizes) == sum(map(len, found))
+    ids, n = encoder.encode(column)
+    want = [encoder.chunks.tokenizer.encode(x, add_special_tokens=False).ids for x in found]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+@given(st.lists(st.text("ab \n.é", max_size=300), max_size=5), st.integers(1, 40))
+@settings(max_examples=200, deadline=None)
+def test_hashes_by_windows(found, size):
+    """Words hash alike wherever they stand and whatever the windows and parts."""
+    hasher, small = common.WordHasher(), common.WordHasher()
+    small.WINDOW = size
+    held: dict = {}
+    for h in (hasher, small):
+        for a, b, data, edges in common.parts(pa.array(found, pa.string()), 64):
+            begins, ends, hashes, cut = h(data, edges)
+            for x, y, v in zip(begins, ends, hashes.tolist()):
+                assert held.setdefault(data[x:y].tobytes(), v) == v
+            assert len(cut) == len(edges)
+    assert len(set(held.values())) == len(held)
+    assert set(held) == {w for x in found for w in x.encode().split()}
