@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.shared import new_path, shared_dir, written
 
-__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "mixed", "n_words", "new_path", "parts", "pieces", "shared_dir", "table", "texts", "written"]
+__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "few", "head_from", "mixed", "n_words", "new_path", "parts", "pieces", "shared_dir", "size_class", "slices", "table", "texts", "written"]
 
 #: A word is a run of anything but these characters (space, tab to carriage return).
 #: ``bytes.split()`` splits at exactly this set, which the Python paths rely on.
@@ -45,6 +45,37 @@ def batch_of(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def slices(frame: pa.RecordBatch, column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch, some MB of one of its string columns at a time; at least a row."""
+    a, upto = 0, np.cumsum(pc.fill_null(pc.binary_length(frame.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while a < frame.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + size, side="right")))
+        yield frame.slice(a, b - a)
+        a = b
+
+
+def few(rows: DataFrame, tag: str, most: int = 10_000) -> DataFrame:
+    """``rows``, written to the shared folder, and marked for broadcasting only if they are counted to be ``most`` or fewer."""
+    rows = written(rows, tag)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def head_from(sizes: DataFrame, most: int) -> int:
+    """From (n), the least ``size_class`` such that ``most`` rows at most are of it or a higher one: what is common, whole classes of it."""
+    room, least = most, 1 << 20
+    # a class is a quarter of a power of two, so there are some 250
+    for r in sorted(sizes.groupBy(size_class(F.col("n")).alias("k")).count().collect(), key=lambda r: -r["k"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["k"]
+    return least
+
+
+def size_class(n: F.Column) -> F.Column:
+    return F.floor(4 * F.log2(n)).cast("int")
+
+
 def n_words(text: F.Column) -> F.Column:
     """Number of words of a text column; null: none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

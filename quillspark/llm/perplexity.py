@@ -2,22 +2,28 @@
 
 The base rules count words, symbols, repeated lines and repeated windows of three words in each whole text.
 
-The model is of character n-grams. Bytes of the lower-case text are folded onto ``SYMBOLS`` symbols (letters, digit,
-blank, mark, and four for the bytes beyond ASCII), so there are at most ``SYMBOLS ** ORDER`` n-grams of a language,
-whatever the corpus: that bound is what lets the model be broadcast. Spark counts all n-grams of all texts, each
-task handing on the sums of its batches; continuation counts, counts of counts and the three discounts of each order
-follow by grouping. A language's model is a sorted array of 64-bit n-gram hashes for each order, with parallel arrays
-of probabilities and back-off weights, searched by bisection for the distinct n-grams of a batch.
-
-Languages are the ``LANGUAGES`` below, each with a model of its own; all other values, and null, share one, so the
-number of models is bounded as well. Bands: log-perplexities of the documents that pass the base rules and have
-``LEAST`` n-grams or more give each language a median and quartiles; documents further from the median than ``WIDTH``
-times the distance of the quartile on that side are rejected. The language's own spread alone sets both ends; only a
-spread of next to nothing, as many copies of one text make it, counts as ``SLACK`` in the logarithm.
+The model is of n-grams of ``ORDER`` characters of the lower-case text, one model for each value of ``lang`` (null and
+empty: one). A character is one of ``SYMBOLS`` symbols: itself below U+0800, so the letters of Latin, Greek, Cyrillic,
+Hebrew and Arabic stay apart; those beyond share the other half by a hash; white space, digits and ASCII marks are one
+symbol each. Spark counts all n-grams of all texts; continuation counts, counts of counts, the three discounts of each
+order and the interpolated probabilities follow by grouping and joins over the distinct n-grams. A probability is kept
+as its *cost*, -ln p in whole millionths, so that sums do not depend on their order.
+
+A text is scored by the distinct n-grams of a piece of it. The most common n-grams, ``HEAD`` at most over all
+languages, are broadcast as sorted arrays of 64-bit hashes with their costs, searched by bisection. What is not found
+there leaves the task as (row, n-gram, times) and meets the rest of the model in a join; the sums are the same
+whatever the part that is broadcast. Both models and tails grow with the corpus, and nothing of them with it in memory.
+
+Bands: the log-perplexities, to a ten-thousandth, of the documents that pass the base rules and have ``LEAST``
+n-grams or more give each language a median and quartiles; documents further from the median than ``WIDTH`` times the
+distance of the quartile on that side are rejected. Only a spread of next to nothing, as many copies of one text make
+it, counts as ``SLACK`` in the logarithm.
 
 Null and empty texts have no words, so the base rules reject them; perplexity is null then. Repeated rows count as
-often as they occur. Documents of fewer than ``LEAST`` n-grams, and languages without quartiles, get the base
-verdict. Extra columns are not read; an empty table gives no rows.
+often as they occur. Documents of fewer than ``LEAST`` n-grams, and those of languages with fewer than ``LEAST_DOCS``
+documents to make a band of, get the base verdict. A document on a band's very edge is kept. Very long texts are
+scored ``PIECE`` characters at a time; the base rules hold the words of one text. Extra columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,86 +35,127 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batch_of, pieces, table, texts, written
+from quillspark.llm.common import batch_of, few, head_from, mixed, size_class, slices, table, texts, written
 
-ORDER = 4
-BITS = 5
+ORDER = 5
+BITS = 12
 SYMBOLS = 1 << BITS
-LEAST = 200
+LEAST, LEAST_DOCS = 200, 20
 WIDTH, SLACK = 5.0, 0.03
-#: Bytes that are looked at in one go; the arrays for one take some thirty times as much.
-PIECE = 4 << 20
-LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "ru", "sv", "tr", "uk", "vi", "zh")
-OTHER = "other"
-
-
-def _symbols() -> np.ndarray:
-    fold = np.full(256, 28, np.uint8)  # marks
-    fold[[0x20, *range(0x09, 0x0E)]] = 0
-    fold[0x30:0x3A] = 27
-    for k in range(26):
-        fold[0x41 + k] = fold[0x61 + k] = 1 + k
-    # beyond ASCII: the quarter of the continuation byte, and one symbol for all leading bytes
-    fold[0x80:0xA0], fold[0xA0:0xC0], fold[0xC0:] = 29, 30, 31
+#: N-grams that are broadcast, 12 bytes each.
+HEAD = 1 << 20
+#: Characters that are looked at in one go; the arrays for one take some forty bytes.
+PIECE = 1 << 19
+#: Distinct n-grams that a task sums up before it hands them on.
+HELD = 1 << 20
+UNIT = 1_000_000
+_PAD = " " * (ORDER - 1)
+_BLANKS = np.array([0x20, *range(0x09, 0x0E)])
+
+
+def _ascii() -> np.ndarray:
+    fold = np.arange(128, dtype=np.int64)
+    fold[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x2E  # marks
+    fold[_BLANKS] = 0x20
+    fold[0x30:0x3A] = 0x30
     return fold
 
 
-FOLD = _symbols()
+_ASCII = _ascii()
 
 
-def grams(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of texts that lie in ``data`` from edge to edge, and how many each text has.
+def symbols(text: str) -> np.ndarray:
+    """The symbols of a lower-case text."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    out = points.astype(np.int64)
+    plain = points < 128
+    out[plain] = _ASCII[points[plain]]
+    far = points >= SYMBOLS // 2
+    if far.any():
+        out[far] = SYMBOLS // 2 + (mixed(points[far].astype(np.uint64)) % np.uint64(SYMBOLS // 2)).astype(np.int64)
+    return out
 
-    A text counts as following blanks, so that every byte is the end of one n-gram.
-    """
-    sizes = np.diff(edges)
-    pad = ORDER - 1
-    wide = np.zeros(len(data) + pad * len(sizes), np.uint32)
-    wide[np.arange(len(data)) + pad * (np.repeat(np.arange(len(sizes)), sizes) + 1)] = FOLD[data]
-    codes = np.zeros(len(wide) - pad, np.uint32) if len(wide) >= pad else np.zeros(0, np.uint32)
+
+def grams(found: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams that end in each text of (the ORDER - 1 characters before it, text), and how many each has."""
+    sizes = np.fromiter((len(x) for _, x in found), np.int64, len(found))
+    wide = symbols("".join(before + x for before, x in found))
+    codes = np.zeros(max(0, len(wide) - ORDER + 1), np.int64)
     for k in range(ORDER):
         codes = (codes << BITS) | wide[k : k + len(codes)]
-    # n-grams that begin in one text's padding and end in the next text don't exist: each text has as many as bytes
-    starts = edges[:-1] + pad * np.arange(len(sizes))
-    return codes[np.repeat(starts - edges[:-1], sizes) + np.arange(len(data))], sizes
-
-
-def _language() -> F.Column:
-    return F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(F.lit(OTHER))
+    # n-grams that begin in one text and end in the next are none: each text has as many as characters
+    return codes[np.repeat((ORDER - 1) * np.arange(len(sizes)), sizes) + np.arange(sizes.sum())], sizes
+
+
+def _pieces(frame: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Language, rows, codes and how many each row has: texts of a language together, a long one in several pieces."""
+    names = np.array(frame.column("language").to_pylist(), object)
+    found = texts(frame)
+    for name in sorted(set(names.tolist())):
+        rows: list[int] = []
+        held: list[tuple[str, str]] = []
+        size = 0
+        for row in np.flatnonzero(names == name).tolist():
+            text = found[row].lower()
+            for a in range(0, len(text), PIECE):
+                part = text[a : a + PIECE]
+                rows.append(row)
+                held.append((text[a - ORDER + 1 : a] if a else _PAD, part))
+                size += len(part)
+                if size >= PIECE:
+                    yield name, np.array(rows), *grams(held)
+                    rows, held, size = [], [], 0
+        if held:
+            yield name, np.array(rows), *grams(held)
+
+
+def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    distinct, which = np.unique(codes, return_inverse=True)
+    return distinct, np.bincount(which, weights=n, minlength=len(distinct)).astype(np.int64)
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """(language, code, n): how often each n-gram occurs in the texts of ``docs`` (language, text)."""
-    schema = pa.schema([("language", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("language", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, found in held.items():
+                codes, n = summed(*(np.concatenate(x) for x in zip(*found)))
+                for k in range(0, len(codes), 1 << 16):
+                    c = codes[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), pa.array(c), pa.array(n[k : k + (1 << 16)])], schema=schema)
+            held.clear()
+
         for frame in frames:
-            names = np.array(frame.column("language").to_pylist(), object)
-            for a, b, data, edges in pieces(frame.column("text"), PIECE):
-                codes, n = grams(data, edges)
-                of = np.repeat(names[a:b], n)
-                for name in set(names[a:b].tolist()):
-                    if name not in sums:
-                        sums[name] = np.zeros(SYMBOLS**ORDER, np.int64)
-                    sums[name] += np.bincount(codes[of == name], minlength=SYMBOLS**ORDER)
-        for name, s in sums.items():  # as many as there are languages
-            there = np.flatnonzero(s)
-            for k in range(0, len(there), 1 << 15):
-                part = there[k : k + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part.astype(np.int32)), pa.array(s[part])], schema=schema)
-
-    return docs.select("language", "text").mapInArrow(count, "language string, code int, n bigint").groupBy("language", "code").agg(F.sum("n").alias("n"))
+            for some in slices(frame):
+                for name, _, codes, _ in _pieces(some):
+                    held.setdefault(name, []).append(np.unique(codes, return_counts=True))
+            if sum(len(c) for found in held.values() for c, _ in found) > 2 * HELD:
+                for name, found in held.items():
+                    held[name] = [summed(*(np.concatenate(x) for x in zip(*found)))]
+                if sum(len(found[0][0]) for found in held.values()) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    return docs.select("language", "text").mapInArrow(count, "language string, code bigint, n bigint").groupBy("language", "code").agg(F.sum("n").alias("n"))
+
+
+def _suffix(level: int) -> F.Column:
+    return F.col("code").bitwiseAND(F.lit((1 << (BITS * (level - 1))) - 1))
 
 
 def levels(counted: DataFrame) -> DataFrame:
     """(language, level, code, n): counts of the highest order, continuation counts of the lower ones, down to one symbol."""
     out = counted.withColumn("level", F.lit(ORDER))
     now = counted
-    for level in range(ORDER - 1, 0, -1):
+    for level in range(ORDER, 1, -1):
         # how many different symbols the n-gram follows
-        now = now.groupBy("language", F.expr(f"code & {(1 << (BITS * level)) - 1}").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-        out = out.unionByName(now.withColumn("level", F.lit(level)))
+        now = now.groupBy("language", _suffix(level).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(now.withColumn("level", F.lit(level - 1)))
     return out.select("language", "level", "code", "n")
 
 
@@ -122,75 +169,62 @@ def discounted(level_counts: DataFrame) -> DataFrame:
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
     of = [F.when(known, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(float(k) - 0.05))).otherwise(0.5 * k).alias(f"d{k}") for k in (1, 2, 3)]
-    rows = level_counts.join(some.select("language", "level", *of), ["language", "level"]).withColumn("context", F.expr(f"shiftright(code, {BITS})"))
+    rows = level_counts.join(few(some.select("language", "level", *of), "gram-discounts"), ["language", "level"]).withColumn("context", F.shiftright("code", BITS))
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     # a context is followed by at most SYMBOLS different symbols
     mine = Window.partitionBy("language", "level", "context")
     total = F.sum("n").over(mine)
-    return rows.withColumn("share", (F.col("n") - d) / total).withColumn("left", F.sum(d).over(mine) / total).select("language", "level", "code", "context", "share", "left")
+    return rows.withColumn("share", (F.col("n") - d) / total).withColumn("left", F.sum(d).over(mine) / total).select("language", "level", "code", "n", "share", "left")
 
 
-def hashed(codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of n-gram codes, a different one for each code."""
-    h = codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Model:
-    """One language's sorted hash arrays: for each level hashes and probabilities, and contexts' hashes and weights."""
-
-    def __init__(self, level: np.ndarray, code: np.ndarray, context: np.ndarray, share: np.ndarray, left: np.ndarray):
-        self.probability: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.weight: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in range(1, ORDER + 1):
-            here = level == k
-            c, first = np.unique(context[here], return_index=True)
-            self.weight[k] = self._sorted(c, left[here][first])
-            lower = np.full(here.sum(), 1.0 / SYMBOLS) if k == 1 else self._level(k - 1, code[here] & ((1 << (BITS * (k - 1))) - 1))
-            self.probability[k] = self._sorted(code[here], share[here] + left[here] * lower)
-
-    @staticmethod
-    def _sorted(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def costs(counted: DataFrame) -> DataFrame:
+    """(language, code, n, cost) of the n-grams of the highest order: interpolated through all lower ones."""
+    rows = written(discounted(written(levels(counted), "gram-levels")), "gram-shares")
+    lower = None
+    for level in range(1, ORDER + 1):
+        here = rows.where(F.col("level") == level).drop("level")
+        if lower is None:
+            p = F.col("share") + F.col("left") / SYMBOLS
+        else:
+            # every n-gram's suffix has been counted, and at most SYMBOLS n-grams have one suffix
+            here = here.withColumn("_suffix", _suffix(level)).join(lower, ["language", "_suffix"])
+            p = F.col("share") + F.col("left") * F.col("_lower")
+        here = here.withColumn("p", p)
+        lower = here.select("language", F.col("code").alias("_suffix"), F.col("p").alias("_lower"))
+    return here.select("language", "code", "n", F.round(-F.log("p") * UNIT).cast("long").alias("cost"))
+
+
+def train(docs: DataFrame) -> DataFrame:
+    """``costs`` of the texts of ``docs`` (language, text), written."""
+    return written(costs(written(counts(docs), "gram-counts")), "gram-costs")
+
+
+class Head:
+    """One language's common n-grams: sorted 64-bit hashes and their costs."""
+
+    def __init__(self, codes: np.ndarray, cost: np.ndarray):
         h = hashed(codes)
         order = np.argsort(h)
-        return h[order], values[order].astype(np.float32)
+        self.keys, self.costs = h[order], cost[order].astype(np.int32)
 
-    @staticmethod
-    def _find(arrays: tuple[np.ndarray, np.ndarray], codes: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = arrays
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Cost of each n-gram, -1 where it is not here."""
+        if not len(self.keys):
+            return np.full(len(codes), -1)
         h = hashed(codes)
-        if not len(keys):
-            return np.zeros(len(h), bool), np.full(len(h), default)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        there = keys[at] == h
-        return there, np.where(there, values[at], default).astype(np.float64)
-
-    def _level(self, k: int, codes: np.ndarray) -> np.ndarray:
-        """Probabilities of the last symbols of n-grams of ``k`` symbols; what wasn't seen backs off."""
-        there, p = self._find(self.probability[k], codes, 0.0)
-        lost = np.flatnonzero(~there)
-        if len(lost):
-            lower = np.full(len(lost), 1.0 / SYMBOLS) if k == 1 else self._level(k - 1, codes[lost] & ((1 << (BITS * (k - 1))) - 1))
-            p[lost] = self._find(self.weight[k], codes[lost] >> BITS, 1.0)[1] * lower
-        return p
-
-    def surprise(self, codes: np.ndarray) -> np.ndarray:
-        """Negative natural logarithms of the probabilities, looked up once for each distinct n-gram."""
-        times = np.bincount(codes, minlength=SYMBOLS**ORDER)
-        there = np.flatnonzero(times)
-        full = np.zeros(SYMBOLS**ORDER)
-        full[there] = -np.log(self._level(ORDER, there))
-        return full[codes]
-
-
-def train(docs: DataFrame) -> dict[str, Model]:
-    """A model of each language of ``docs`` (language, text); at most ``len(LANGUAGES) + 1`` of bounded size."""
-    counted = written(counts(docs), "gram-counts")
-    rows = discounted(levels(counted)).toArrow()
-    language, level, code, context, share, left = (c.to_numpy() for c in rows.columns)
-    return {name: Model(*(x[language == name] for x in (level, code.astype(np.int64), context.astype(np.int64), share, left))) for name in np.unique(language.astype(str)).tolist()}
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.costs[at], -1).astype(np.int64)
+
+
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-gram codes, a different one for each code."""
+    return mixed(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def heads(rows: pa.Table) -> dict[str, Head]:
+    language = rows.column("language").to_numpy()
+    code, cost = (rows.column(k).to_numpy() for k in ("code", "cost"))
+    return {name: Head(code[language == name], cost[language == name]) for name in set(language.tolist())}
 
 
 def base_rules(text: str) -> tuple[int, int, int, int, int]:
@@ -228,47 +262,67 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - blanks, symbols, dup, repeated
 
 
-RULED = "doc_id bigint, language string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_grams bigint, log_perplexity double"
-RULED_ARROW = pa.schema([("doc_id", pa.int64()), ("language", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("n_grams", pa.int64()), ("log_perplexity", pa.float64())])
+RULED = "row bigint, doc_id bigint, language string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_grams bigint, cost bigint, tail array<struct<code:bigint,times:bigint>>"
+RULED_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("language", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_())])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """The base rules and the log-perplexity of each row of ``docs`` (doc_id, lang, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("language"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs))
+def measured(docs: DataFrame, head: int = HEAD) -> DataFrame:
+    """The base rules and the log-perplexity of each row of ``docs`` (doc_id, lang, text), by the model of all of them."""
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("language"), "text")
+    model = train(docs)
+    common = size_class(F.col("n")) >= head_from(model, head)
+    sent = docs.sparkSession.sparkContext.broadcast(heads(model.where(common).select("language", "code", "cost").toArrow()))
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
-        for frame in frames:
-            names = np.array(frame.column("language").to_pylist(), object)
-            sums, sizes = np.zeros(frame.num_rows), np.zeros(frame.num_rows, np.int64)
-            for a, b, data, edges in pieces(frame.column("text"), PIECE):
-                codes, n = grams(data, edges)
-                of, value = np.repeat(names[a:b], n), np.zeros(len(codes))
-                for name in set(names[a:b].tolist()) & set(models):
-                    mine = of == name
-                    value[mine] = models[name].surprise(codes[mine])
-                total = np.r_[0.0, np.cumsum(value)]
-                sums[a:b], sizes[a:b] = total[edges[1:]] - total[edges[:-1]], n
+        none = Head(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for frame in (some for frame in frames for some in slices(frame)):
+            n_grams, cost = np.zeros(frame.num_rows, np.int64), np.zeros(frame.num_rows, np.int64)
+            open_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+            for name, row, codes, n in _pieces(frame):
+                distinct, which = np.unique(codes, return_inverse=True)
+                each = sent.value.get(name, none).find(distinct)
+                of = np.repeat(np.arange(len(row)), n)
+                np.add.at(cost, row, np.bincount(of, weights=np.maximum(each, 0)[which], minlength=len(row)).astype(np.int64))
+                np.add.at(n_grams, row, n)
+                lost = np.flatnonzero(each[which] < 0)
+                pairs, times = np.unique(of[lost] * len(distinct) + which[lost], return_counts=True)
+                open_.append((row[pairs // max(1, len(distinct))], distinct[pairs % max(1, len(distinct))], times))
+            row, code, times = (np.concatenate(x) for x in zip(*open_))
+            order = np.argsort(row, kind="stable")
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(frame.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(code[order]), pa.array(times[order])], names=["code", "times"]))
             out = []
-            for doc_id, name, text, s, n in zip(frame.column("doc_id").to_pylist(), names, texts(frame), sums.tolist(), sizes.tolist()):
+            for ids, text in zip(zip(*(frame.column(k).to_pylist() for k in range(3))), texts(frame)):
                 r = base_rules(text)
-                out.append((doc_id, name, *r, r[0] < 50 or 100 * r[4] > 50 * r[0], n, s / n if n else None))
-            if out:
-                yield batch_of(out, RULED_ARROW)
+                out.append((*ids, *r, r[0] < 50 or 100 * r[4] > 50 * r[0]))
+            base = batch_of(out, RULED_ARROW)
+            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(n_grams), pa.array(cost), tail], names=[*RULED_ARROW.names, "n_grams", "cost", "tail"])
 
-    return docs.mapInArrow(rows, RULED)
+    found = written(docs.mapInArrow(rows, RULED), "quality")
+    rest = found.select("row", "language", F.explode("tail").alias("_")).select("row", "language", "_.code", "_.times")
+    more = rest.join(model.where(~common).select("language", "code", "cost"), ["language", "code"]).groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("more"))
+    whole = F.col("cost") + F.coalesce("more", F.lit(0))
+    return found.drop("tail").join(more, "row", "left").withColumn("log_perplexity", F.when(F.col("n_grams") > 0, whole / (F.col("n_grams") * UNIT))).drop("row", "cost", "more")
 
 
-def rule(docs: DataFrame) -> DataFrame:
-    """``measured`` with the language's band (low, high) and kept."""
-    found = written(measured(docs), "quality")
+def bands(found: DataFrame) -> DataFrame:
+    """(language, low, high) from the documents that pass the base rules."""
     fit = found.where(~F.col("base_failed") & (F.col("n_grams") >= LEAST))
-    q = fit.groupBy("language").agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias("q"))
-    band = q.select(F.col("language").alias("_language"), (F.col("q")[1] - F.greatest(WIDTH * (F.col("q")[1] - F.col("q")[0]), F.lit(SLACK))).alias("low"), (F.col("q")[1] + F.greatest(WIDTH * (F.col("q")[2] - F.col("q")[1]), F.lit(SLACK))).alias("high"))
+    # a ten-thousandth is a step: there are some 100 000 of them at most, whatever the number of documents
+    steps = fit.groupBy("language", F.round(F.col("log_perplexity") * 10_000).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("language")
+    upto = F.sum("n").over(by.orderBy("step"))
+    total = F.sum("n").over(by)
+    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("step"))) / 10_000
+    q = steps.withColumns({"upto": upto, "total": total}).groupBy("language").agg(F.max("total").alias("total"), *[quartile(k).alias(f"q{k}") for k in (1, 2, 3)])
+    reach = lambda a, b: F.greatest(WIDTH * (F.col(a) - F.col(b)), F.lit(SLACK))
+    return q.where(F.col("total") >= LEAST_DOCS).select("language", (F.col("q2") - reach("q2", "q1")).alias("low"), (F.col("q2") + reach("q3", "q2")).alias("high"))
+
+
+def rule(docs: DataFrame, head: int = HEAD) -> DataFrame:
+    """``measured`` with the language's band (low, high) and kept."""
+    found = written(measured(docs, head), "measured")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)) | (F.col("n_grams") < LEAST)
-    # one row for each language of LANGUAGES, and one more
-    return found.join(F.broadcast(band), found.language == band._language, "left").drop("_language").withColumn("kept", ~F.col("base_failed") & inside)
+    return found.join(few(bands(found), "bands"), "language", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
