@@ -2,25 +2,32 @@
 
 A window network predicts every token from the two tokens on either side of it: their embeddings, side by side, go
 through a layer of ``HIDDEN`` tanh units, and the token is read off as two digits, p(high) * p(low | high), each a
-softmax over ``BASE`` values, so a vocabulary of BASE * BASE tokens costs two small products. A document's score is
-the sum of the logarithms of its tokens' conditional probabilities.
-
-Tokens are words in lower case without ASCII marks. Spark counts all words of all texts; the most frequent ``NAMED``
-have tokens of their own and the others share hash buckets, so the tables are bounded whatever the corpus.
-
-Training passes over every document once, in ``ROUNDS`` rounds: a document's hash says in which. In a round each task
-descends by numpy from the round's common weights over its documents, and Spark averages what the tasks return, weighed by
-their tokens, as sums of integers, so the order of arrival doesn't matter. The driver sees the averages alone: as many
-numbers as the network has.
+softmax over ``BASE`` values; the high digit weighs the hidden units anew before the low one is read. A document's
+score is the sum of the logarithms of its words' conditional probabilities.
+
+Words are in lower case, without ASCII marks, and known by 64-bit hashes. Spark counts all words of all texts. The
+``VOCABULARY - CLASSES`` most frequent ones have tokens of their own. Each other word belongs to one of ``CLASSES`` classes by its
+hash, has the class's token, and the probability p(class) * p(word | class), the latter from its count: so every
+word of the corpus has a probability of its own, and what is gathered grows with the corpus. The most common of these
+words, ``HEAD`` at most, are broadcast with the *costs* -ln p(word | class), in whole millionths; the others leave the
+task as (row, word, times) and meet their costs in a join, which gives the same sums.
+
+The network starts at the words' plain frequencies and is trained by numpy in ``PASSES`` passes over all documents,
+each in ``ROUNDS`` rounds: a document's hash says in which round of a pass it is, and in which *shard* of the round,
+each of about ``SHARD`` tokens. A shard is a descent from the round's common weights over its documents in the order
+of their hashes; Spark averages the shards' weights by their tokens, summed in the order of the shards. So the model
+depends on the documents alone and not on how they are partitioned, and a lost task is done again alike. The driver
+sees the averages: as many numbers as the network has.
 
 Null and empty texts have no tokens and the score 0. Repeated rows count as often as they occur and keep one row
-each. Beyond a text's ends the window holds a token of its own. Extra columns are not read; an empty table gives no
-rows.
+each. Words that tie in their counts are named in the order of their hashes. Beyond a text's ends the window holds a
+token of its own. A word that the model doesn't know, in a document it was not made of, counts as if it had been seen
+once. Of a very long text, two bytes a word are held, and some more for ``CHUNK`` words at a time. Extra columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,19 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import FOLD, WordHasher, pieces, table, written
+from quillspark.llm.common import FOLD, WordHasher, head_from, parts, size_class, slices, table, written
 
-BASE = 32
+BASE = 128
 VOCABULARY = BASE * BASE
-NAMED = 768
+CLASSES = 1024
 EDGE = VOCABULARY  # the token beyond a text's ends
 REACH = 2
 WIDTH, HIDDEN = 12, 32
-ROUNDS = 2
-BATCH = 1024
+PASSES, ROUNDS = 2, 4
+SHARD = 1 << 19
+BATCH, CHUNK = 1024, 1 << 15
 RATE = 0.02
-#: Weights are averaged as integers of this many parts of one.
-PARTS = 1 << 24
+#: Words of classes whose costs are broadcast, 12 bytes each.
+HEAD = 1 << 20
+#: Distinct words that a task sums up before it hands them on.
+HELD = 1 << 19
+UNIT = 1_000_000
 
 
 @dataclass
@@ -51,17 +62,23 @@ class Network:
     inner_bias: np.ndarray
     high: np.ndarray
     high_bias: np.ndarray
+    gate: np.ndarray  # how each high digit weighs the hidden units
     low: np.ndarray
     low_bias: np.ndarray  # a row for each high digit
 
     @classmethod
-    def new(cls, seed: int = 17) -> Network:
+    def new(cls, frequencies: np.ndarray | None = None, seed: int = 17) -> Network:
+        """Random weights, and biases by which tokens have their plain ``frequencies``."""
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        return cls((r.standard_normal((VOCABULARY + 1, WIDTH)) * 0.1).astype(np.float32), draw(2 * REACH * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, BASE), np.zeros(BASE, np.float32), draw(HIDDEN, BASE), np.zeros((BASE, BASE), np.float32))
+        counts = (np.zeros(VOCABULARY) if frequencies is None else frequencies).reshape(BASE, BASE) + 0.5
+        high, low = np.log(counts.sum(axis=1) / counts.sum()), np.log(counts / counts.sum(axis=1, keepdims=True))
+        embed = (r.standard_normal((VOCABULARY + 1, WIDTH)) * 0.1).astype(np.float32)
+        gate = (1 + 0.3 * r.standard_normal((BASE, HIDDEN))).astype(np.float32)
+        return cls(embed, draw(2 * REACH * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, BASE) / 4, high.astype(np.float32), gate, draw(HIDDEN, BASE) / 4, low.astype(np.float32))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.inner, self.inner_bias, self.high, self.high_bias, self.low, self.low_bias]
+        return [self.embed, self.inner, self.inner_bias, self.high, self.high_bias, self.gate, self.low, self.low_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.arrays()])
@@ -75,17 +92,22 @@ class Network:
         return cls(*out)
 
     def forward(self, around: np.ndarray, token: np.ndarray) -> tuple:
+        """Logarithms of the tokens' probabilities, and what the gradients need."""
         x = self.embed[around].reshape(len(around), -1)
         h = np.tanh(x @ self.inner + self.inner_bias)
         high, low = token // BASE, token % BASE
         a = h @ self.high + self.high_bias
-        b = h @ self.low + self.low_bias[high]
-        for z in (a, b):
-            z -= z.max(axis=1, keepdims=True)
-        ea, eb = np.exp(a), np.exp(b)
-        sa, sb = ea.sum(axis=1), eb.sum(axis=1)
+        b = (h * self.gate[high]) @ self.low + self.low_bias[high]
         row = np.arange(len(token))
-        return a[row, high] + b[row, low] - np.log(sa) - np.log(sb), x, h, ea / sa[:, None], eb / sb[:, None], high, low
+        out = np.zeros(len(token), a.dtype)
+        for z, digit in ((a, high), (b, low)):
+            z -= z.max(axis=1, keepdims=True)
+            own = z[row, digit]
+            np.exp(z, out=z)
+            total = z.sum(axis=1)
+            z /= total[:, None]
+            out += own - np.log(total)
+        return out, x, h, a, b, high, low
 
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         out = np.empty(len(token), np.float64)
@@ -93,64 +115,58 @@ class Network:
             out[k : k + 4096] = self.forward(around[k : k + 4096], token[k : k + 4096])[0]
         return out
 
-    def gradients(self, around: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
-        """Of the mean negative logarithm."""
+    def gradients(self, around: np.ndarray, token: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """Of the mean negative logarithm: for embed, gate and low_bias (rows, their gradients), and those of the other arrays."""
         _, x, h, a, b, high, low = self.forward(around, token)
         row, n = np.arange(len(token)), len(token)
         a[row, high] -= 1
         b[row, low] -= 1
         a /= n
         b /= n
-        dh = (a @ self.high.T + b @ self.low.T) * (1 - h * h)
+        gate = self.gate[high]
+        back = b @ self.low.T
+        dh = (a @ self.high.T + back * gate) * (1 - h * h)
         dx = dh @ self.inner.T
-        by_high = np.zeros((BASE, n), np.float32)
-        by_high[high, row] = 1
-        slots = around.ravel()
-        order = np.argsort(slots, kind="stable")
-        s = slots[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        g_embed = np.zeros_like(self.embed)
-        g_embed[s[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
-        return [g_embed, x.T @ dh, dh.sum(axis=0), h.T @ a, a.sum(axis=0), h.T @ b, by_high @ b]
+        some = [by_row(around.ravel(), dx.reshape(-1, WIDTH)), by_row(high, h * back), by_row(high, b)]
+        return some, [x.T @ dh, dh.sum(axis=0), h.T @ a, a.sum(axis=0), (h * gate).T @ b]
+
+
+def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    s = rows[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    return s[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class Descent:
-    """Steps by running root mean squares of the gradients, in place."""
+    """Steps by the root mean squares of the gradients so far, in place."""
 
-    def __init__(self, net: Network):
-        self.net, self.squares = net, [np.full_like(x, 1e-6) for x in net.arrays()]
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate, self.steps = net, rate, 0
+        self.rows = [net.embed, net.gate, net.low_bias]
+        self.whole = [net.inner, net.inner_bias, net.high, net.high_bias, net.low]
+        self.row_squares, self.squares = ([np.zeros_like(x) for x in y] for y in (self.rows, self.whole))
 
     def step(self, around: np.ndarray, token: np.ndarray) -> None:
-        for x, v, g in zip(self.net.arrays(), self.squares, self.net.gradients(around, token)):
+        some, whole = self.net.gradients(around, token)
+        self.steps += 1
+        for x, v, (rows, g) in zip(self.rows, self.row_squares, some):
+            now = v[rows] + g * g
+            v[rows] = now
+            x[rows] -= self.rate * 2 * g / (np.sqrt(now) + 1e-6)
+        unbiased = 1 - 0.99**self.steps
+        for x, v, g in zip(self.whole, self.squares, whole):
             v *= 0.99
             v += 0.01 * g * g
-            x -= RATE * g / np.sqrt(v + 1e-8)
-
-
-class Tokens:
-    """Token numbers by words' hashes."""
-
-    def __init__(self, named: list[str]):
-        hasher = WordHasher()
-        raw = [w.encode("utf-8", "replace") for w in named]
-        edges = np.cumsum([0, *map(len, raw)])
-        hashes = hasher(np.frombuffer(b"".join(raw), np.uint8), edges)[2]
-        order = np.argsort(hashes)
-        self.keys, self.numbers = hashes[order], order.astype(np.int32)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        own = (hashes % np.uint64(VOCABULARY - NAMED)).astype(np.int32) + NAMED
-        if not len(self.keys):
-            return own
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.numbers[at], own)
+            x -= self.rate / 4 * g / (np.sqrt(v / unbiased) + 1e-6)
 
 
 def windows(tokens: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """For each token of texts that end at ``cut``, the tokens on either side."""
     text = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    n, pad = np.arange(len(tokens)), np.full(REACH, EDGE, tokens.dtype)
-    wide = np.concatenate([pad, tokens, pad])
+    n, pad = np.arange(len(tokens)), np.full(REACH, EDGE, np.int32)
+    wide = np.concatenate([pad, tokens.astype(np.int32), pad])
     out = np.empty((len(tokens), 2 * REACH), np.int32)
     for k, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
         out[:, k] = np.where((n + d >= cut[text]) & (n + d < cut[text + 1]), wide[n + d + REACH], EDGE)
@@ -158,94 +174,272 @@ def windows(tokens: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each word occurs in the texts of ``docs``. A task sums up some MB at a time."""
+    """(word, n): how often each word, by its hash, occurs in the texts of ``docs``."""
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        hasher = WordHasher(FOLD)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            words, n = (np.concatenate(x) for x in zip(*held))
+            distinct, which = np.unique(words, return_inverse=True)
+            return distinct, np.bincount(which, weights=n).astype(np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words, n = held[0]
+            for k in range(0, len(words), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], schema=schema)
             held.clear()
-            return out
 
         for frame in frames:
-            for _, _, data, _ in pieces(frame.column("text")):
-                held.update(FOLD[data].tobytes().split())
-                if len(held) > 400_000:
-                    yield flush()
+            for _, _, data, edges in parts(frame.column("text")):
+                held.append(np.unique(hasher(data, edges)[2], return_counts=True))
+                if sum(len(w) for w, _ in held) > 2 * HELD:
+                    held = [summed()]
+                    if len(held[0][0]) > HELD:
+                        yield from flush()
         if held:
-            yield flush()
+            held = [summed()]
+            yield from flush()
 
-    ended = docs.select(F.concat(F.col("text"), F.lit("\n")).alias("text"))
-    return ended.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def named_words(docs: DataFrame) -> list[str]:
-    """The ``NAMED`` most frequent words, ties by code point."""
-    return [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(NAMED).collect()]
+def class_of(hashes: np.ndarray, classes: int) -> np.ndarray:
+    return ((hashes >> np.uint64(1)) % np.uint64(classes)).astype(np.int32)
+
+
+@dataclass
+class Words:
+    """What tasks know of words: the named ones' tokens, the classes' sums, and the costs of common words of classes."""
 
+    names: np.ndarray  # hashes, sorted
+    numbers: np.ndarray  # their tokens
+    classes: np.ndarray  # how often words of each class occur
+    keys: np.ndarray  # hashes, sorted
+    costs: np.ndarray
 
-def train(docs: DataFrame) -> tuple[Tokens, Network]:
+    @property
+    def named(self) -> int:
+        """The tokens from here on are classes."""
+        return VOCABULARY - len(self.classes)
+
+    @staticmethod
+    def _find(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+        return at, keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
+
+    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        at, there = self._find(self.names, hashes)
+        own = class_of(hashes, len(self.classes)) + self.named
+        return np.where(there, self.numbers[at], own) if len(self.names) else own
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Costs of words of classes within their class, -1 where they are not here."""
+        at, there = self._find(self.keys, hashes)
+        return np.where(there, self.costs[at], -1).astype(np.int64) if len(self.keys) else np.full(len(hashes), -1)
+
+    def unseen(self, hashes: np.ndarray) -> np.ndarray:
+        """Costs of words that have never been counted."""
+        return np.rint(UNIT * np.log(self.classes[class_of(hashes, len(self.classes))] + 1.0)).astype(np.int64)
+
+
+@dataclass
+class Model:
+    words: Words
+    flat: np.ndarray  # the network
+    rare: DataFrame  # (word, cost) of the words of classes that are not in ``words``
+
+
+def vocabulary(docs: DataFrame, head: int = HEAD, n_classes: int = CLASSES) -> tuple[Words, DataFrame, np.ndarray]:
+    """Words, the costs of rare ones, and how often each token occurs."""
+    counted = written(word_counts(docs), "word-counts")
+    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - n_classes).toArrow()
+    names, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    frequencies = np.zeros(VOCABULARY)
+    frequencies[: len(n)] = n
+    # named are the words that come before the last of them in the order of counts, then hashes
+    last = (int(n[-1]), int(names.view(np.int64)[-1])) if len(n) else (0, 0)
+    rest = counted.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
+    rest = rest.withColumn("class", (F.shiftrightunsigned("word", 1) % n_classes).cast("int"))  # as ``class_of``
+    sums = rest.groupBy("class").agg(F.sum("n").alias("total"))  # n_classes rows
+    classes = np.zeros(n_classes, np.int64)
+    for r in sums.collect():
+        classes[r["class"]] = r["total"]
+    frequencies[VOCABULARY - n_classes :] = classes
+    cost = F.round(UNIT * F.log(F.col("total") / F.col("n"))).cast("long")
+    costs = written(rest.join(F.broadcast(sums), "class").select("word", "n", cost.alias("cost")), "word-costs")
+    common = size_class(F.col("n")) >= head_from(costs, head)
+    found = costs.where(common).select("word", "cost").toArrow()
+    keys, values = found.column("word").to_numpy().view(np.uint64), found.column("cost").to_numpy().astype(np.int32)
+    order, by_name = np.argsort(keys), np.argsort(names)
+    return Words(names[by_name], by_name.astype(np.int32), classes, keys[order], values[order]), costs.where(~common).select("word", "cost"), frequencies
+
+
+def tokenised(docs: DataFrame, words: Words) -> DataFrame:
+    """row, doc_id, key (a hash of the row), ids (two bytes each), cost of common words of classes, and the rare ones, of each row."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, hasher = sent.value, WordHasher(FOLD)
+        for frame in (some for frame in frames for some in slices(frame)):
+            cost = np.zeros(frame.num_rows, np.int64)
+            ids: list[list[bytes]] = [[] for _ in range(frame.num_rows)]
+            open_: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            for a, _, data, edges in parts(frame.column("text")):
+                _, _, hashes, upto = hasher(data, edges)
+                tokens = words.tokens(hashes)
+                raw = tokens.astype("<u2").tobytes()
+                for k, (x, y) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist())):
+                    ids[a + k].append(raw[2 * x : 2 * y])
+                row, rare = np.repeat(np.arange(a, a + len(edges) - 1), np.diff(upto))[tokens >= words.named], hashes[tokens >= words.named]
+                each = words.known(rare)
+                cost += np.bincount(row, weights=np.maximum(each, 0), minlength=frame.num_rows).astype(np.int64)
+                open_.append((row[each < 0], rare[each < 0]))
+            row, rare = (np.concatenate(x) for x in zip(*open_))
+            order = np.lexsort((rare, row))
+            row, rare = row[order], rare[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])]) if len(row) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[first, len(row)])
+            row, rare = row[first], rare[first]
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(frame.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(rare.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(words.unseen(rare))], names=["word", "times", "unseen"]))
+            yield pa.RecordBatch.from_arrays([*frame.columns[:3], pa.array([b"".join(x) for x in ids], pa.binary()), pa.array(cost), tail], names=["row", "doc_id", "key", "ids", "cost", "tail"])
+
+    of = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    return written(of.mapInArrow(cut, "row bigint, doc_id bigint, key bigint, ids binary, cost bigint, tail array<struct<word:bigint,times:bigint,unseen:bigint>>"), "tokens")
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a column of ids, and where each text begins in them."""
+    column = column.cast(pa.large_binary())
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", "<u2")[edges[0] // 2 : edges[-1] // 2], (edges - edges[0]) // 2
+
+
+def _chunks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Of rows (shard, ids), sorted by shard: about ``CHUNK`` tokens of a shard at a time, whatever the batches, and whether they are its last."""
+    now: int | None = None
+    held: list[np.ndarray] = []
+    size = 0
+
+    def taken() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(held), np.cumsum([0, *map(len, held)])
+
+    for frame in frames:
+        tokens, cut = _texts(frame.column("ids"))
+        for k, shard in enumerate(frame.column("shard").to_pylist()):
+            if shard != now:
+                if held:
+                    yield now, *taken(), True
+                now, held, size = shard, [], 0
+            elif size >= CHUNK:
+                yield now, *taken(), False
+                held, size = [], 0
+            held.append(tokens[cut[k] : cut[k + 1]].copy())
+            size += len(held[-1])
+    if held:
+        yield now, *taken(), True
+
+
+def descended(found: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
+    """The average of the weights that descents from ``flat`` reach over the shards of ``found`` (shard, key, ids)."""
+    sent = found.sparkSession.sparkContext.broadcast(flat)
+    rows = "place int, shard bigint, weight bigint, part binary"
+    schema = pa.schema([("place", pa.int32()), ("shard", pa.int64()), ("weight", pa.int64()), ("part", pa.binary())])
+    size = 8192
+
+    def descend(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        way, seen = None, 0
+        for shard, tokens, cut, last in _chunks(frames):
+            if way is None:
+                way, seen = Descent(Network.unflat(sent.value), rate), 0
+            around = windows(tokens, cut)
+            order = np.random.default_rng(len(tokens)).permutation(len(tokens))
+            for k in range(0, len(tokens), BATCH):
+                way.step(around[order[k : k + BATCH]], tokens[order[k : k + BATCH]].astype(np.int64))
+            seen += len(tokens)
+            if last:
+                if seen:
+                    out = way.net.flat().astype("<f4")
+                    for k in range(0, len(out), size):
+                        yield pa.RecordBatch.from_arrays([pa.array([k // size], pa.int32()), pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([out[k : k + size].tobytes()], pa.binary())], schema=schema)
+                way = None
+
+    def average(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards of a place pass by one after another, in order."""
+        now, total, weight = None, None, 0
+
+        def mean() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], names=["place", "part"])
+
+        for frame in frames:
+            for place, w, part in zip(*(frame.column(k).to_pylist() for k in ("place", "weight", "part"))):
+                if place != now:
+                    if now is not None:
+                        yield mean()
+                    now, total, weight = place, 0.0, 0
+                total, weight = total + w * np.frombuffer(part, "<f4").astype(np.float64), weight + w
+        if now is not None:
+            yield mean()
+
+    trained = found.repartition("shard").sortWithinPartitions("shard", "key", "ids").select("shard", "ids").mapInArrow(descend, rows)
+    means = trained.repartition("place").sortWithinPartitions("place", "shard").select("place", "weight", "part").mapInArrow(average, "place int, part binary").toArrow()
+    return np.frombuffer(b"".join(x["part"] for x in sorted(means.to_pylist(), key=lambda x: x["place"])), "<f4") if means.num_rows else flat
+
+
+def fit(found: DataFrame, frequencies: np.ndarray) -> np.ndarray:
+    """The network's weights, trained on ``tokenised`` rows."""
+    flat = Network.new(frequencies).flat()
+    shards = max(1, round(frequencies.sum() / ROUNDS / SHARD))
+    key = F.col("key")
+    for r in range(PASSES * ROUNDS):
+        # each pass deals the rounds and shards anew
+        dealt = found.where(F.pmod(F.xxhash64(key, F.lit(r // ROUNDS)), F.lit(ROUNDS)) == r % ROUNDS).select(F.pmod(F.xxhash64(key, F.lit(-1 - r // ROUNDS)), F.lit(shards)).cast("long").alias("shard"), "key", "ids")
+        flat = descended(dealt, flat, RATE / np.sqrt(1 + r))
+    return flat
+
+
+def train(docs: DataFrame, head: int = HEAD, n_classes: int = CLASSES) -> Model:
     """Fit on all texts of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    tokens, net = Tokens(named_words(docs)), Network.new()
-    rounds = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS))
-    schema = pa.schema([("place", pa.int32()), ("value", pa.int64()), ("weight", pa.int64())])
-    for r in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((tokens, net.flat()))
-
-        def descend(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tokens, flat = sent.value
-            net, hasher, seen = Network.unflat(flat), WordHasher(FOLD), 0
-            way = Descent(net)
-            for frame in frames:
-                for _, _, data, edges in pieces(frame.column("text")):
-                    _, _, hashes, cut = hasher(data, edges)
-                    t = tokens(hashes)
-                    around = windows(t, cut)
-                    mixed = np.random.default_rng(len(t)).permutation(len(t))
-                    for k in range(0, len(t), BATCH):
-                        way.step(around[mixed[k : k + BATCH]], t[mixed[k : k + BATCH]])
-                    seen += len(t)
-            if seen:
-                weight = -(-seen // 1000)
-                value = np.rint(net.flat().astype(np.float64) * PARTS).astype(np.int64) * weight
-                for k in range(0, len(value), 8192):
-                    part = value[k : k + 8192]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), weight))], schema=schema)
-
-        found = docs.where(rounds == r).select("text").mapInArrow(descend, "place int, value bigint, weight bigint")
-        means = found.groupBy("place").agg((F.sum(F.col("value").cast("decimal(38,0)")).cast("double") / F.sum("weight")).alias("mean")).toArrow()
-        if means.num_rows:
-            flat = np.zeros(means.num_rows)
-            flat[means.column("place").to_numpy()] = means.column("mean").to_numpy() / PARTS
-            net = Network.unflat(flat)
-    return tokens, net
-
-
-SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("pll", pa.float64())])
-
-
-def score(docs: DataFrame, model: tuple[Tokens, Network]) -> DataFrame:
-    """doc_id, n_tokens and pll, the sum of the tokens' log-probabilities, for each row of ``docs`` (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].flat()))
+    words, rare, frequencies = vocabulary(docs, head, n_classes)
+    return Model(words, fit(tokenised(docs, words), frequencies), rare)
+
+
+def scored(found: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens and pll of ``tokenised`` rows."""
+    sent = found.sparkSession.sparkContext.broadcast(model.flat)
+    rest = found.select("row", F.explode("tail").alias("_")).select("row", "_.*")
+    more = rest.join(model.rare, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("cost", "unseen")).alias("more"))
 
     def scores(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, flat = sent.value
-        net, hasher = Network.unflat(flat), WordHasher(FOLD)
+        net = Network.unflat(sent.value)
         for frame in frames:
-            n, sums = np.zeros(frame.num_rows, np.int64), np.zeros(frame.num_rows)
-            for a, b, data, edges in pieces(frame.column("text")):
-                _, _, hashes, cut = hasher(data, edges)
-                t = tokens(hashes)
-                total = np.r_[0.0, np.cumsum(net.log_probabilities(windows(t, cut), t))]
-                n[a:b], sums[a:b] = np.diff(cut), np.diff(total[cut])
-            yield pa.RecordBatch.from_arrays([frame.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(sums)], schema=SCORES)
+            tokens, cut = _texts(frame.column("ids"))
+            sums = np.zeros(frame.num_rows, np.int64)
+            for a in range(0, len(tokens), CHUNK):
+                b = min(a + CHUNK, len(tokens))
+                # with the tokens around the chunk, in their own texts
+                x, y = max(0, a - REACH), min(len(tokens), b + REACH)
+                around = windows(tokens[x:y], np.clip(cut, x, y) - x)[a - x : b - x]
+                cost = np.rint(-UNIT * net.log_probabilities(around, tokens[a:b].astype(np.int64)))
+                text = np.searchsorted(cut, np.arange(a, b), side="right") - 1
+                sums += np.bincount(text, weights=cost, minlength=frame.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*frame.columns[:3], pa.array(np.diff(cut)), pa.array(sums)], names=["row", "doc_id", "cost", "n_tokens", "net"])
+
+    out = found.select("row", "doc_id", "cost", "ids").mapInArrow(scores, "row bigint, doc_id bigint, cost bigint, n_tokens bigint, net bigint")
+    whole = F.col("net") + F.col("cost") + F.coalesce("more", F.lit(0))
+    return out.join(more, "row", "left").select("doc_id", "n_tokens", (-whole / UNIT).alias("pll"))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scores, "doc_id bigint, n_tokens bigint, pll double")
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens and pll, the sum of the words' log-probabilities, for each row of ``docs`` (doc_id, text)."""
+    return scored(tokenised(docs, model.words), model)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = score(docs, train(docs))
-    return found.select("doc_id", "n_tokens", F.round("pll", 3).alias("pll"), F.round(F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")), 5).alias("mean_pll"))
+    words, rare, frequencies = vocabulary(docs)
+    found = tokenised(docs, words)
+    out = scored(found, Model(words, fit(found, frequencies), rare))
+    return out.select("doc_id", "n_tokens", F.round("pll", 3).alias("pll"), F.round(F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")), 5).alias("mean_pll"))
