@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.shared import new_path, shared_dir, written
 
-__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "few", "head_from", "mixed", "n_words", "new_path", "parts", "pieces", "shared_dir", "size_class", "slices", "table", "texts", "written"]
+__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "few", "head_from", "joined_by", "mixed", "n_words", "new_path", "parts", "pieces", "shared_dir", "size_class", "slices", "table", "texts", "written"]
 
 #: A word is a run of anything but these characters (space, tab to carriage return).
 #: ``bytes.split()`` splits at exactly this set, which the Python paths rely on.
@@ -60,6 +60,18 @@ def few(rows: DataFrame, tag: str, most: int = 10_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def joined_by(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key, and in ``n`` the number of the key's rows in ``big``.
+
+    Keys with more than a ten-thousandth of ``big``'s ``total`` rows, of which there can't be more than ten thousand, are
+    broadcast, so none of them meets in one task; the others are shuffled.
+    """
+    limit = max(total // 10_000, 1000)
+    hot = small.where(F.col("n") > limit)
+    cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col("n") <= limit), key)
+    return big.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def head_from(sizes: DataFrame, most: int) -> int:
     """From (n), the least ``size_class`` such that ``most`` rows at most are of it or a higher one: what is common, whole classes of it."""
     room, least = most, 1 << 20

@@ -13,7 +13,7 @@ import corpus_pipeline
 from quillspark.llm import ordinal
 from tests.llm.test_decontam import brute as brute_leaks
 from tests.llm.test_mixing import dealt
-from tests.llm.test_simhash import brute_print, brute_roots
+from tests.llm.test_simhash import brute_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,11 +50,7 @@ def test_quality(spark, steps):
 def test_near_duplicates(steps):
     docs, found = steps[1]
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    roots = brute_roots([brute_print(t) for _, t in rows])
-    least: dict = {}
-    for (i, _), r in zip(rows, roots):
-        least[r] = min(least.get(r, i), i)
-    assert ids(found) == sorted(least.values())
+    assert ids(found) == sorted({rows[k][0] for k in brute_similar([t for _, t in rows])})
 
 
 def test_benchmark_passages(spark, steps):

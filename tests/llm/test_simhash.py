@@ -114,3 +114,76 @@ def test_op7(spark, sf):
         if i == i:
             least[r] = min(least.get(r, i), i)
     assert [(c if c == c else None) for c in found.component_id] == [least.get(r) for r in roots]
+
+
+@pytest.mark.parametrize("small", [0, 64])
+def test_small_files_span_what_links(monkeypatch, small):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "SMALL", small)
+    r = random.Random(7)
+    rows = [(f, -1 if f % 2 else r.randrange(2), x - (1 << 64) if x >> 63 else x) for f in range(30) for x in clustered(r.randint(1, 40), f)]
+    frames = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[a : a + 37]], pa.int64()) for k in range(3)], names=["file", "part", "fp"]) for a in range(0, len(rows), 37)]
+    got = [(a, b) for f in simhash._file_links(4)(iter(frames)) for a, b in zip(f.column(0).to_pylist(), f.column(1).to_pylist())]
+    bits = lambda a, b: ((a ^ b) % (1 << 64)).bit_count()
+    assert all(bits(a, b) <= 4 for a, b in got) and len(got) < len(rows)
+    own, want = simhash.Roots(), simhash.Roots()
+    for a, b in got:
+        own.link(a, b)
+    for k, (f, p, x) in enumerate(rows):
+        for g, q, y in rows[:k]:
+            if f == g and (p < 0 or p != q) and bits(x, y) <= 4:
+                want.link(x, y)
+    names = {x for _, _, x in rows}
+    assert len({own.find(x) for x in names}) == len({want.find(x) for x in names})
+
+
+def edited(r: random.Random, words: list[str], n: int) -> str:
+    out = list(words)
+    for _ in range(n):
+        out[r.randrange(len(out))] = f"new{r.randrange(10**6)}"
+    return " ".join(out)
+
+
+def brute_similar(texts: list[str], least: float = 0.8) -> list[int]:
+    """The least position that each text is connected to by pairs of similar 5-word shingle sets."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        n = min(5, len(w))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else {()})
+    roots = simhash.Roots()
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                roots.link(max(roots.find(a), roots.find(b)), min(roots.find(a), roots.find(b)))
+    return [roots.find(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("members", [2048, 5])
+def test_near_copies_are_verified(spark, monkeypatch, members):
+    """Against brute force: groups around a text, chains of copies, shuffled texts of the same words, empty and short ones."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "MEMBERS", members)  # 5: groups are split, and pairs of parts meet
+    r = random.Random(3)
+    texts: list = []
+    for k in range(12):
+        words = [f"w{r.randrange(3000)}" for _ in range(150)]
+        texts += [" ".join(words), " ".join(words).upper(), *[edited(r, words, r.choice((1, 2, 3, 9))) for _ in range(r.randint(0, 9))]]
+        texts.append(" ".join(r.sample(words, len(words))))
+    texts += ["", None, " \n", "one two", "One two", "one two three", texts[0], texts[3]]
+    want = brute_similar(texts)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(0, texts[0], "x"), (None, texts[0], "x")], "doc_id bigint, text string, digest string")
+    found = simhash.deduplicated(docs.repartition(4))
+    assert found.columns == docs.columns
+    assert sorted(-1 if x["doc_id"] is None else x["doc_id"] for x in found.collect()) == [-1, *sorted(set(want))]
+    assert found.where(F.col("digest") != "x").count() == 0
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join(reversed(words))), (2, " ".join(reversed(words)) + " end"), (3, " ".join(words) + " end")]
+    found = simhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(rows[:2])
