@@ -3,12 +3,15 @@
 Words are runs of anything but blanks and ASCII marks, in lower case; shingles are five words (all words of a
 shorter item). For each benchmark item, windows of as many shingles as the item has slide over every document. A
 window's SimHash is looked up in a multi-index over the items of its size: the 64 bits are cut into ``BLOCKS`` blocks,
-and an item is listed under every block value that is within ``RADIUS // BLOCKS`` bits of its own, so no fingerprint
-within ``RADIUS`` bits can be missed. What it finds within the radius is verified by the exact similarity of the two
-weighted shingle sets: the sum of the smaller over the sum of the larger occurrence counts, 0.8 or more.
+and each block has posting lists: an item is listed under every value that is within ``RADIUS // BLOCKS`` bits of its
+own, so no fingerprint within ``RADIUS`` bits can be missed. What it finds within the radius is verified by the exact
+similarity of the two weighted shingle sets: the sum of the smaller over the sum of the larger occurrence counts, 0.8
+or more. Words and shingles are compared by 64-bit hashes.
 
 Only windows that hold a shingle of some item of their size are fingerprinted, as any other has the similarity 0. So
-the work is one hash a word, and a few windows around what is shared. Bits of a window come from running sums.
+the work is one hash a word, and a few windows around what is shared. Bits of a window come from running sums, over
+``SPAN`` shingles and an item's length at a time, wherever in a text they are: what is held of a very long text are
+some ten bytes for each of its bytes.
 
 The benchmark is a stated query set. It is read in blocks of at most ``BLOCK_BYTES`` of text, whose number follows
 its measured size; each block is broadcast and the documents pass by it. Nothing is shuffled.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import FOLD, WordHasher, pieces, table
 
 SHINGLE_WORDS = 5
-RADIUS = 20
-BLOCKS = 8
+RADIUS = 17
+BLOCKS = 6
+SPAN = 4096
 SIMILAR = 0.8
 BLOCK_BYTES = 16 << 20
 
@@ -75,23 +80,37 @@ class SizeClass:
     items: list[int]  # places in the benchmark
     prints: np.ndarray
     counts: list[tuple[np.ndarray, np.ndarray]]  # distinct shingles and how often, of each item
-    near: np.ndarray  # (block, value, item): the item's block is within reach of the value
+    postings: list[tuple[np.ndarray, np.ndarray]]  # for each block: where each value's list begins, and the items listed
 
     def lookup(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) for all items within the radius of the windows' fingerprints."""
-        values = found.view(np.uint8).reshape(-1, BLOCKS)
-        hit = np.zeros((len(found), len(self.items)), bool)
-        for b in range(BLOCKS):
-            hit |= self.near[b][values[:, b]]
-        w, i = np.nonzero(hit)
+        pairs = []
+        for (begin, items), values in zip(self.postings, block_values(found)):
+            n = begin[values + 1] - begin[values]
+            w = np.repeat(np.arange(len(found)), n)
+            pairs.append(w * len(self.items) + items[np.repeat(begin[values] - (np.cumsum(n) - n), n) + np.arange(len(w))])
+        w, i = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
         close = np.bitwise_count(found[w] ^ self.prints[i]) <= RADIUS
         return w[close], i[close]
 
 
-def _reach() -> np.ndarray:
-    """(value, value): whether two bytes are within a block's share of the radius."""
-    v = np.arange(256, dtype=np.uint8)
-    return np.bitwise_count(v[:, None] ^ v[None, :]) <= RADIUS // BLOCKS
+_EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
+
+
+def block_values(found: np.ndarray) -> list[np.ndarray]:
+    """The value of each block of fingerprints."""
+    return [((found >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64) for a, b in zip(_EDGES, _EDGES[1:])]
+
+
+def postings(prints_: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block the lists of items, under every value within the block's share of the radius."""
+    out = []
+    for values, width in zip(block_values(prints_), np.diff(_EDGES).tolist()):
+        flips = np.array([sum(1 << b for b in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), n)])
+        listed = (values[:, None] ^ flips[None, :]).ravel()
+        order = np.argsort(listed, kind="stable")
+        out.append((np.searchsorted(listed[order], np.arange((1 << width) + 1)), (order // len(flips)).astype(np.int64)))
+    return out
 
 
 class Index:
@@ -108,12 +127,10 @@ class Index:
                 n = min(SHINGLE_WORDS, len(words))
                 h = shingles(words, n)
                 groups.setdefault((n, len(h)), []).append((k, h))
-        reach = _reach()
         self.classes: list[SizeClass] = []
         for (n, m), members in sorted(groups.items()):
             fp = np.array([prints(running(h)[-1:], m)[0] for _, h in members], np.uint64)
-            near = np.stack([reach[:, fp.view(np.uint8).reshape(-1, BLOCKS)[:, b]] for b in range(BLOCKS)])
-            self.classes.append(SizeClass(n, m, [k for k, _ in members], fp, [np.unique(h, return_counts=True) for _, h in members], near))
+            self.classes.append(SizeClass(n, m, [k for k, _ in members], fp, [np.unique(h, return_counts=True) for _, h in members], postings(fp)))
         self.anchors = {}  # by shingle length: a coarse table of bits, sorted shingles, and their classes
         for n in {c.n for c in self.classes}:
             pairs = [(h, k) for k, c in enumerate(self.classes) if c.n == n for h in set(np.concatenate([d for d, _ in c.counts]).tolist())]
@@ -151,26 +168,24 @@ class Index:
         n = np.maximum(0, hi - new + 1)
         starts = np.repeat(new - (np.cumsum(n) - n), n) + np.arange(n.sum())
         best: dict[int, tuple[float, int, int]] = {}
-        for k in range(0, len(starts), 4096):
-            s = starts[k : k + 4096]
+        k = 0
+        while k < len(starts):
+            s = starts[k : k + int(np.searchsorted(starts[k:], starts[k] + SPAN))]
+            k += len(s)
             base, span = int(s[0]), h[s[0] : s[-1] + m]
             sums = running(span)
             found = prints(sums[s - base + m] - sums[s - base], m)
             w, i = c.lookup(found)
             for item in np.unique(i).tolist():
-                mine = w[i == item]
                 distinct, often = c.counts[item]
                 place = np.minimum(np.searchsorted(distinct, span), len(distinct) - 1)
-                held = np.flatnonzero(distinct[place] == span)
-                ones = np.zeros((len(span) + 1, len(distinct)), np.int32)
-                ones[held + 1, place[held]] = 1
-                np.cumsum(ones, axis=0, out=ones)
-                both = np.minimum(ones[s[mine] - base + m] - ones[s[mine] - base], often).sum(axis=1)
-                similar = both / (m + c.m - both)
-                j = int(np.argmax(similar))
-                found_now = float(similar[j]), -int(s[mine[j]]), int(np.bitwise_count(found[mine[j]] ^ c.prints[item]))
-                if found_now[0] >= SIMILAR and (item not in best or found_now[:2] > best[item][:2]):
-                    best[item] = found_now
+                place[distinct[place] != span] = len(distinct)
+                for j in w[i == item].tolist():
+                    held = np.bincount(place[s[j] - base : s[j] - base + m], minlength=len(distinct) + 1)[:-1]
+                    both = int(np.minimum(held, often).sum())
+                    now = both / (m + c.m - both), -int(s[j])
+                    if now[0] >= SIMILAR and (item not in best or now > best[item][:2]):
+                        best[item] = *now, int(np.bitwise_count(found[j] ^ c.prints[item]))
         for item, (similar, start, distance) in best.items():
             yield text, c.items[item], -start - first, distance, similar
 

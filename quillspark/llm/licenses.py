@@ -3,7 +3,7 @@
 A text is brought to a canonical form line by line: lower case, copyright lines left out, words (runs of letters or
 digits) joined by one blank, equivalent spellings made one. The canonical lines, joined, give the digest of the
 entire text; each line gives one of its own. Both kinds are hash-joined to the digests of known licence texts and
-notices, a fixed table of a few rows, which is why it is broadcast.
+notices: the table here and what the caller adds, broadcast while it is counted to be small.
 
 Canonical forms are made once a document; the join then runs over 16-byte digests. Copies of a line in a text count
 once each in n_notices. Null and empty texts have the digest of the empty string, which is no licence. Repeated rows
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table, written
+from quillspark.llm.common import few, table, written
 
 # Licence texts and notices as published, and spellings that their matching guidelines hold equal.
 _PERMIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -173,12 +173,24 @@ def known(spark: SparkSession) -> DataFrame:
     return made.unionByName(fixed).distinct()
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_digest, license (of the entire text, or null), notices (licences of its lines) and n_notices."""
+def known_texts(licences: DataFrame) -> DataFrame:
+    """(unit, license, digest) of a table (license, text) of entire licences, to be given to ``scan``; null and empty texts are none."""
+    lines = F.filter(canonical_lines(F.col("text")), lambda x: x != "")
+    return licences.where(F.size(lines) > 0).select(F.lit("text").alias("unit"), "license", digest(F.array_join(lines, " ")).alias("digest")).distinct()
+
+
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_digest, license (of the entire text, or null), notices (licences of its lines) and n_notices.
+
+    ``more``: licences beside the table here, as by ``known_texts``. A text that several names have goes by the first.
+    """
     lines = F.filter(canonical_lines(F.col("text")), lambda x: x != "")
     canonical = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
     digests = written(canonical.select("doc_id", digest(F.array_join("lines", " ")).alias("text_digest"), F.transform("lines", digest).alias("line_digests")), "licence-digests")
-    names = F.broadcast(known(docs.sparkSession))  # a fixed table
+    names = known(docs.sparkSession)
+    if more is not None:
+        names = names.unionByName(more.select("unit", "license", "digest"))
+    names = few(names.groupBy("unit", "digest").agg(F.min("license").alias("license")), "licence-names")
     of_lines = digests.select("doc_id", "text_digest", F.explode("line_digests").alias("digest")).join(names.where("unit = 'line'"), "digest")
     # a text is known by doc_id and digest; its copies have the same notices
     noticed = of_lines.groupBy("doc_id", "text_digest", "license").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "text_digest").agg(F.array_join(F.array_sort(F.collect_list("license")), ",").alias("notices"), F.sum("n").alias("n"))

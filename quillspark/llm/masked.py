@@ -44,10 +44,10 @@ CLASSES = 1024
 EDGE = VOCABULARY  # the token beyond a text's ends
 REACH = 2
 WIDTH, HIDDEN = 12, 32
-PASSES, ROUNDS = 2, 4
+PASSES, ROUNDS = 1, 4
 SHARD = 1 << 19
 BATCH, CHUNK = 1024, 1 << 15
-RATE = 0.02
+RATE = 0.05
 #: Words of classes whose costs are broadcast, 12 bytes each.
 HEAD = 1 << 20
 #: Distinct words that a task sums up before it hands them on.
@@ -91,52 +91,54 @@ class Network:
             at += x.size
         return cls(*out)
 
-    def forward(self, around: np.ndarray, token: np.ndarray) -> tuple:
-        """Logarithms of the tokens' probabilities, and what the gradients need."""
+    def logits(self, around: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Inputs, hidden units, these as the high digits weigh them, and the logits of both digits, which exp() can take."""
         x = self.embed[around].reshape(len(around), -1)
         h = np.tanh(x @ self.inner + self.inner_bias)
-        high, low = token // BASE, token % BASE
-        a = h @ self.high + self.high_bias
-        b = (h * self.gate[high]) @ self.low + self.low_bias[high]
-        row = np.arange(len(token))
-        out = np.zeros(len(token), a.dtype)
-        for z, digit in ((a, high), (b, low)):
-            z -= z.max(axis=1, keepdims=True)
-            own = z[row, digit]
-            np.exp(z, out=z)
-            total = z.sum(axis=1)
-            z /= total[:, None]
-            out += own - np.log(total)
-        return out, x, h, a, b, high, low
+        gated = h * self.gate[high]
+        a = h @ self.high
+        a += self.high_bias
+        b = gated @ self.low
+        b += self.low_bias[high]
+        return x, h, gated, np.minimum(a, 80, out=a), np.minimum(b, 80, out=b)
 
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        out = np.empty(len(token), np.float64)
-        for k in range(0, len(token), 4096):
-            out[k : k + 4096] = self.forward(around[k : k + 4096], token[k : k + 4096])[0]
+        out, ones = np.empty(len(token), np.float64), np.ones(BASE, self.high.dtype)
+        for k in range(0, len(token), BATCH):
+            high, low = np.divmod(token[k : k + BATCH], BASE)
+            *_, a, b = self.logits(around[k : k + BATCH], high)
+            row = np.arange(len(high))
+            own = a[row, high] + b[row, low]
+            out[k : k + BATCH] = own - np.log(np.exp(a, out=a) @ ones) - np.log(np.exp(b, out=b) @ ones)
         return out
 
     def gradients(self, around: np.ndarray, token: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
-        """Of the mean negative logarithm: for embed, gate and low_bias (rows, their gradients), and those of the other arrays."""
-        _, x, h, a, b, high, low = self.forward(around, token)
-        row, n = np.arange(len(token)), len(token)
-        a[row, high] -= 1
-        b[row, low] -= 1
-        a /= n
-        b /= n
-        gate = self.gate[high]
+        """Of the sum of the negative logarithms: for embed, gate and low_bias (rows, their gradients), and those of the other arrays. Tokens ascend."""
+        high, low = np.divmod(token, BASE)
+        x, h, gated, a, b = self.logits(around, high)
+        row, ones = np.arange(len(token)), np.ones(BASE, a.dtype)
+        for z, digit in ((a, high), (b, low)):
+            np.exp(z, out=z)
+            z *= (1 / (z @ ones))[:, None]
+            z[row, digit] -= 1
         back = b @ self.low.T
-        dh = (a @ self.high.T + back * gate) * (1 - h * h)
-        dx = dh @ self.inner.T
-        some = [by_row(around.ravel(), dx.reshape(-1, WIDTH)), by_row(high, h * back), by_row(high, b)]
-        return some, [x.T @ dh, dh.sum(axis=0), h.T @ a, a.sum(axis=0), (h * gate).T @ b]
+        dh = (a @ self.high.T + back * self.gate[high]) * (1 - h * h)
+        dx = (dh @ self.inner.T).reshape(-1, WIDTH)
+        slots = around.ravel()
+        order = np.argsort(slots, kind="stable")
+        some = [by_row(slots[order], dx[order]), by_row(high, h * back), by_row(high, b)]
+        return some, [x.T @ dh, dh.sum(axis=0), h.T @ a, np.ones(len(a), a.dtype) @ a, gated.T @ b]
+
+
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where each new value begins, in sorted values."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
 
 
 def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    s = rows[order]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    return s[first], np.add.reduceat(values[order], first, axis=0)
+    """Distinct rows and the sums of their values; rows are sorted."""
+    first = firsts(rows)
+    return rows[first], np.add.reduceat(values, first, axis=0)
 
 
 class Descent:
@@ -357,7 +359,9 @@ def descended(found: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
             around = windows(tokens, cut)
             order = np.random.default_rng(len(tokens)).permutation(len(tokens))
             for k in range(0, len(tokens), BATCH):
-                way.step(around[order[k : k + BATCH]], tokens[order[k : k + BATCH]].astype(np.int64))
+                some = order[k : k + BATCH]
+                some = some[np.argsort(tokens[some], kind="stable")]
+                way.step(around[some], tokens[some].astype(np.int64))
             seen += len(tokens)
             if last:
                 if seen:

@@ -3,8 +3,9 @@
 The size of a document is its number of words (null text: none). Each source's target is its weight's share of all
 sizes, at most ``max_epochs`` times the source's size; what a full source cannot take is shared anew by weight until
 none is above. A source is taken whole as often as its target allows. For the rest of its budget, its documents are
-counted by exact size: a proportional share of every size is taken, then the largest sizes that still leave
-``WINDOW`` words, and a bounded-knapsack dynamic programme over the remaining counts fits the last words. The plan
+counted by exact size: a proportional share is taken along the sizes, fractions carried from one to the next, and a
+bounded-knapsack dynamic programme over the remaining counts fits the last words, an eighth of the budget or
+``WINDOW`` and the longest document at most. The plan
 is then a number of documents for each source and size, and which ones is settled by a seeded hash.
 
 What meets in one task is a source's table of sizes and counts: k distinct sizes need k * (k + 1) / 2 words, so the
@@ -12,11 +13,13 @@ table grows with the square root of the source at most. Documents are never rank
 count says whether it is taken whole, and only the one bucket on the border of each size is ranked.
 
 Null sources are one source, the last. Documents without words are never repeated or dropped by choice: they take 0
-words. Repeated rows (same doc_id and text) are interchangeable. An empty table gives no rows.
+words. Repeated rows (same doc_id and text) are interchangeable, and rows that tie in their hash go by doc_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate, pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import n_words, table, written
 
-#: Words that the dynamic programme fits, apart from the size of one document.
+#: Words that the dynamic programme fits at most, apart from the size of one document.
 WINDOW = 1 << 15
 #: Hash buckets of a source and size.
 BUCKETS = 4096
@@ -58,7 +61,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs
 def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each size, at most its count, add up to the largest sum within ``budget``."""
     items: list[tuple[int, int]] = []
-    for k, (size, count) in enumerate(zip(sizes, counts)):
+    # what comes first is taken first, so sizes come in no order of theirs
+    for k in sorted(range(len(sizes)), key=lambda k: (sizes[k] * 2654435761 % (1 << 32), k)):
+        size, count = sizes[k], counts[k]
         count, step = min(count, budget // size if size else 0), 1
         while count > 0:
             n = min(step, count)
@@ -85,22 +90,25 @@ def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
 
 
 def fit(sizes: list[int], counts: list[int], budget: int, total: int) -> list[int]:
-    """Documents to take of each size, so that their words are the most that ``budget`` holds, or nearly so.
+    """Documents to take of each size (ascending), so that their words are the most that ``budget`` holds, or nearly so.
 
-    ``total``: words of all of them. A proportional share first, so that every size keeps its part in the mix.
+    ``total``: words of all of them. A proportional share first, so that every part of the sizes keeps its part in the
+    mix, but for some words that the dynamic programme then fits.
     """
     if budget <= 0 or total <= 0:
         return [0] * len(sizes)
     if budget >= total:
         return list(counts)
-    take = [count * budget // total for count in counts]
+    # of each size and all lesser ones together as many as their share says: sizes that occur once have their turn as well
+    share = budget - min(WINDOW, budget // 8)
+    upto = [0, *accumulate(counts)]
+    take = [b * share // total - a * share // total for a, b in pairwise(upto)]
     left = budget - sum(t * s for t, s in zip(take, sizes))
-    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
-        if sizes[k] and left > WINDOW:
-            n = min(counts[k] - take[k], (left - WINDOW) // sizes[k])
-            take[k] += n
-            left -= n * sizes[k]
-    more = knapsack(sizes, [c - t for c, t in zip(counts, take)], min(left, WINDOW + max(sizes)))
+    for k in reversed(range(len(sizes))):  # rounding may have taken more, by one document at most
+        if left < 0 and take[k]:
+            take[k] -= 1
+            left += sizes[k]
+    more = knapsack(sizes, [c - t for c, t in zip(counts, take)], left)
     return [t + m for t, m in zip(take, more)]
 
 
@@ -135,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     # a source's name with a letter before it, so that null has a name too
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = named.withColumn("size", n_words(F.col("text")) if size is None else size.cast("long")).withColumns({"_source": name, "_bucket": bucket})
-    thin = written(sized.groupBy("_source", "size", "_bucket").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n")), "mix-counts")
+    thin = written(sized.groupBy("_source", "size", "_bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.when(F.col("_source") != "n", F.substr("_source", F.lit(2)))), "mix-counts")
     planned = plan(thin.groupBy("source", "size").agg(F.sum("n").alias("n")), weights, max_epochs)
     planned = planned.withColumn("_source", name).drop("source")
     # how many of each source, size and bucket: whole buckets up to the one on the border; a hot size has BUCKETS rows at most

@@ -8,12 +8,13 @@ A text's features are its distinct words (runs of letters or digits in lower cas
 slots), its words that carry other marks, and how few of its words are distinct; x has these at fixed scale, so one
 strong word counts in a long text as in a short one.
 
-Fitting reads a bounded sample of the labelled rows, ``max_labelled`` of the least seeded hash, and runs on the
-driver over sparse numpy rows. Scoring covers every document in one pass; the weights are ``4 << BITS`` bytes.
+Fitting reads a bounded sample of the labelled documents, ``max_labelled`` of the least seeded hash and of these as many
+as have ``max_slots`` distinct words together, and runs on the driver over sparse numpy rows. Scoring covers every document in one pass; the weights are ``4 << BITS`` bytes.
 
 Null and empty texts have no features but the constant one. Labels of unknown documents or without any rating are
 passed over; several labels of one document count as the lowest grade. With fewer than two grades in the sample every document is kept
-(tail 1, expected grade 2). Repeated rows keep one row each. An empty table gives no rows.
+(tail 1, expected grade 2). A tail of exactly the threshold is kept. Repeated rows keep one row each, and count once in
+the fit. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import table, texts
+from quillspark.llm.common import table, texts, written
 
 BITS = 18
 GRADES = 3
 #: Slots after the hashed words: ten for the share of marked words, ten for that of repeated ones, three for length.
 SHAPES = 23
 MAX_LABELLED = 12_000
+#: Distinct words and shapes, over all labelled rows, that are fitted on: the bound of what the driver holds.
+MAX_SLOTS = 8_000_000
 
 _MARKED = re.compile(rb"[\x21-\x2b\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]{2,}|[$%#*&|<>]")
 _STRIP = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
@@ -133,18 +136,27 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 5) -> Model:
-    """Fit on the ``max_labelled`` labelled documents of the least seeded hash."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_slots: int = MAX_SLOTS, seed: int = 5) -> Model:
+    """Fit on the ``max_labelled`` labelled documents of the least seeded hash, or as many of these as have ``max_slots`` slots."""
 
     def found(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            yield pa.RecordBatch.from_arrays([frame.column("grade").cast(pa.int32()), pa.array([features(t) for t in texts(frame)], pa.list_(pa.int32()))], names=["grade", "slots"])
+            slots = [features(t) for t in texts(frame)]
+            yield pa.RecordBatch.from_arrays([frame.column("h"), frame.column("doc_id"), frame.column("grade").cast(pa.int32()), pa.array(map(len, slots), pa.int64()), pa.array(slots, pa.list_(pa.int32()))], names=["h", "doc_id", "grade", "n", "slots"])
 
-    chosen = graded(labels).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled)
+    chosen = graded(labels).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(max_labelled)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows
-    rows = known.select("grade", "text").mapInArrow(found, "grade int, slots array<int>").limit(2 * max_labelled).toArrow()
-    slots, grades = rows.column("slots").combine_chunks(), rows.column("grade").to_numpy()
-    return fit(slots.flatten().to_numpy(), np.diff(slots.offsets.to_numpy()), grades)
+    # of several texts of one doc_id the first by code point counts
+    once = known.groupBy("h", "doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = written(once.mapInArrow(found, "h bigint, doc_id bigint, grade int, n bigint, slots array<int>"), "labelled")
+    sizes = rows.select("h", "doc_id", "n").orderBy("h", "doc_id").toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), max_slots, side="right"))
+    if fits < sizes.num_rows:
+        h, doc_id = (sizes.column(k)[fits].as_py() for k in ("h", "doc_id"))
+        rows = rows.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("doc_id") < doc_id)))
+    taken = rows.orderBy("h", "doc_id").select("grade", "slots").toArrow()
+    slots = taken.column("slots").combine_chunks()
+    return fit(slots.flatten().to_numpy(), np.diff(slots.offsets.to_numpy()), taken.column("grade").to_numpy())
 
 
 def judged(column: pa.Array, model: Model, seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:

@@ -55,8 +55,8 @@ MORE = (
     Rule("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=-]+)", 20, value=True),
 )
 
-#: Candidates are broadcast to the texts while they take no more than this, at 64 bytes each.
-BROADCAST_BYTES = 64 << 20
+#: Candidates are broadcast to the texts while they take no more than this, at 128 bytes each in a hash table of the JVM.
+BROADCAST_BYTES, CANDIDATE_BYTES = 64 << 20, 128
 #: Strings that a part of an expression may stand for are listed up to so many; beyond, it counts as unknown.
 _EXACT = 24
 
@@ -186,7 +186,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     # rules without trigrams scan each text where it is read; only texts that some rule may match go on to be verified
     mark = F.array_compact(F.array(*[F.when(F.col("text").rlike(rules[k].quick or rules[k].pattern), F.lit(k)) for k in full])) if full else F.expr("cast(array() as array<int>)")
     asked = written(asked, "secret-candidates")
-    if asked.count() * 64 <= BROADCAST_BYTES:  # else texts are shuffled to their candidates
+    if asked.count() * CANDIDATE_BYTES <= BROADCAST_BYTES:  # else texts are shuffled to their candidates
         asked = F.broadcast(asked)
     marked = docs.withColumn("_full", mark)
     wanted = marked.join(asked, marked.doc_id.eqNullSafe(F.col("_id")), "left")

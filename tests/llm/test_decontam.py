@@ -91,3 +91,19 @@ def test_lookup_misses_nothing_within_the_radius():
     window, item = size.lookup(near)
     want = {(a, b) for a in range(len(near)) for b in range(len(near)) if int(near[a] ^ size.prints[b]).bit_count() <= decontam.RADIUS}
     assert set(zip(window.tolist(), item.tolist())) == want
+
+
+def test_memory_of_a_long_text():
+    """An item at both ends of a text of some MB: what is held besides the words stays small."""
+    import tracemalloc
+
+    item = " ".join(f"w{k}" for k in range(40))
+    index = decontam.Index([(7, item)])
+    r = np.random.default_rng(2)
+    text = item + " " + " ".join(map(str, r.integers(0, 99999, 700_000))) + " " + item
+    raw = np.frombuffer(text.encode(), np.uint8)
+    tracemalloc.start()
+    found = list(index.search(raw, np.array([0, len(raw)]), decontam.WordHasher(decontam.FOLD)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 0, 0, 1.0)] and peak < 25 * len(raw)

@@ -64,3 +64,15 @@ def test_op6(spark, sf):
     again = mixing.op6(spark, sf).toPandas()
     key = ["doc_id", "size", "taken", "source"]
     assert sorted(map(str, found[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
+
+
+def test_rare_sizes_keep_their_part():
+    """Sizes that occur once: short and long documents are taken alike."""
+    sizes = list(range(10, 4010, 4))
+    counts = [1] * len(sizes)
+    total = sum(sizes)
+    budget = total * 2 // 5
+    took = fit(sizes, counts, budget, total)
+    assert sum(t * s for t, s in zip(took, sizes)) == budget and all(t in (0, 1) for t in took)
+    fourths = [sum(took[k : k + 250]) / 250 for k in range(0, 1000, 250)]
+    assert max(fourths) - min(fourths) < 0.15
