@@ -47,3 +47,14 @@ def relative(path: Column, root: str) -> Column:
     n = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(there), F.size(here))), lambda k: F.slice(there, 1, k) == F.slice(here, 1, k)))
     outside = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(here) - n), F.slice(there, n + 1, F.greatest(F.size(there) - n, F.lit(0)))), "/")
     return F.coalesce(inside, outside)
+
+
+def is_source(path: Column, suffixes: tuple[str, ...]) -> Column:
+    """Whether the path ends in one of the suffixes."""
+    return F.coalesce(F.array_max(F.array(*[path.endswith(s) for s in suffixes])), F.lit(False))
+
+
+def is_below(path: Column, names: tuple[str, ...]) -> Column:
+    """Whether one of the path's folders has one of the names."""
+    parts = F.split(path, "/")
+    return F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda c: c.isin(*names))

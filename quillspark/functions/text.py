@@ -56,7 +56,10 @@ def checked_word(word: str) -> str:
 
 
 def match_count(text: Column, word: str) -> Column:
-    """Matches of ``word`` in ``text`` that don't overlap."""
+    """Matches of ``word`` in ``text`` that don't overlap; a plain word is looked for without an expression."""
+    if _PLAIN_WORD.match(word):
+        left = F.octet_length(F.replace(text, F.lit(word), F.lit("")))
+        return ((F.octet_length(text) - left) / len(word.encode())).cast("int")
     return F.regexp_count(text, F.lit(checked_word(word)))
 
 

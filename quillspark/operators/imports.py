@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.paths import base_name, folder, normalized, relative
@@ -35,45 +35,72 @@ def base_of(rel_path: Column) -> Column:
     return F.regexp_replace(base_name(rel_path), r"(?<=.)\.ts$", "")
 
 
-def importers(corpus: DataFrame, root: str = "") -> DataFrame:
-    """(i, j): file j has an import that holds the name of file i, itself included, each pair once.
+def named(corpus: DataFrame, root: str = "") -> DataFrame:
+    """(scan_index, base): the name by which each file is found in imports."""
+    return corpus.select("scan_index", base_of(relative(F.col("path"), root)).alias("base"))
+
+
+def holders(corpus: DataFrame, root: str = "") -> DataFrame:
+    """(base, j): file j has an import that holds the name, each pair once.
 
     A name is held if it equals a piece of the import. Imports are cut into their pieces of the lengths that names
-    have, so files and imports meet by hash and not each with each.
+    have, so names and imports meet by hash and not each with each. Files of one name are one here: however many
+    they are, an import meets their name once.
     """
-    names = corpus.select(F.col("scan_index").alias("i"), base_of(relative(F.col("path"), root)).alias("base"))
-    lengths = names.select(F.length("base").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))  # file systems bound a name's length
+    bases = named(corpus, root).select("base").distinct()
+    lengths = bases.select(F.length("base").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))  # file systems bound a name's length
     deps = edges(corpus, root).select(F.col("scan_index").alias("j"), "dep").distinct()
     distinct = deps.select("dep").distinct().join(F.broadcast(lengths))
     starts = lambda n: F.when(F.length("dep") >= n, F.transform(F.sequence(F.lit(1), F.length("dep") - n + 1), lambda s: F.substr(F.col("dep"), s, n))).otherwise(F.expr("cast(array() as array<string>)"))
     pieces = distinct.select("dep", F.explode(F.array_distinct(F.flatten(F.transform("lengths", starts)))).alias("base"))
-    return pieces.join(names, "base").select("i", "dep").join(deps, "dep").select("i", "j").distinct()
+    return pieces.join(bases, "base", "left_semi").join(deps, "dep").select("base", "j").distinct()
+
+
+def importers(corpus: DataFrame, root: str = "") -> DataFrame:
+    """(i, j): file j has an import that holds the name of file i, itself included, each pair once.
+
+    This is the listing of all pairs; the boosts below don't need it.
+    """
+    return holders(corpus, root).join(named(corpus, root), "base").select(F.col("scan_index").alias("i"), "j")
 
 
 def _boosted(scored: DataFrame, sums: DataFrame) -> DataFrame:
+    """``scored`` with boost from ``sums`` (i, boost)."""
     boost = F.coalesce("boost", F.lit(0.0))
     return scored.join(sums.withColumnRenamed("i", "_i"), scored.scan_index == F.col("_i"), "left").drop("_i").withColumn("boost", F.when(boost > 0, boost).otherwise(F.lit(0.0)))
 
 
-def boost_at_once(scored: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``scored`` (scan_index, score, …) with boost, from all importers' own scores: no order matters."""
+def boost_at_once(scored: DataFrame, names: DataFrame, held: DataFrame) -> DataFrame:
+    """``scored`` (scan_index, score, …) with boost, from all importers' own scores: no order matters.
+
+    ``names`` as by ``named``, ``held`` as by ``holders``. A boost is of a name: it is summed once for each.
+    """
     of = scored.select(F.col("scan_index").alias("j"), F.col("score").alias("score_j"))
-    return _boosted(scored, pairs.join(of, "j").groupBy("i").agg(F.sum(F.col("score_j") * SHARE).alias("boost")))
+    sums = held.join(of, "j").groupBy("base").agg(F.sum(F.col("score_j") * SHARE).alias("boost"))
+    return _boosted(scored, names.join(sums, "base").select(F.col("scan_index").alias("i"), "boost"))
 
 
-def boost_in_order(scored: DataFrame, pairs: DataFrame) -> DataFrame:
+def boost_in_order(scored: DataFrame, names: DataFrame, held: DataFrame) -> DataFrame:
     """``scored`` with boost, where files earlier in the scan pass on what they were given.
 
-    Each file's boost takes earlier importers' boosted scores and later ones' own, so the system is strictly lower
-    triangular, and repeating the step settles it exactly after as many rounds as the longest chain of imports that
-    follows the scan. Rounds are joins; each is cut off by a table in the shared folder.
+    Each file's boost takes earlier importers' boosted scores and later ones' own: along the scan, a name's importers
+    and its files make running sums, whose window holds one row at a time. The system is strictly lower triangular,
+    and repeating the step settles it exactly after as many rounds as the longest chain of imports that follows the
+    scan; each round is cut off by a table in the shared folder.
     """
     base = written(scored.select("scan_index", "score"), "scores")
-    links = written(pairs, "importers")
+    links = written(held, "holders")
+    files = written(names.join(links.select("base").distinct(), "base", "left_semi"), "held-files")
     now = base.select("scan_index", F.col("score").alias("now"))
+    along = Window.partitionBy("base").orderBy("at", "importer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
-        of = base.join(now, "scan_index").select(F.col("scan_index").alias("j"), "score", "now")
-        sums = links.join(of, "j").groupBy("i").agg(F.sum(F.when(F.col("j") < F.col("i"), F.col("now")).otherwise(F.col("score")) * SHARE).alias("boost"))
+        of = base.join(now, "scan_index").select(F.col("scan_index").alias("at"), "score", "now")
+        given = links.withColumnRenamed("j", "at").join(of, "at").select("base", "at", F.lit(True).alias("importer"), "score", "now")
+        # a file comes before itself as an importer: its own import counts with its own score
+        taken = files.select("base", F.col("scan_index").alias("at"), F.lit(False).alias("importer"), F.lit(0.0).alias("score"), F.lit(0.0).alias("now"))
+        totals = given.groupBy("base").agg(F.sum("score").alias("total"))
+        earlier = given.unionByName(taken).withColumn("gain", F.sum(F.col("now") - F.col("score")).over(along)).where(~F.col("importer"))
+        sums = earlier.join(totals, "base").select(F.col("at").alias("i"), ((F.col("total") + F.col("gain")) * SHARE).alias("boost"))
         next_ = written(_boosted(base, sums).select("scan_index", (F.col("score") + F.col("boost")).alias("now"), "boost"), "boosts")
         old = now.select("scan_index", F.col("now").alias("old"))
         moved = next_.join(old, "scan_index").where(F.abs(F.col("now") - F.col("old")) > 1e-12).limit(1).count()

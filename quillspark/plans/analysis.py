@@ -15,7 +15,7 @@ from quillspark.operators.cache import ResultCache, cache_key
 from quillspark.sources import artefacts, code_tree
 from quillspark.sources.scope import Scope
 
-MAPPING_FILE = "code-analyzer.mapping.json"
+MAPPING_FILE = "symbols.mapping.json"
 RESULT = "path string, score double, skeleton string, original_token_count bigint, skeleton_token_count bigint"
 
 
@@ -38,8 +38,7 @@ def rank_enhanced(corpus: DataFrame, question: str, limit: int = 10, root: str =
     read = structure.file_metadata(corpus)
     scores = scoring.enhanced_score(F.col("path"), F.col("content"), question, F.col("exports"), F.col("symbol_count"), F.col("lines_of_code"))
     scored = read.select("scan_index", "path", F.col("imports").alias("dependencies"), "symbol_count", scores.alias("_s")).select("scan_index", "path", "dependencies", "symbol_count", "_s.*")
-    pairs = imports.importers(corpus, root)
-    boosted = (imports.boost_in_order if in_order else imports.boost_at_once)(scored, pairs)
+    boosted = (imports.boost_in_order if in_order else imports.boost_at_once)(scored, imports.named(corpus, root), imports.holders(corpus, root))
     return scoring.top(imports.with_boost(boosted), limit)
 
 

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.functions.paths import stem
+from quillspark.functions.paths import is_below, is_source, stem
 from quillspark.operators import cache, imports, scoring, structure
 from quillspark.plans import analysis, benchmark
-from quillspark.sources.code_tree import from_table
-from quillspark.sources.scope import IGNORED, Module, Scope
+from quillspark.sources.code_tree import from_table, scoped
+from quillspark.sources.scope import IGNORED, SUFFIXES, Module, Scope
 
 QUESTION = "Corpus license that reed thon de? src1"
 QUESTIONS = [("q1", QUESTION), ("q2", "the version of token"), ("q3", "license license public"), ("q4", "a of")]
@@ -270,7 +270,7 @@ def import_join(spark, d):
 @query(f"WITH {_BOOST_SQL} SELECT scan_index, round(base + boost, 9) AS score, round(boost, 9) AS boost FROM boosted")
 def dependency_boost_parallel(spark, d):
     corpus = code_corpus(spark, d)
-    boosted = imports.boost_at_once(_enhanced(spark, d), imports.importers(corpus))
+    boosted = imports.boost_at_once(_enhanced(spark, d), imports.named(corpus), imports.holders(corpus))
     return boosted.select("scan_index", F.round(F.col("score") + F.col("boost"), 9).alias("score"), F.round("boost", 9).alias("boost"))
 
 
@@ -278,7 +278,7 @@ def dependency_boost_parallel(spark, d):
 @query(f"WITH {_BOOST_SQL} SELECT scan_index, round(base + boost, 9) AS score, round(boost, 9) AS boost FROM boosted")
 def dependency_boost_ordered(spark, d):
     corpus = code_corpus(spark, d)
-    boosted = imports.boost_in_order(_enhanced(spark, d), imports.importers(corpus))
+    boosted = imports.boost_in_order(_enhanced(spark, d), imports.named(corpus), imports.holders(corpus))
     return boosted.select("scan_index", F.round(F.col("score") + F.col("boost"), 9).alias("score"), F.round("boost", 9).alias("boost"))
 
 
@@ -292,14 +292,14 @@ _LAYERS_SQL = f"""{CODE_SQL}, {_META_SQL}, {_SCORED_SQL}, {_DEPS_SQL}, {_PAIRS_S
 def dependency_boost_chain(spark, d):
     turned = -F.col("scan_index")
     corpus = code_corpus(spark, d).withColumn("scan_index", turned)
-    boosted = imports.boost_in_order(_enhanced(spark, d).withColumn("scan_index", turned), imports.importers(corpus))
+    boosted = imports.boost_in_order(_enhanced(spark, d).withColumn("scan_index", turned), imports.named(corpus), imports.holders(corpus))
     return boosted.select(turned.alias("scan_index"), F.round(F.col("score") + F.col("boost"), 9).alias("score"))
 
 
 @query(f"WITH {_BOOST_SQL} SELECT scan_index, path, round(base + boost, 9) AS score FROM boosted ORDER BY round(base + boost, 9) DESC, path LIMIT {LIMIT}")
 def rank_enhanced_topk(spark, d):
     corpus = code_corpus(spark, d)
-    boosted = imports.with_boost(imports.boost_at_once(_enhanced(spark, d), imports.importers(corpus)))
+    boosted = imports.with_boost(imports.boost_at_once(_enhanced(spark, d), imports.named(corpus), imports.holders(corpus)))
     return scoring.top(boosted.select("scan_index", "path", F.round("score", 9).alias("score")), LIMIT)
 
 
@@ -318,13 +318,12 @@ _PATHS_SQL = f"paths AS (SELECT doc_id, {_TOPS}[(doc_id % 7 + 1)::INT] || '/' ||
 
 @query(f"WITH {_PATHS_SQL} SELECT doc_id, path FROM paths WHERE path LIKE '%.ts' OR path LIKE '%.tsx'")
 def scan_filter_suffix(spark, d):
-    return _paths(spark, d).where(F.col("path").endswith(".ts") | F.col("path").endswith(".tsx"))
+    return _paths(spark, d).where(is_source(F.col("path"), SUFFIXES))
 
 
 @query(f"WITH {_PATHS_SQL} SELECT doc_id, path FROM paths WHERE len(list_filter(string_split(path, '/')[:-2], lambda c: list_contains({list(IGNORED)}, c))) = 0")
 def scan_prune_dirs(spark, d):
-    parts = F.split("path", "/")
-    return _paths(spark, d).where(~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda c: c.isin(*IGNORED)))
+    return _paths(spark, d).where(~is_below(F.col("path"), IGNORED))
 
 
 _SCOPE = Scope(modules=tuple(Module(k, f"corpus/{k}") for k in ("fr", "de", "en", "es")))
@@ -332,24 +331,17 @@ _SCOPE = Scope(modules=tuple(Module(k, f"corpus/{k}") for k in ("fr", "de", "en"
 
 @query(f"WITH {TEXT_SQL} SELECT CASE WHEN path LIKE 'corpus/fr/%' THEN 'fr' ELSE 'es' END AS module, scan_index, path FROM texts WHERE path LIKE 'corpus/fr/%' OR path LIKE 'corpus/es/%'")
 def scan_modules(spark, d):
-    corpus, out = text_corpus(spark, d), None
-    for m in _SCOPE.chosen(["es", "fr"]):
-        part = corpus.where(F.col("path").startswith(m.relative_path + "/")).select(F.lit(m.key).alias("module"), "scan_index", "path")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return scoped(text_corpus(spark, d), _SCOPE, ["es", "fr"]).select("module", "scan_index", "path")
 
 
 @query("SELECT key, relative_path FROM (VALUES ('fr', 'corpus/fr'), ('de', 'corpus/de'), ('en', 'corpus/en'), ('es', 'corpus/es')) m(key, relative_path) WHERE key IN ('es', 'xx', 'fr')")
 def module_semi_join(spark, d):
-    registry = spark.createDataFrame([(m.key, m.relative_path) for m in _SCOPE.modules], "key string, relative_path string")
-    return registry.join(spark.createDataFrame([("es",), ("xx",), ("fr",)], "key string"), "key", "left_semi")
+    return spark.createDataFrame([(m.key, m.relative_path) for m in _SCOPE.chosen(["es", "xx", "fr"])], "key string, relative_path string")
 
 
-@query("SELECT source, count(*) AS files FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY source")
+@query("SELECT lang AS module, count(*) AS files FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY lang")
 def union_modules(spark, d):
-    docs = _read(spark, d, "documents")
-    parts = [docs.where(F.col("source") == s).select("source") for s in ("src1", "src2", "src3")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count(F.lit(1)).alias("files"))
+    return scoped(text_corpus(spark, d), _SCOPE).groupBy("module").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(f"WITH {CODE_SQL}, {_META_SQL} SELECT scan_index, array_to_string(imports, ',') AS imports, array_to_string(exports, ',') AS exports, symbol_count, lines_of_code::INT AS lines_of_code FROM meta")
@@ -457,6 +449,6 @@ def benchmark_summary(spark, d):
 @query(f"WITH {_REDUCED_SQL}, b AS (SELECT scan_index, path, base + boost AS score FROM boosted) SELECT path, round(score, 9) AS score, original_tokens AS original_token_count, skeleton_tokens AS skeleton_token_count FROM b JOIN r USING (scan_index) ORDER BY round(score, 9) DESC, path LIMIT {LIMIT}".replace("WITH " + CODE_SQL, f"WITH {_BOOST_SQL}"))
 def analyze_enhanced(spark, d):
     corpus = code_corpus(spark, d)
-    boosted = imports.with_boost(imports.boost_at_once(_enhanced(spark, d), imports.importers(corpus)))
+    boosted = imports.with_boost(imports.boost_at_once(_enhanced(spark, d), imports.named(corpus), imports.holders(corpus)))
     ranked = scoring.top(boosted.withColumn("score", F.round("score", 9)), LIMIT).select("scan_index", "score")
     return analysis.analyses(ranked, corpus).select("path", "score", "original_token_count", "skeleton_token_count")

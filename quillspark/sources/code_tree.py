@@ -102,3 +102,13 @@ def scan_modules(spark: SparkSession, root: str, keys: list[str] | None = None,
 def from_table(table: DataFrame, path: F.Column, content: F.Column, scan_index: F.Column) -> DataFrame:
     """Rows of any table as a corpus."""
     return table.select(scan_index.cast("long").alias("scan_index"), path.alias("path"), content.alias("content"))
+
+
+def scoped(corpus: DataFrame, scope: Scope, keys: list[str] | None = None) -> DataFrame:
+    """Files of a corpus that lie in the scope's modules, with the module's key; paths are from the root on.
+
+    One pass over the corpus: the modules' folders are compared in the registry's order, and a file in two modules
+    comes twice, as ``scan_modules`` reads it twice.
+    """
+    of = F.array_compact(F.array(*[F.when(F.col("path").startswith(m.relative_path + "/"), F.lit(m.key)) for m in scope.chosen(keys)]))
+    return corpus.drop("module").select("*", F.explode(of).alias("module"))

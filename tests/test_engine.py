@@ -129,12 +129,15 @@ def test_boost_in_order(spark):
     r = random.Random(3)
     for n in (6, 15):
         scores = [r.uniform(-0.1, 1) for _ in range(n)]
-        pairs = {(r.randrange(n), r.randrange(n)) for _ in range(3 * n)}
+        bases = [f"b{r.randrange(max(2, n // 2))}" for _ in range(n)]  # files share names
+        held = {(r.choice(bases), r.randrange(n)) for _ in range(2 * n)}
+        pairs = {(i, j) for b, j in held for i in range(n) if bases[i] == b}
         scored = spark.createDataFrame(list(enumerate(scores)), "scan_index bigint, score double")
-        links = spark.createDataFrame(sorted(pairs), "i bigint, j bigint")
-        got = [r["score"] + r["boost"] for r in imports.boost_in_order(scored, links).orderBy("scan_index").collect()]
+        names = spark.createDataFrame(list(enumerate(bases)), "scan_index bigint, base string")
+        links = spark.createDataFrame(sorted(held), "base string, j bigint")
+        got = [r["score"] + r["boost"] for r in imports.boost_in_order(scored, names, links).orderBy("scan_index").collect()]
         assert got == pytest.approx(fold(scores, pairs))
-        at_once = [r["boost"] for r in imports.boost_at_once(scored, links).orderBy("scan_index").collect()]
+        at_once = [r["boost"] for r in imports.boost_at_once(scored, names, links).orderBy("scan_index").collect()]
         assert at_once == pytest.approx([max(0, sum(0.1 * scores[j] for a, j in pairs if a == i)) for i in range(n)])
 
 
@@ -147,6 +150,36 @@ def test_importers(spark):
     assert got == {(i, j) for i in range(4) for j in range(4) if any(base[i] in d for d in deps[j])}
 
 
+def test_path_rules_agree_with_the_walk(spark, tree):
+    """The rules as Columns pass the files that a walk finds, of all that are there."""
+    import os
+
+    from quillspark.functions.paths import is_below, is_source
+    from quillspark.sources.scope import IGNORED, SUFFIXES
+
+    root = f"{tree}/apps/meteor"
+    there = [os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names if not os.path.islink(os.path.join(d, f))]
+    rows = spark.createDataFrame([(p,) for p in there], "path string")
+    got = {r["path"] for r in rows.where(is_source(F.col("path"), SUFFIXES) & ~is_below(F.col("path"), IGNORED)).collect()}
+    assert got == {os.path.relpath(p, root) for p, _ in code_tree.walk(root)} and len(there) > len(got)
+
+
+def test_scoped_corpus(spark):
+    scope = Scope(modules=(Module("a", "x/a"), Module("b", "x/a/b"), Module("c", "y")))
+    corpus = spark.createDataFrame([(0, "x/a/f.ts", ""), (1, "x/a/b/g.ts", ""), (2, "x/ab/h.ts", ""), (3, "y/i.ts", "")], "scan_index bigint, path string, content string")
+    found = [(r["module"], r["scan_index"]) for r in code_tree.scoped(corpus, scope, ["b", "a"]).collect()]
+    assert sorted(found) == [("a", 0), ("a", 1), ("b", 1)]
+
+
+def test_plain_words_are_counted_as_expressions(spark):
+    from quillspark.functions import text as tx
+
+    rows = spark.createDataFrame([("aaaa a-a it's \u00e9t\u00e9 aaa",), ("",), (None,)], "t string")
+    for word in ("aa", "a-a", "it's", "\u00e9t\u00e9"):
+        got = [r[0] for r in rows.select(tx.match_count(F.col("t"), word)).collect()]
+        assert got == [r[0] for r in rows.select(F.regexp_count("t", F.lit(word))).collect()]
+
+
 def test_cache(spark, tree, tmp_path):
     held = cache.ResultCache(spark, str(tmp_path / "cache"))
     corpus = code_tree.scan_modules(spark, tree)
