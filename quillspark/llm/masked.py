@@ -46,7 +46,7 @@ REACH = 2
 WIDTH, HIDDEN = 12, 32
 PASSES, ROUNDS = 1, 4
 SHARD = 1 << 19
-BATCH, CHUNK = 1024, 1 << 15
+BATCH, CHUNK = 2048, 1 << 15
 RATE = 0.05
 #: Words of classes whose costs are broadcast, 12 bytes each.
 HEAD = 1 << 20
@@ -100,7 +100,16 @@ class Network:
         a += self.high_bias
         b = gated @ self.low
         b += self.low_bias[high]
-        return x, h, gated, np.minimum(a, 80, out=a), np.minimum(b, 80, out=b)
+        if self._bound() > 80:
+            np.minimum(a, 80, out=a)
+            np.minimum(b, 80, out=b)
+        return x, h, gated, a, b
+
+    def _bound(self) -> float:
+        """What no logit exceeds, as hidden units are at most 1."""
+        of_high = np.abs(self.high).sum(axis=0).max() + np.abs(self.high_bias).max()
+        of_low = (np.abs(self.gate).max(axis=0) @ np.abs(self.low)).max() + np.abs(self.low_bias).max()
+        return float(max(of_high, of_low))
 
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         out, ones = np.empty(len(token), np.float64), np.ones(BASE, self.high.dtype)
@@ -124,7 +133,7 @@ class Network:
         back = b @ self.low.T
         dh = (a @ self.high.T + back * self.gate[high]) * (1 - h * h)
         dx = (dh @ self.inner.T).reshape(-1, WIDTH)
-        slots = around.ravel()
+        slots = around.ravel().astype(np.uint16)  # sorted by their digits, in one go
         order = np.argsort(slots, kind="stable")
         some = [by_row(slots[order], dx[order]), by_row(high, h * back), by_row(high, b)]
         return some, [x.T @ dh, dh.sum(axis=0), h.T @ a, np.ones(len(a), a.dtype) @ a, gated.T @ b]
