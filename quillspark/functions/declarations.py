@@ -454,8 +454,7 @@ def declarations(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for source in content:
             try:
-                rows.append(([tuple(d[n] for n, _ in FIELDS) for d in read(source or "")], None))
+                rows.append(([{n: d[n] for n, _ in FIELDS} for d in read(source or "")], None))
             except Exception as e:  # a file that can't be read is reported in its skeleton
                 rows.append(([], str(e) or "Unknown error"))
-        items = [[dict(zip((n for n, _ in FIELDS), d)) for d in r[0]] for r in rows]
-        yield pd.DataFrame({"items": items, "error": [r[1] for r in rows]})
+        yield pd.DataFrame({"items": [r[0] for r in rows], "error": [r[1] for r in rows]})

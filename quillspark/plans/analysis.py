@@ -39,7 +39,8 @@ def rank_enhanced(corpus: DataFrame, question: str, limit: int = 10, root: str =
     scores = scoring.enhanced_score(F.col("path"), F.col("content"), question, F.col("exports"), F.col("symbol_count"), F.col("lines_of_code"))
     scored = read.select("scan_index", "path", F.col("imports").alias("dependencies"), "symbol_count", scores.alias("_s")).select("scan_index", "path", "dependencies", "symbol_count", "_s.*")
     boosted = (imports.boost_in_order if in_order else imports.boost_at_once)(scored, imports.named(corpus, root), imports.holders(corpus, root))
-    return scoring.top(imports.with_boost(boosted), limit)
+    # boosts are sums in no order, so scores that differ by less than any sum's error tie
+    return scoring.top(imports.with_boost(boosted).withColumn("score", F.round("score", 12)), limit)
 
 
 def analyses(ranked: DataFrame, corpus: DataFrame, root: str = "", mapped: bool = False) -> DataFrame:
@@ -69,10 +70,15 @@ def corpus_of(spark: SparkSession, options: Options, scope: Scope | None = None)
 def analyze(spark: SparkSession, options: Options, cache: ResultCache | None = None, scope: Scope | None = None) -> DataFrame:
     """The best files for the question: path, score, skeleton and token counts. May write a mapping, and uses ``cache``."""
     corpus, root = corpus_of(spark, options, scope)
-    if corpus.limit(1).count() == 0:
-        return spark.createDataFrame([], RESULT)
-    key = cache_key(root, options.question, options.module_keys, options.enhanced_ranking, options.limit, options.generate_mapping)
+    return analyze_corpus(corpus, root, options, cache)
+
+
+def analyze_corpus(corpus: DataFrame, root: str, options: Options, cache: ResultCache | None = None) -> DataFrame:
+    """``analyze`` of any corpus, whose paths are taken from ``root`` on. An empty one leaves no cache entry and no mapping."""
     use = cache if cache is not None and not options.skip_cache else None
+    if (use or options.generate_mapping) and corpus.isEmpty():
+        return corpus.sparkSession.createDataFrame([], RESULT)
+    key = cache_key(root, options.question, options.module_keys, options.enhanced_ranking, options.limit, options.generate_mapping)
     if use and (found := use.get(key, corpus)) is not None:
         return found
     if options.enhanced_ranking:

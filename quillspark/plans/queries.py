@@ -448,7 +448,32 @@ def benchmark_summary(spark, d):
 
 @query(f"WITH {_REDUCED_SQL}, b AS (SELECT scan_index, path, base + boost AS score FROM boosted) SELECT path, round(score, 9) AS score, original_tokens AS original_token_count, skeleton_tokens AS skeleton_token_count FROM b JOIN r USING (scan_index) ORDER BY round(score, 9) DESC, path LIMIT {LIMIT}".replace("WITH " + CODE_SQL, f"WITH {_BOOST_SQL}"))
 def analyze_enhanced(spark, d):
-    corpus = code_corpus(spark, d)
-    boosted = imports.with_boost(imports.boost_at_once(_enhanced(spark, d), imports.named(corpus), imports.holders(corpus)))
-    ranked = scoring.top(boosted.withColumn("score", F.round("score", 9)), LIMIT).select("scan_index", "score")
-    return analysis.analyses(ranked, corpus).select("path", "score", "original_token_count", "skeleton_token_count")
+    options = analysis.Options("", CODE_QUESTION, LIMIT, enhanced_ranking=True, boost_in_order=False)
+    found = analysis.analyze_corpus(code_corpus(spark, d), "", options)
+    return found.select("path", F.round("score", 9).alias("score"), "original_token_count", "skeleton_token_count")
+
+
+# nations without content: they are ranked, then left out, so fewer files than the limit come back
+@query(f"WITH {_REDUCED_SQL}, s AS (SELECT scan_index, path, {_sql_basic(CODE_QUESTION)} AS score FROM (SELECT scan_index, path, CASE WHEN scan_index >= 100 THEN '' ELSE content END AS content FROM code WHERE scan_index < 1000)), top AS (SELECT * FROM s ORDER BY score DESC, path LIMIT {LIMIT}) SELECT path, round(score, 9) AS score, original_tokens AS original_token_count, skeleton_tokens AS skeleton_token_count FROM top JOIN r USING (scan_index) WHERE scan_index < 100")
+def analyze_with_empty_files(spark, d):
+    corpus = code_corpus(spark, d).where("scan_index < 1000").withColumn("content", F.when(F.col("scan_index") >= 100, "").otherwise(F.col("content")))
+    found = analysis.analyze_corpus(corpus, "", analysis.Options("", CODE_QUESTION, LIMIT))
+    return found.select("path", F.round("score", 9).alias("score"), "original_token_count", "skeleton_token_count")
+
+
+_KEEPER = _code("/** Keeps. */|export class Keeper", "=s_suppkey", " {|  readonly size: number;|  constructor(private readonly first: number, second: string = 'b') {|    this.size = first + second.length;|  }|  grow(by: number): number {|    return this.size + by;|  }|}|")
+_KEEPERS_SQL = f"keepers AS (SELECT s_suppkey::BIGINT AS scan_index, 'app/keeper/k_' || s_suppkey || '.ts' AS path, {_KEEPER} AS content FROM supplier)"
+
+
+def keeper_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return from_table(_read(spark, d, "supplier"), F.expr("'app/keeper/k_' || s_suppkey || '.ts'"), F.expr(_KEEPER), F.col("s_suppkey"))
+
+
+@query(f"WITH {_KEEPERS_SQL} SELECT scan_index, " + _code("/* Skeleton of k_", "=scan_index", ".ts */||/** Keeps. */|export class Keeper", "=scan_index", " {|  readonly size: number;||  grow(by: number): number {|    /* trimmed */|  }||  constructor(private readonly first: number, second?: string) {|    /* trimmed */|  }||}") + " AS skeleton FROM keepers")
+def skeleton_constructor(spark, d):
+    return structure.skeletons(keeper_corpus(spark, d)).select("scan_index", "skeleton")
+
+
+@query(f"WITH {_KEEPERS_SQL} SELECT path, 'Keeper' || scan_index || '.' || kind AS symbol_id, kind AS symbol_name, symbol_type, a AS start_line, b AS end_line FROM keepers, (VALUES ('constructor', 'constructor', 4, 6), ('grow', 'method', 7, 9)) v(kind, symbol_type, a, b)")
+def symbol_constructors(spark, d):
+    return structure.symbols(structure.parsed(keeper_corpus(spark, d))).select(F.col("file_path").alias("path"), "symbol_id", "symbol_name", "symbol_type", "start_line", "end_line")
