@@ -60,13 +60,16 @@ def few(rows: DataFrame, tag: str, most: int = 10_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def joined_by(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+def joined_by(big: DataFrame, small: DataFrame, key: str, total: int, least: int = 1000) -> DataFrame:
     """``big`` joined with ``small``, which has one row a key, and in ``n`` the number of the key's rows in ``big``.
 
     Keys with more than a ten-thousandth of ``big``'s ``total`` rows, of which there can't be more than ten thousand, are
-    broadcast, so none of them meets in one task; the others are shuffled.
+    broadcast, so none of them meets in one task; the others are shuffled. A key of ``least`` rows or fewer is never in
+    the way.
     """
-    limit = max(total // 10_000, 1000)
+    limit = max(total // 10_000, least)
+    if total <= limit:
+        return big.join(small, key)
     hot = small.where(F.col("n") > limit)
     cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col("n") <= limit), key)
     return big.join(F.broadcast(hot), key).unionByName(cold)

@@ -46,6 +46,8 @@ PIVOTS = 24
 FILE_ROWS = 4096
 #: Files of so many rows or fewer are looked at together.
 SMALL = 64
+#: Edges that a node of a star may have before its join is split off.
+HUB = 100_000
 #: Bits in which fingerprints of distinct words may differ, and texts of a component that are compared in one task.
 WORD_RADIUS, MEMBERS = 8, 2048
 LOWER = np.where((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -82,7 +84,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (signed 64-bit) of each row of ``docs`` (doc_id, text)."""
 
     def prints(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in (some for frame in frames for some in slices(frame)):
             found = [fingerprint(shingle_hashes(t)) for t in texts(frame)]
             yield pa.RecordBatch.from_arrays([frame.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64())], schema=PRINTS)
 
@@ -267,7 +269,7 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-        joined = joined_by(both, least, "a", 2 * n)
+        joined = joined_by(both, least, "a", 2 * n, HUB)
         if large:
             return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -365,7 +367,7 @@ def near_copies(docs: DataFrame, similar: float = 0.8, n: int = 5, radius: int =
     """
 
     def prints(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in (some for frame in frames for some in slices(frame)):
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), frame.column("digest"), pa.array(word_prints(frame.column("text")), pa.int64())], names=["doc_id", "digest", "fp"])
 
     keyed = written(docs.mapInArrow(prints, "doc_id bigint, digest binary, fp bigint"), "word-prints")

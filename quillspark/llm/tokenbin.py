@@ -35,7 +35,7 @@ from quillspark.llm.common import WordHasher, new_path, parts, table
 
 BLOCK_IDS = 1 << 16
 #: Chunks, and parts of chunks, whose ids a worker remembers; then it forgets all and starts anew.
-CACHE_CHUNKS, CACHE_PARTS = 1_000_000, 600_000
+CACHE_CHUNKS, CACHE_PARTS = 400_000, 200_000
 
 BLOCKS = "part int, block int, first bigint, n_ids bigint, bits int, doc_ids array<bigint>, lens array<bigint>, payload binary"
 BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("payload", pa.binary())])

@@ -187,3 +187,15 @@ def test_rows_of_one_id_and_different_texts(spark):
     rows = [(1, " ".join(words)), (1, " ".join(reversed(words))), (2, " ".join(reversed(words)) + " end"), (3, " ".join(words) + " end")]
     found = simhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(map(tuple, found)) == sorted(rows[:2])
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    """A star of many edges, with its hub split off and not."""
+    from pyspark.sql import functions as F
+
+    edges = [(5, 10 + k) for k in range(3000)] + [(10 + k, 9000 + k) for k in range(0, 3000, 7)] + [(1, 2), (2, 3)]
+    for hub in (1000, 100_000):
+        monkeypatch.setattr(simhash, "HUB", hub)
+        found = components(spark.createDataFrame(edges, "a bigint, b bigint"))
+        got = {r["root"]: r["n"] for r in found.groupBy("root").agg(F.count_distinct("node").alias("n")).collect()}
+        assert got == {5: len({x for e in edges[:-2] for x in e}), 1: 3}
