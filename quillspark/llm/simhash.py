@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WordHasher, joined_by, pieces, slices, table, texts, written
+from quillspark.llm.common import WordHasher, few, joined_by, pieces, slices, table, texts, written
 from quillspark.llm.decontam import shingles
 
 SHINGLE_WORDS = 4
@@ -376,7 +376,7 @@ def near_copies(docs: DataFrame, similar: float = 0.8, n: int = 5, radius: int =
     # components of one text need no comparison
     sizes = named.groupBy("root").agg(F.sum("n").alias("texts"), F.count(F.lit(1)).alias("n"))
     several = written(joined_by(named.select("fp", "root", F.col("n").alias("rows")), sizes, "root", named.count()).where("texts > 1").select("fp", "root", F.col("rows").alias("n")), "several")
-    members = joined_by(texts_, several, "fp", texts_.count()).select("digest", "doc_id", "root")
+    members = few(joined_by(texts_, several, "fp", texts_.count()).select("digest", "doc_id", "root"), "members", 200_000)
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in (some for frame in frames for some in slices(frame)):
