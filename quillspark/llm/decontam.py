@@ -16,7 +16,7 @@ some ten bytes for each of its bytes.
 The benchmark is a stated query set. It is read in blocks of at most ``BLOCK_BYTES`` of text, whose number follows
 its measured size; each block is broadcast and the documents pass by it. Nothing is shuffled.
 
-Null and empty texts and items match nothing. A document shorter than an item is one window. Of several windows of a
+Null and empty texts and items match nothing. Items that tie in a document each give their row. A document shorter than an item is one window. Of several windows of a
 pair the most similar one counts, then the first. Repeated rows each give their pairs. Clashing extra columns of the
 documents are not read by ``leaks`` and are kept by ``decontaminated``.
 """

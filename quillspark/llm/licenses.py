@@ -7,7 +7,9 @@ notices: the table here and what the caller adds, broadcast while it is counted
 
 Canonical forms are made once a document; the join then runs over 16-byte digests. Copies of a line in a text count
 once each in n_notices. Null and empty texts have the digest of the empty string, which is no licence. Repeated rows
-and rows without doc_id keep one row each. Extra columns are not read; an empty table gives no rows.
+and rows without doc_id keep one row each. A digest that several licences share names the first of them by name. A very
+long text is cut into its lines in its own row; only digests leave it. Extra columns are not read; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

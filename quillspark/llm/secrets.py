@@ -12,8 +12,9 @@ Matches are leftmost and do not overlap, by kind; positions are code points, end
 gives what lies before each match and the match itself, so positions are running sums of lengths.
 
 Null and empty texts have no spans, but a row. Repeated rows and rows without doc_id keep one row each: the postings
-of one doc_id are taken together, which may only add candidates. Extra columns are not read; an empty table gives no
-rows.
+of one doc_id are taken together, which may only add candidates. Spans that begin at one place go by their kind's place
+in the list. A very long text is one value of its row, as everywhere in Spark SQL; its matches are one array. Extra
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ large-star and small-star steps, whose state is a table in the shared folder.
 words, and verifies them by the exact similarity of their sets of five-word shingles, component by component.
 
 Null and empty texts have the fingerprint zero and link like any other. Null doc_ids take part and count for no
-component's name, unless all of it are null. Repeated rows keep one row each. Other columns are not read.
+component's name, unless all of it are null. Repeated rows keep one row each. A bit that half the shingles set is zero.
+Of a very long text the hashes of its shingles are held. Other columns are not read.
 """
 
 from __future__ import annotations
