@@ -12,8 +12,9 @@ What meets in one task is a source's table of sizes and counts: k distinct sizes
 table grows with the square root of the source at most. Documents are never ranked by the group: a hash bucket's
 count says whether it is taken whole, and only the one bucket on the border of each size is ranked.
 
-Null sources are one source, the last. Documents without words are never repeated or dropped by choice: they take 0
-words. A very long text counts by its words alone. Repeated rows (same doc_id and text) are interchangeable, and rows that tie in their hash go by doc_id. An empty table gives no rows.
+Null sources are one source, the last. Documents without words take 0 words; they are taken in the proportion of the
+others. A very long text counts by its words alone. Repeated rows (same doc_id and text) are interchangeable, and rows
+that tie in their hash go by doc_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
