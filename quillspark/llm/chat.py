@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batches, table
+from quillspark.llm.common import batches, lean, table
 
 TURN, BODY, END = "<turn>", "<body>", "</turn>"
 #: Markers of other templates, escaped as well so that no reader takes content for a turn.
@@ -116,7 +116,7 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None, learned_ro
 
     def turns(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(file)
-        for frame in frames:
+        for frame in lean(frames):
             sizes = np.cumsum(frame.column(4).to_numpy())
             a = 0
             while a < frame.num_rows:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.shared import new_path, shared_dir, written
 
-__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "few", "head_from", "joined_by", "mixed", "n_words", "new_path", "parts", "pieces", "shared_dir", "size_class", "slices", "table", "texts", "written"]
+__all__ = ["BLANK", "FOLD", "WORD", "WordHasher", "batch_of", "batches", "few", "head_from", "joined_by", "lean", "mixed", "n_words", "new_path", "parts", "pieces", "shared_dir", "size_class", "slices", "table", "texts", "written"]
 
 #: A word is a run of anything but these characters (space, tab to carriage return).
 #: ``bytes.split()`` splits at exactly this set, which the Python paths rely on.
@@ -45,6 +45,13 @@ def batch_of(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def lean(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches one after another; memory that Arrow holds of earlier ones goes back to the system."""
+    for frame in frames:
+        pa.default_memory_pool().release_unused()
+        yield frame
+
+
 def slices(frame: pa.RecordBatch, column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch, some MB of one of its string columns at a time; at least a row."""
     a, upto = 0, np.cumsum(pc.fill_null(pc.binary_length(frame.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import FOLD, WordHasher, pieces, table
+from quillspark.llm.common import FOLD, WordHasher, lean, pieces, table
 
 SHINGLE_WORDS = 5
 RADIUS = 17
@@ -209,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def pairs(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, hasher = sent.value, WordHasher(FOLD)
-            for frame in frames:
+            for frame in lean(frames):
                 ids = frame.column("doc_id").cast(pa.int64()).to_pylist()
                 rows = [(ids[a + t], index.ids[i], start, distance, similar) for a, _, data, edges in pieces(frame.column("text")) for t, i, start, distance, similar in index.search(data, edges, hasher)]
                 if rows:
@@ -226,7 +226,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def clean(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, hasher = sent.value, WordHasher(FOLD)
-            for frame in frames:
+            for frame in lean(frames):
                 keep = np.ones(frame.num_rows, bool)
                 for a, _, data, edges in pieces(frame.column("text")):
                     for t, *_ in index.search(data, edges, hasher):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import FOLD, WordHasher, head_from, parts, size_class, slices, table, written
+from quillspark.llm.common import FOLD, WordHasher, head_from, lean, parts, size_class, slices, table, written
 
 BASE = 128
 VOCABULARY = BASE * BASE
@@ -203,7 +203,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], schema=schema)
             held.clear()
 
-        for frame in frames:
+        for frame in lean(frames):
             for _, _, data, edges in parts(frame.column("text")):
                 held.append(np.unique(hasher(data, edges)[2], return_counts=True))
                 if sum(len(w) for w, _ in held) > 2 * HELD:
@@ -294,7 +294,7 @@ def tokenised(docs: DataFrame, words: Words) -> DataFrame:
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hasher = sent.value, WordHasher(FOLD)
-        for frame in (some for frame in frames for some in slices(frame)):
+        for frame in (some for frame in lean(frames) for some in slices(frame)):
             cost = np.zeros(frame.num_rows, np.int64)
             ids: list[list[bytes]] = [[] for _ in range(frame.num_rows)]
             open_: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import table, texts, written
+from quillspark.llm.common import lean, table, texts, written
 
 BITS = 18
 GRADES = 3
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """Fit on the ``max_labelled`` labelled documents of the least seeded hash, or as many of these as have ``max_slots`` slots."""
 
     def found(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in lean(frames):
             slots = [features(t) for t in texts(frame)]
             yield pa.RecordBatch.from_arrays([frame.column("h"), frame.column("doc_id"), frame.column("grade").cast(pa.int32()), pa.array(map(len, slots), pa.int64()), pa.array(slots, pa.list_(pa.int32()))], names=["h", "doc_id", "grade", "n", "slots"])
 
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for frame in frames:
+        for frame in lean(frames):
             expected, tail = judged(frame.column("text"), sent.value, seen)
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], names=names)
 
@@ -190,7 +190,7 @@ def select(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) ->
 
     def kept(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for frame in frames:
+        for frame in lean(frames):
             yield frame.filter(pa.array(judged(frame.column("text"), sent.value, seen)[1] >= least))
 
     return docs.mapInArrow(kept, docs.schema)

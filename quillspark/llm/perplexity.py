@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batch_of, few, head_from, mixed, size_class, slices, table, texts, written
+from quillspark.llm.common import batch_of, few, head_from, lean, mixed, size_class, slices, table, texts, written
 
 ORDER = 5
 BITS = 12
@@ -130,7 +130,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), pa.array(c), pa.array(n[k : k + (1 << 16)])], schema=schema)
             held.clear()
 
-        for frame in frames:
+        for frame in lean(frames):
             for some in slices(frame):
                 for name, _, codes, _ in _pieces(some):
                     held.setdefault(name, []).append(np.unique(codes, return_counts=True))
@@ -275,7 +275,7 @@ def measured(docs: DataFrame, head: int = HEAD) -> DataFrame:
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = Head(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for frame in (some for frame in frames for some in slices(frame)):
+        for frame in (some for frame in lean(frames) for some in slices(frame)):
             n_grams, cost = np.zeros(frame.num_rows, np.int64), np.zeros(frame.num_rows, np.int64)
             open_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
             for name, row, codes, n in _pieces(frame):

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WordHasher, few, joined_by, pieces, slices, table, texts, written
+from quillspark.llm.common import WordHasher, few, joined_by, lean, pieces, slices, table, texts, written
 from quillspark.llm.decontam import shingles
 
 SHINGLE_WORDS = 4
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (signed 64-bit) of each row of ``docs`` (doc_id, text)."""
 
     def prints(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in (some for frame in frames for some in slices(frame)):
+        for frame in (some for frame in lean(frames) for some in slices(frame)):
             found = [fingerprint(shingle_hashes(t)) for t in texts(frame)]
             yield pa.RecordBatch.from_arrays([frame.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64())], schema=PRINTS)
 
@@ -368,7 +368,7 @@ def near_copies(docs: DataFrame, similar: float = 0.8, n: int = 5, radius: int =
     """
 
     def prints(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in (some for frame in frames for some in slices(frame)):
+        for frame in (some for frame in lean(frames) for some in slices(frame)):
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), frame.column("digest"), pa.array(word_prints(frame.column("text")), pa.int64())], names=["doc_id", "digest", "fp"])
 
     keyed = written(docs.mapInArrow(prints, "doc_id bigint, digest binary, fp bigint"), "word-prints")
@@ -380,7 +380,7 @@ def near_copies(docs: DataFrame, similar: float = 0.8, n: int = 5, radius: int =
     members = few(joined_by(texts_, several, "fp", texts_.count()).select("digest", "doc_id", "root"), "members", 200_000)
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in (some for frame in frames for some in slices(frame)):
+        for frame in (some for frame in lean(frames) for some in slices(frame)):
             sets = [x.view(np.int64) for x in word_shingles(frame.column("text"), n)]
             edges = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([frame.column("file"), frame.column("digest"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(sets)))], names=["file", "digest", "shingles"])

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WordHasher, new_path, parts, table
+from quillspark.llm.common import WordHasher, lean, new_path, parts, table
 
 BLOCK_IDS = 1 << 16
 #: Chunks, and parts of chunks, whose ids a worker remembers; then it forgets all and starts anew.
@@ -299,7 +299,7 @@ def _block_writer(file: str, end_id: int, bits: int) -> Callable[[Iterator[pa.Re
             first, block = first + size, block + 1
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, BLOCKS_ARROW)], schema=BLOCKS_ARROW)
 
-        for frame in frames:
+        for frame in lean(frames):
             for k in range(0, frame.num_rows, 500):
                 some = frame.slice(k, 500)
                 ids, n = enc.encode(some.column(1))
