@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import base, chat, decontam, licenses, masked, mixing, ordinal, perplexity, secrets, simhash, tokenbin
+from quillspark.llm import base, chat, decontam, licenses, masked, mixing, ordinal, perplexity, secrets, simhash, tokenbin, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": licenses.op8,
         "op9_quality_classifier": ordinal.op9,
         "op10_decontamination": decontam.op10,
+        "op12_variants": variants.op12,
     } | base.FOUND
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.ORACLE_SQL} | base.SQL
+    return {"op8_licenses": licenses.ORACLE_SQL, "op12_variants": variants.ORACLE_SQL} | base.SQL
