@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import base, chat, decontam, licenses, masked, mixing, ordinal, perplexity, secrets, simhash, tokenbin, variants
+from quillspark.llm import base, chat, decontam, licenses, masked, mixing, ordinal, perplexity, secrets, simhash, tokenbin, toxicity, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": ordinal.op9,
         "op10_decontamination": decontam.op10,
         "op12_variants": variants.op12,
+        "op13_toxicity": toxicity.op13,
     } | base.FOUND
 
 
