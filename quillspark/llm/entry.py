@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import base, chat, decontam, licenses, masked, mixing, ordinal, perplexity, secrets, simhash, tokenbin, toxicity, variants
+from quillspark.llm import alignment, base, chat, decontam, licenses, masked, mixing, ordinal, perplexity, secrets, simhash, tokenbin, toxicity, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": licenses.op8,
         "op9_quality_classifier": ordinal.op9,
         "op10_decontamination": decontam.op10,
+        "op11_alignment": alignment.op11,
         "op12_variants": variants.op12,
         "op13_toxicity": toxicity.op13,
     } | base.FOUND

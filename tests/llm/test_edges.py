@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from quillspark.llm import entry
 
-ONE_ROW_EACH = ["op1_secrets", "op2_quality_rules", "op4_masked_likelihood", "op5_token_binary", "op6_mixing", "op7_simhash", "op8_licenses", "op9_quality_classifier", "op13_toxicity"]
+ONE_ROW_EACH = ["op1_secrets", "op2_quality_rules", "op4_masked_likelihood", "op5_token_binary", "op6_mixing", "op7_simhash", "op8_licenses", "op9_quality_classifier", "op11_alignment", "op13_toxicity"]
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
