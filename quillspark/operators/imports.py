@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.paths import base_name, folder, normalized, relative
 from quillspark.functions.text import SPACE
+from quillspark.operators.prefix import ROWS_A_RANGE, joined_hot, ranges
 from quillspark.sources.shared import written
 
 # The expression for imports, its braces escaped for Java, and the share of an importer's score.
@@ -77,30 +78,31 @@ def boost_at_once(scored: DataFrame, names: DataFrame, held: DataFrame) -> DataF
     """
     of = scored.select(F.col("scan_index").alias("j"), F.col("score").alias("score_j"))
     sums = held.join(of, "j").groupBy("base").agg(F.sum(F.col("score_j") * SHARE).alias("boost"))
-    return _boosted(scored, names.join(sums, "base").select(F.col("scan_index").alias("i"), "boost"))
+    return _boosted(scored, joined_hot(names, written(sums, "boosts"), "base").select(F.col("scan_index").alias("i"), "boost"))
 
 
-def boost_in_order(scored: DataFrame, names: DataFrame, held: DataFrame) -> DataFrame:
+def boost_in_order(scored: DataFrame, names: DataFrame, held: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """``scored`` with boost, where files earlier in the scan pass on what they were given.
 
     Each file's boost takes earlier importers' boosted scores and later ones' own: along the scan, a name's importers
-    and its files make running sums, whose window holds one row at a time. The system is strictly lower triangular,
-    and repeating the step settles it exactly after as many rounds as the longest chain of imports that follows the
-    scan; each round is cut off by a table in the shared folder.
+    and its files make running sums. They are dealt out by ranges of name and scan (``prefix``), so no task holds a
+    name that very many files have or import. The system is strictly lower triangular, and repeating the step settles
+    it exactly after as many rounds as the longest chain of imports that follows the scan; each round is cut off by a
+    table in the shared folder.
     """
     base = written(scored.select("scan_index", "score"), "scores")
     links = written(held, "holders")
-    files = written(names.join(links.select("base").distinct(), "base", "left_semi"), "held-files")
+    of = base.select(F.col("scan_index").alias("j"), "score")
+    totals = written(links.join(of, "j").groupBy("base").agg(F.sum("score").alias("total")), "totals")
+    # a file comes before itself as an importer: its own import counts with its own score
+    importers_ = links.select("base", F.col("j").alias("at"), F.lit(True).alias("importer"), F.lit(None).cast("double").alias("total"))
+    files = joined_hot(names, totals, "base").select("base", F.col("scan_index").alias("at"), F.lit(False).alias("importer"), "total")
+    dealt = ranges(importers_.unionByName(files), "base", "at", "importer", rows_a_range=rows_a_range)
     now = base.select("scan_index", F.col("score").alias("now"))
-    along = Window.partitionBy("base").orderBy("at", "importer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
-        of = base.join(now, "scan_index").select(F.col("scan_index").alias("at"), "score", "now")
-        given = links.withColumnRenamed("j", "at").join(of, "at").select("base", "at", F.lit(True).alias("importer"), "score", "now")
-        # a file comes before itself as an importer: its own import counts with its own score
-        taken = files.select("base", F.col("scan_index").alias("at"), F.lit(False).alias("importer"), F.lit(0.0).alias("score"), F.lit(0.0).alias("now"))
-        totals = given.groupBy("base").agg(F.sum("score").alias("total"))
-        earlier = given.unionByName(taken).withColumn("gain", F.sum(F.col("now") - F.col("score")).over(along)).where(~F.col("importer"))
-        sums = earlier.join(totals, "base").select(F.col("at").alias("i"), ((F.col("total") + F.col("gain")) * SHARE).alias("boost"))
+        gains = base.join(now, "scan_index").select(F.col("scan_index").alias("at"), (F.col("now") - F.col("score")).alias("gain"))
+        given = dealt.rows.join(gains, "at").withColumn("gain", F.when(F.col("importer"), F.col("gain")))
+        sums = dealt.running(given, gained=F.col("gain")).where(~F.col("importer")).select(F.col("at").alias("i"), ((F.col("total") + F.col("gained")) * SHARE).alias("boost"))
         next_ = written(_boosted(base, sums).select("scan_index", (F.col("score") + F.col("boost")).alias("now"), "boost"), "boosts")
         old = now.select("scan_index", F.col("now").alias("old"))
         moved = next_.join(old, "scan_index").where(F.abs(F.col("now") - F.col("old")) > 1e-12).limit(1).count()
