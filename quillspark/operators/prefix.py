@@ -62,3 +62,17 @@ def joined_hot(big: DataFrame, small: DataFrame, key: str, hot_rows: int = HOT_R
     hot = written(big.groupBy(key).count().where(F.col("count") > hot_rows).select(key).join(small, key), "hot-keys")
     cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small, key)
     return big.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def numbered(rows: DataFrame, name: str, *order: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """``rows`` with their numbers from 0 along ``order``, in which no two tie; written to the shared folder, in no order.
+
+    Ranges are counted, and each range numbers its own rows from where the ones before it end.
+    """
+    rows = written(rows, "unnumbered")
+    n = max(1, -(-rows.count() // rows_a_range))
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return written(dealt.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own") - 1).drop("_range", "_start", "_own"), "numbered")

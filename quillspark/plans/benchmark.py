@@ -37,7 +37,11 @@ def sampled_tokens(corpus: DataFrame, max_files: int = SAMPLE_FILES) -> DataFram
     Files that can't be read count as files.
     """
     first = F.col("scan_index") < max_files
-    counted = corpus.agg(F.count(F.lit(1)).alias("file_count"), F.count_if(first).alias("read"), F.coalesce(F.sum(F.when(first, token_count(F.col("content")))), F.lit(0)).alias("tokens"))
+    none = F.lit(0).cast("long")
+    # content is asked for behind the filter, so only these files are read
+    files = corpus.agg(F.count(F.lit(1)).alias("file_count"), F.count_if(first).alias("read")).withColumn("tokens", none)
+    tokens = corpus.where(first).agg(F.coalesce(F.sum(token_count(F.col("content"))), none).alias("tokens")).select(none.alias("file_count"), none.alias("read"), "tokens")
+    counted = files.unionByName(tokens).agg(*[F.sum(c).alias(c) for c in ("file_count", "read", "tokens")])
     sampled = F.col("file_count") > F.col("read")
     return counted.select("file_count", F.when(sampled, rounded(F.col("tokens") / F.col("read") * F.col("file_count"))).otherwise(F.col("tokens")).cast("long").alias("total_tokens"), sampled.alias("is_sampled"))
 

@@ -15,6 +15,7 @@ from quillspark.functions import text as tx
 from quillspark.functions.paths import is_below, is_source, stem
 from quillspark.operators import cache, imports, scoring, structure
 from quillspark.plans import analysis, benchmark
+from quillspark.sources import code_tree
 from quillspark.sources.code_tree import from_table, scoped
 from quillspark.sources.scope import IGNORED, SUFFIXES, Module, Scope
 
@@ -326,6 +327,30 @@ def scan_prune_dirs(spark, d):
     return _paths(spark, d).where(~is_below(F.col("path"), IGNORED))
 
 
+# the derived modules as files of a real tree, with copies in folders and under names that a scan passes over
+_COPIES = [("'lib/.hidden/' || path", True), ("'app/node_modules/' || path", False), ("'dist/' || path", False), ("path || '.js'", False), ("'a.b/' || path", True), ("'a/' || path", True), ("'_x.tsx/' || path || 'x'", True)]
+
+
+def tree_of(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus that a scan finds in a tree of files, which tasks write into the shared folder first."""
+    root, code = code_tree.local_folder(spark, "tree"), code_corpus(spark, d).select("path", "content")
+    code_tree.write_tree(code.unionByName(code.select(F.explode(F.array(*[F.expr(p) for p, _ in _COPIES])).alias("path"), "content")), root)
+    return code_tree.scan(spark, root)
+
+
+_TREE_SQL = f"{CODE_SQL}, tree AS (SELECT path, content FROM code " + "".join(f"UNION ALL SELECT {p}, content FROM code " for p, kept in _COPIES if kept) + "), numbered AS (SELECT row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS scan_index, path, content FROM tree)"
+
+
+@query(f"WITH {_TREE_SQL} SELECT scan_index, path AS rel_path, md5(content) AS md5 FROM numbered")
+def scan_tree(spark, d):
+    return tree_of(spark, d).select("scan_index", "rel_path", F.md5("content").alias("md5"))
+
+
+@query(f"WITH {_TREE_SQL} SELECT count(*) AS file_count, floor(sum(CASE WHEN scan_index < 50 THEN {_tokens_sql('content')} END) / count(CASE WHEN scan_index < 50 THEN 1 END) * count(*) + 0.5)::BIGINT AS total_tokens, count(*) > 50 AS is_sampled FROM numbered")
+def scan_tree_sample(spark, d):
+    return benchmark.sampled_tokens(tree_of(spark, d), 50)
+
+
 _SCOPE = Scope(modules=tuple(Module(k, f"corpus/{k}") for k in ("fr", "de", "en", "es")))
 
 
