@@ -40,7 +40,7 @@ HEAD, MOST_PAIRS = 1 << 19, 1 << 21
 HELD, PIECE, BLOCK_BYTES = 1 << 19, 1 << 20, 1 << 20
 SLICE = 1 << 17
 
-SEGMENTS = "h bigint, segment binary, n bigint"
+SEGMENTS = "segment binary, n bigint"
 ALIGNED = "h bigint, n bigint, n_a int, n_b int, groups binary, links array<bigint>"
 SCORED = "h bigint, n bigint, n_a int, n_b int, n_groups int, n_best int, count_sum bigint, groups binary"
 BLOCKS = "block bigint, doc_ids array<bigint>, sizes array<bigint>, slots binary, rare array<bigint>"
@@ -127,6 +127,11 @@ class Pair:
     def segments(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where segments begin, their hashes, and the edges counted in segments."""
         begins = np.union1d(edges[:-1], self.cuts(data))
+        return begins, self.hashes(data, begins), np.searchsorted(begins, edges)
+
+    @staticmethod
+    def hashes(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Hashes of the segments that begin there and fill ``data``."""
         place = np.arange(len(data)) - np.repeat(begins, np.diff(np.r_[begins, len(data)]))
         value = _VALUES[((place & 63) << 8) | data]
         far = np.flatnonzero(place >= 64)
@@ -134,7 +139,7 @@ class Pair:
             value[far] = mixed(value[far] + (place[far] >> 6).astype(np.uint64))
         sums = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)][np.r_[begins, len(data)]]
         lens = np.diff(np.r_[begins, len(data)]).astype(np.uint64)
-        return begins, mixed(np.diff(sums) + lens), np.searchsorted(begins, edges)
+        return mixed(np.diff(sums) + lens)
 
     def align(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
         """Alignments of the segments that lie in ``data`` from edge to edge, and that may follow each other so.
@@ -201,12 +206,11 @@ def _whole(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def distinct_segments(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
-    """(h, segment, n): the distinct segments of all texts and how often they come."""
+    """(segment, n): the distinct segments of all texts and how often they come."""
 
     def found(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files)
         known, slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and which of the held they are
-        hashes: list[np.ndarray] = []
         bytes_: list[np.ndarray] = []
         lens: list[np.ndarray] = []
         counts = np.zeros(0, np.int64)
@@ -214,11 +218,11 @@ def distinct_segments(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             if not len(counts):
                 return
-            h, size, pool = np.concatenate(hashes), np.concatenate(lens), np.concatenate(bytes_)
+            size, pool = np.concatenate(lens), np.concatenate(bytes_)
             edges = np.r_[0, np.cumsum(size)]
-            for k in range(0, len(h), 1 << 16):
-                m = min(k + (1 << 16), len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(h[k:m].view(np.int64)), binary(pool[edges[k] : edges[m]], edges[k : m + 1] - edges[k]), pa.array(counts[k:m])], names=["h", "segment", "n"])
+            for k in range(0, len(size), 1 << 16):
+                m = min(k + (1 << 16), len(size))
+                yield pa.RecordBatch.from_arrays([binary(pool[edges[k] : edges[m]], edges[k : m + 1] - edges[k]), pa.array(counts[k:m])], names=["segment", "n"])
 
         for frame in lean(frames):
             _, column = _whole(frame.column("text"))
@@ -230,7 +234,6 @@ def distinct_segments(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
                 counts[slot[at[old]]] += n[old]
                 new = ~old
                 start, stop = begins[first[new]], np.r_[begins[1:], len(data)][first[new]]
-                hashes.append(u[new])
                 lens.append(stop - start)
                 bytes_.append(gathered(data, start, stop - start))
                 merged, slots = np.concatenate([known, u[new]]), np.concatenate([slot, len(counts) + np.arange(int(new.sum()))])
@@ -240,10 +243,10 @@ def distinct_segments(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
                 if len(counts) >= HELD:
                     yield from rows()
                     known, slot, counts = known[:0], slot[:0], counts[:0]
-                    hashes, bytes_, lens = [], [], []
+                    bytes_, lens = [], []
         yield from rows()
 
-    return docs.select("text").mapInArrow(found, SEGMENTS).groupBy("h", "segment").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(found, SEGMENTS).groupBy("segment").agg(F.sum("n").alias("n"))
 
 
 def aligned(segments: DataFrame, files: tuple[str, str]) -> DataFrame:
@@ -266,8 +269,7 @@ def aligned(segments: DataFrame, files: tuple[str, str]) -> DataFrame:
                     keep = np.ones(len(text), bool)
                     keep[edges[1:] - 1] = False
                     groups = binary(text[keep], edges - np.arange(len(edges)))
-                    held = some.take(pa.array(which))
-                    yield pa.RecordBatch.from_arrays([held.column("h"), held.column("n"), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), groups, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(links))], names=["h", "n", "n_a", "n_b", "groups", "links"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pair.hashes(data, starts).view(np.int64)), some.column("n").take(pa.array(which)), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), groups, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(links))], names=["h", "n", "n_a", "n_b", "groups", "links"])
 
     return segments.mapInArrow(rows, ALIGNED)
 
