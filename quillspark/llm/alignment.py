@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -312,26 +313,35 @@ def with_counts(alignments: DataFrame, pairs: DataFrame, most_pairs: int = MOST_
 NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 
 
+def packed(slots: np.ndarray) -> bytes:
+    """Slots, the common ones small, as four planes of bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(slots.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 class Known:
-    """Scored segments in the order of their hashes: numbers, and texts one after another."""
+    """Scored segments in the order in which they are given: numbers, and texts one after another. ``order`` sorts their hashes."""
 
     def __init__(self, rows: pa.Table | pa.StructArray | None):
         field = (lambda k: rows.field(k)) if isinstance(rows, pa.StructArray) else (lambda k: rows.column(k).combine_chunks())
         h = np.zeros(0, np.uint64) if rows is None else field("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        self.h = h[order]
-        self.numbers = np.stack([np.zeros(0, np.int64) if rows is None else field(k).to_numpy().astype(np.int64)[order] for k in NUMBERS])
+        self.order = np.argsort(h)
+        self.h = h[self.order]
+        self.numbers = np.stack([np.zeros(0, np.int64) if rows is None else field(k).to_numpy().astype(np.int64) for k in NUMBERS])
         texts = pa.array([], pa.large_binary()) if rows is None else field("groups").cast(pa.large_binary())
         edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         self.pool = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) else np.zeros(0, np.uint8)
-        self.starts, self.lens = edges[:-1][order], np.diff(edges)[order]
+        self.starts, self.lens = edges[:-1], np.diff(edges)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Where each hash is, -1 where there is none."""
         if not len(self.h):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
+        return np.where(self.h[at] == h, self.order[at], -1)
 
 
 def blocks(docs: DataFrame, head, files: tuple[str, str]) -> DataFrame:
@@ -350,7 +360,7 @@ def blocks(docs: DataFrame, head, files: tuple[str, str]) -> DataFrame:
             slots = known.find(h)
             rare, which = np.unique(h[slots < 0], return_inverse=True)
             slots[slots < 0] = -1 - which
-            row = (part << 32) + k, ids, sizes, slots.astype("<i4").tobytes(), rare.view(np.int64).tolist()
+            row = (part << 32) + k, ids, sizes, packed(slots), rare.view(np.int64).tolist()
             ids, sizes, hashes, weight, k = [], [], [], 0, k + 1
             return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())))], names=["block", "doc_ids", "sizes", "slots", "rare"])
 
@@ -395,7 +405,7 @@ def composed(cut: DataFrame, rare: DataFrame, head) -> DataFrame:
             for r in range(frame.num_rows):
                 ids, sizes = (frame.column(k)[r].as_py() for k in ("doc_ids", "sizes"))
                 found = frame.column("found")[r]
-                yield _composed(ids, np.array(sizes, np.int64), np.frombuffer(frame.column("slots")[r].as_py(), "<i4"), common, Known(found.values if found.is_valid else None))
+                yield _composed(ids, np.array(sizes, np.int64), unpacked(frame.column("slots")[r].as_py()), common, Known(found.values if found.is_valid else None))
 
     return cut.select("block", "doc_ids", "sizes", "slots").join(answers, "block", "left").drop("block").mapInArrow(rows, ROWS)
 
@@ -409,9 +419,9 @@ def _composed(ids: list, sizes: np.ndarray, slots: np.ndarray, head: Known, rare
         common = own >= 0
         values = np.zeros((len(NUMBERS), len(own)), np.int64)
         starts, lens = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        for which, of, at in ((common, head, own), (~common, rare, -1 - own)):
-            values[:, which] = of.numbers[:, at[which]]
-            starts[which], lens[which] = of.starts[at[which]], of.lens[at[which]]
+        for which, of, at in ((common, head, own[common]), (~common, rare, rare.order[-1 - own[~common]])):
+            values[:, which] = of.numbers[:, at]
+            starts[which], lens[which] = of.starts[at], of.lens[at]
         upto = np.cumsum(lens + 1)
         out = np.full(int(upto[-1]), ord(";"), np.uint8)
         keep = np.ones(len(out), bool)
@@ -446,7 +456,9 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
     scored = written(with_counts(alignments, pair_counts(alignments), most_pairs), "scored-alignments")
     least = head_from(scored.select("n"), head)
     common = F.floor(4 * F.log2("n")).cast("int") >= least
-    known = docs.sparkSession.sparkContext.broadcast(Known(scored.where(common).select("h", *NUMBERS, "groups").toArrow()))  # head rows at most
+    held = scored.where(common).orderBy(F.desc("n"), "h").select("h", *NUMBERS, "groups").toArrow()  # head rows at most
+    known = docs.sparkSession.sparkContext.broadcast(Known(held))
+    del held
     cut = written(blocks(docs, known, files), "segment-blocks")
     return composed(cut, scored.where(~common).select("h", *NUMBERS, "groups"), known)
 
