@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.paths import base_name, folder, normalized, relative
 from quillspark.functions.text import SPACE
+from quillspark.operators.contained import contained
 from quillspark.operators.prefix import ROWS_A_RANGE, joined_hot, ranges
 from quillspark.sources.shared import written
 
@@ -41,20 +42,17 @@ def named(corpus: DataFrame, root: str = "") -> DataFrame:
     return corpus.select("scan_index", base_of(relative(F.col("path"), root)).alias("base"))
 
 
-def holders(corpus: DataFrame, root: str = "") -> DataFrame:
+def holders(corpus: DataFrame, root: str = "", **sizes: int) -> DataFrame:
     """(base, j): file j has an import that holds the name, each pair once.
 
-    A name is held if it equals a piece of the import. Imports are cut into their pieces of the lengths that names
-    have, so names and imports meet by hash and not each with each. Files of one name are one here: however many
-    they are, an import meets their name once.
+    Distinct imports are searched for all distinct names at once, by automata (``contained``, whose sizes may be
+    given). Files of one name are one here: however many they are, an import meets their name once. An import that very
+    many files have is broadcast with the few names it holds.
     """
-    bases = named(corpus, root).select("base").distinct()
-    lengths = bases.select(F.length("base").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))  # file systems bound a name's length
-    deps = edges(corpus, root).select(F.col("scan_index").alias("j"), "dep").distinct()
-    distinct = deps.select("dep").distinct().join(F.broadcast(lengths))
-    starts = lambda n: F.when(F.length("dep") >= n, F.transform(F.sequence(F.lit(1), F.length("dep") - n + 1), lambda s: F.substr(F.col("dep"), s, n))).otherwise(F.expr("cast(array() as array<string>)"))
-    pieces = distinct.select("dep", F.explode(F.array_distinct(F.flatten(F.transform("lengths", starts)))).alias("base"))
-    return pieces.join(bases, "base", "left_semi").join(deps, "dep").select("base", "j").distinct()
+    bases = named(corpus, root).select(F.col("base").alias("pattern")).distinct()
+    deps = written(edges(corpus, root).select(F.col("scan_index").alias("j"), "dep").distinct(), "imports")
+    pairs = contained(deps.select(F.col("dep").alias("text")), bases, **sizes).select(F.col("text").alias("dep"), F.col("pattern").alias("base"))
+    return joined_hot(deps, written(pairs, "names-in-imports"), "dep").select("base", "j").distinct()
 
 
 def importers(corpus: DataFrame, root: str = "") -> DataFrame:
