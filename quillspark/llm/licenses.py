@@ -219,9 +219,11 @@ _CANON = f"""list_filter(list_transform(string_split(lower(coalesce(text, '')),
 
 ORACLE_SQL = f"""
 WITH known AS (
-    SELECT DISTINCT unit, license, md5(array_to_string({_CANON}, ' ')) AS digest FROM (
-        SELECT 'text' AS unit, license, text FROM (VALUES {_sql(TEXTS)}) t(license, text)
-        UNION ALL SELECT 'line', license, text FROM (VALUES {_sql(NOTICES)}) t(license, text))),
+    SELECT unit, min(license) AS license, digest FROM (
+        SELECT unit, license, md5(array_to_string({_CANON}, ' ')) AS digest FROM (
+            SELECT 'text' AS unit, license, text FROM (VALUES {_sql(TEXTS)}) t(license, text)
+            UNION ALL SELECT 'line', license, text FROM (VALUES {_sql(NOTICES + MORE_NOTICES)}) t(license, text))
+        UNION ALL SELECT 'text', license, digest FROM (VALUES {_sql(DIGESTS)}) t(license, digest)) GROUP BY unit, digest),
 canon AS (SELECT row_number() OVER () AS r, doc_id, {_CANON} AS lines FROM documents),
 hits AS (
     SELECT r, license, count(*) AS n FROM (SELECT r, md5(unnest(lines)) AS digest FROM canon) JOIN (SELECT * FROM known WHERE unit = 'line') USING (digest) GROUP BY ALL),

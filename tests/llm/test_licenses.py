@@ -70,3 +70,17 @@ def test_against_sql(spark, sf):
 def test_no_python_on_the_main_path(spark, sf):
     plan = licenses.op8(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_sql_knows_the_same_licences(spark):
+    """Every text and notice of the table, and whole licence files, by the operator and by its SQL."""
+    files = sorted(Path("/usr/share/common-licenses").glob("*")) if Path("/usr/share/common-licenses").exists() else []
+    texts = [t for _, t in (*licenses.TEXTS, *licenses.NOTICES, *licenses.MORE_NOTICES)] + [f.read_text(errors="replace") for f in files] + [None, "", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.sql(licenses.ORACLE_SQL)
+    columns = sorted(want.columns)
+    got = sorted(map(repr, map(tuple, licenses.scan(docs).select(*columns).collect())))
+    assert got == sorted(map(repr, want.select(*columns).fetchall()))
+    assert sum("None" not in r for r in got) >= len(licenses.TEXTS)
