@@ -13,13 +13,15 @@ conv_id, sort, and pass over the turns one after another (``digests``), holding
 
 Null roles and texts are empty; a null turn comes first; null conv_ids are one conversation. Turns that tie in their
 number follow each other by their formatted strings; repeated rows are turns of their own. A segment of more than
-``PIECE`` characters is encoded in parts, so the ids of a very long text may join otherwise at the parts' edges, but
-decode to the same text. Extra columns are not read, whatever their names; an empty table gives no rows.
+``PIECE`` characters is encoded in parts, cut where the byte-level pattern always cuts: before a space or line feed
+behind what is no white space. Its ids are those of the whole; with another pre-tokenizer nothing is cut. Extra columns
+are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -72,9 +74,36 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def encode(tokenizer, segments: list[str]) -> list[np.ndarray]:
+def pieces_of(text: str, size: int) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, cut before a space or line feed behind a character that is none; longer ones where there is no such place."""
+    a = 0
+    while len(text) - a > size:
+        step = size
+        while True:
+            b = min(a + step, len(text))
+            at = b
+            while at > a and (at := max(text.rfind(" ", a + 1, at), text.rfind("\n", a + 1, at))) > a and text[at - 1].isspace():
+                pass
+            if at > a or b == len(text):
+                break
+            step *= 2
+        if at <= a:
+            break
+        yield text[a:at]
+        a = at
+    yield text[a:]
+
+
+def _cuts(tokenizer) -> bool:
+    """Whether the tokenizer divides words by the byte-level pattern."""
+    told = json.loads(tokenizer.to_str())
+    before = told["pre_tokenizer"] or {}
+    return not told["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+
+
+def encode(tokenizer, segments: list[str], cuts: bool = True) -> list[np.ndarray]:
     """Ids of each segment, by calls of about ``PIECE`` characters."""
-    parts = [(k, s[a : a + PIECE]) for k, s in enumerate(segments) for a in range(0, len(s), PIECE)]
+    parts = [(k, x) for k, s in enumerate(segments) for x in (pieces_of(s, PIECE) if cuts else [s])]
     out: list[list[np.ndarray]] = [[] for _ in segments]
     a = 0
     while a < len(parts):
@@ -116,6 +145,7 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None, learned_ro
 
     def turns(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(file)
+        cuts = _cuts(t)
         for frame in lean(frames):
             sizes = np.cumsum(frame.column(4).to_numpy())
             a = 0
@@ -125,7 +155,7 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None, learned_ro
                 a = b
                 roles = some.column(2).to_pylist()
                 segments = [escape(x) for pair in zip(roles, some.column(3).to_pylist()) for x in pair]
-                ids, mask, edges = assembled(encode(t, segments), [r == learned_role for r in roles], marks)
+                ids, mask, edges = assembled(encode(t, segments, cuts), [r == learned_role for r in roles], marks)
                 strings = [f"{TURN}{r}{BODY}{x}{END}" for r, x in zip(segments[::2], segments[1::2])]
                 offsets = pa.array(edges, pa.int32())
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(mask)), pa.array(strings, pa.string())], names=["conv_id", "turn", "role", "ids", "loss_mask", "formatted"])

@@ -69,3 +69,28 @@ def test_clashing_columns_long_and_tied_turns(spark, tmp_path):
     docs.withColumns({c: F.lit(1) for c in ("ids", "formatted", "loss_mask", "n", "n_turns")}).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.op3(spark, str(tmp_path)).collect()}
     assert got == want(rows + [(-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)])
+
+
+def test_ids_of_long_segments_are_the_library_s(monkeypatch):
+    t = chat._tokenizer(chat.default_tokenizer())
+    texts = ["straße  été,\n\n tabs\t and   runs \u3000 of\u00a0 blanks " * 300, "x" * 50_000, " " * 3000, "a" + "  b" * 900, "\n" * 500 + "end", "word " * 4000, ""]
+    for size in (64, 1000, 1 << 17):
+        monkeypatch.setattr(chat, "PIECE", size)
+        assert [x.tolist() for x in chat.encode(t, texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert all("".join(chat.pieces_of(x, size)) == x for x in texts)
+
+
+def test_ids_of_ten_million_characters():
+    t = chat._tokenizer(chat.default_tokenizer())
+    text = "".join(f"word{k % 997}{' ' * (1 + k % 3)}and\n" for k in range(800_000))
+    assert len(text) > 9_500_000
+    got, = chat.encode(t, [text])
+    assert max(map(len, chat.pieces_of(text, chat.PIECE))) <= chat.PIECE
+    assert got.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_segments_whole():
+    import public_tokenizers
+
+    assert chat._cuts(chat._tokenizer(chat.default_tokenizer()))
+    assert not chat._cuts(chat._tokenizer(str(public_tokenizers.path("word_bpe_49k.json"))))
