@@ -8,11 +8,14 @@ A text's features are its distinct words (runs of letters or digits in lower cas
 slots), its words that carry other marks, and how few of its words are distinct; x has these at fixed scale, so one
 strong word counts in a long text as in a short one.
 
-Fitting reads a bounded sample of the labelled documents, ``max_labelled`` of the least seeded hash and of these as many
-as have ``max_slots`` distinct words together, and runs on the driver over sparse numpy rows. Scoring covers every document in one pass; the weights are ``4 << BITS`` bytes.
-
-Null and empty texts have no features but the constant one. Labels of unknown documents or without any rating are
-passed over; several labels of one document count as the lowest grade. With fewer than two grades in the sample every document is kept
+Fitting reads a bounded sample of the labelled documents, ``max_labelled`` of the least seeded hash, and runs on the
+driver over sparse numpy rows. If these have more than ``max_slots`` entries together, the slots that tell least of the
+grade are left out until the others fit: every labelled document stays, however long it is. Scoring covers every
+document in one pass; the weights are ``4 << BITS`` bytes.
+
+Null and empty texts have no features but the constant one. A very long text counts by its distinct words, which are
+held while it is read. Extra columns stay as they are, but ``score`` replaces those named expected_grade and tail, and
+the labels' other columns are not read. Labels of unknown documents or without any rating are passed over; several labels of one document count as the lowest grade. With fewer than two grades in the sample every document is kept
 (tail 1, expected grade 2). A tail of exactly the threshold is kept. Repeated rows keep one row each, and count once in
 the fit. An empty table gives no rows.
 """
@@ -37,7 +40,7 @@ GRADES = 3
 #: Slots after the hashed words: ten for the share of marked words, ten for that of repeated ones, three for length.
 SHAPES = 23
 MAX_LABELLED = 12_000
-#: Distinct words and shapes, over all labelled rows, that are fitted on: the bound of what the driver holds.
+#: Entries (a slot of a document) that are fitted on: the bound of what the driver holds.
 MAX_SLOTS = 8_000_000
 
 _MARKED = re.compile(rb"[\x21-\x2b\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]{2,}|[$%#*&|<>]")
@@ -137,7 +140,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_slots: int = MAX_SLOTS, seed: int = 5) -> Model:
-    """Fit on the ``max_labelled`` labelled documents of the least seeded hash, or as many of these as have ``max_slots`` slots."""
+    """Fit on the ``max_labelled`` labelled documents of the least seeded hash, by their ``max_slots`` most telling entries."""
 
     def found(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in lean(frames):
@@ -149,16 +152,46 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     # of several texts of one doc_id the first by code point counts
     once = known.groupBy("h", "doc_id", "grade").agg(F.min("text").alias("text"))
     rows = written(once.mapInArrow(found, "h bigint, doc_id bigint, grade int, n bigint, slots array<int>"), "labelled")
-    sizes = rows.select("h", "doc_id", "n").orderBy("h", "doc_id").toArrow()
-    fits = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), max_slots, side="right"))
-    if fits < sizes.num_rows:
-        h, doc_id = (sizes.column(k)[fits].as_py() for k in ("h", "doc_id"))
-        rows = rows.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("doc_id") < doc_id)))
+    if (rows.agg(F.sum("n")).first()[0] or 0) > max_slots:
+        rows = narrowed(rows, max_slots)
     taken = rows.orderBy("h", "doc_id").select("grade", "slots").toArrow()
     slots = taken.column("slots").combine_chunks()
     return fit(slots.flatten().to_numpy(), np.diff(slots.offsets.to_numpy()), taken.column("grade").to_numpy())
 
 
+def narrowed(rows: DataFrame, max_slots: int, least_rows: int = 4) -> DataFrame:
+    """``rows`` with the slots that tell most of the grade, as many of them as have ``max_slots`` entries in all.
+
+    What a slot tells is the information its presence gives of the grade, for all rows. Ties go to the lower slot.
+    """
+    counts = rows.select("grade", F.explode("slots").alias("slot")).groupBy("slot").agg(*[F.count_if(F.col("grade") == g).alias(f"n{g}") for g in range(GRADES)]).toArrow()  # a row a slot
+    of = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
+    total = np.array([of.get(g, 0) for g in range(GRADES)], float)
+    slot, n = counts.column("slot").to_numpy(), np.stack([counts.column(f"n{g}").to_numpy() for g in range(GRADES)], axis=1).astype(float)
+    every = total.sum()
+
+    def bits(k: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rows times the information between having the slot (k of each grade, of size in all) and the grade."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.nansum(np.where(k > 0, k * np.log(k * every / (size[:, None] * total[None, :])), 0.0), axis=1)
+
+    size = n.sum(axis=1)
+    told = np.where(size >= least_rows, bits(n, size) + bits(total[None, :] - n, every - size), -1.0)
+    order = np.lexsort((slot, -told))
+    order = order[told[order] >= 0]
+    chosen = order[np.cumsum(size[order]) <= max_slots]
+    keep = np.zeros((1 << BITS) + SHAPES, bool)
+    keep[slot[chosen]] = True
+    sent = rows.sparkSession.sparkContext.broadcast(keep)
+
+    def kept(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in lean(frames):
+            slots = [x[sent.value[x]] for x in (np.array(s, np.int64) for s in frame.column("slots").to_pylist())]
+            yield frame.set_column(frame.schema.get_field_index("slots"), "slots", pa.array(slots, pa.list_(pa.int32())))
+
+    return rows.mapInArrow(kept, rows.schema)
+
+
 def judged(column: pa.Array, model: Model, seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Expected grades and tail probabilities of a column of texts."""
     raw = np.array([model.weights[features(t or "", seen)].sum(dtype=np.float64) for t in column.to_pylist()])

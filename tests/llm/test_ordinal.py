@@ -108,7 +108,7 @@ def test_fit_by_plain_loops():
 
 
 def test_repeated_rows_and_bounds(spark):
-    """Repeated rows neither crowd others out nor weigh more; the bounds on documents and slots cut by the seeded hash."""
+    """Repeated rows neither crowd others out nor weigh more; the bound on entries takes the least telling slots."""
     texts, grades = corpus(60, 6)
     labels = spark.createDataFrame([(k, int(g == 2), int(g == 0)) for k, g in enumerate(grades.tolist())], "doc_id bigint, quality int, toxic int")
     once = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id bigint, text string, slots string")
@@ -117,7 +117,36 @@ def test_repeated_rows_and_bounds(spark):
     assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
     few = ordinal.train(once, labels, max_slots=sum(len(ordinal.features(t)) for t in texts) // 2)
     assert not np.array_equal(a.weights, few.weights) and len(few.thresholds) == 2
-    assert len(ordinal.train(once, labels, max_slots=0).thresholds) == 0
+    assert np.count_nonzero(few.weights) < np.count_nonzero(a.weights)
+    none = ordinal.train(once, labels, max_slots=0)  # no words, but the grades' shares
+    assert len(none.thresholds) == 2 and not none.weights.any()
+
+
+def test_the_most_telling_slots_stay(spark):
+    rows = [(k, k % 2 * 2, [1, 2, 3] if k % 2 else [2, 4] if k % 4 else [2, 3, 5]) for k in range(16)]
+    frame = spark.createDataFrame([(k, k, g, len(s), s) for k, g, s in rows], "h bigint, doc_id bigint, grade int, n bigint, slots array<int>")
+    kept = lambda most: {tuple(r.slots) for r in ordinal.narrowed(frame, most).collect()}
+    assert kept(8) == {(1,), ()}  # says all
+    assert kept(20) == {(1, 3), (3,), ()}  # 3 has twelve rows; 4 and 5 have four each and would fit, but 3 comes first
+    assert kept(28) == {(1, 3), (3, 5), (4,)}
+    assert kept(0) == {()}
+
+
+def test_one_document_of_very_many_words(spark, tmp_path):
+    """It is longer than the bound, and the first by the seeded hash; the others are learned from all the same."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts, grades = corpus(60, 6)
+    first = min(range(60), key=lambda k: spark.sql(f"SELECT xxhash64(5, {k}L)").first()[0])
+    texts[first] = " ".join(f"w{k}" for k in range(300_000)) + " ###" * 10
+    pq.write_table(pa.table({"doc_id": range(60), "text": texts}), f"{tmp_path}/docs.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    labels = spark.createDataFrame([(k, int(g == 2), int(g == 0)) for k, g in enumerate(grades.tolist())], "doc_id bigint, quality int, toxic int")
+    model = ordinal.train(docs, labels, max_slots=8000)
+    tails = {r.doc_id: r.tail for r in ordinal.score(docs, model).collect()}
+    right = sum((tails[k] >= 0.5) == (grades[k] == 2) for k in range(60) if k != first)
+    assert len(model.thresholds) == 2 and right >= 55
 
 
 def test_a_tie_is_kept(spark, monkeypatch):
