@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.functions.paths import is_below, is_source, stem
-from quillspark.operators import cache, imports, scoring, structure
+from quillspark.operators import cache, imports, questions, scoring, structure
 from quillspark.plans import analysis, benchmark
 from quillspark.sources import code_tree
 from quillspark.sources.code_tree import from_table, scoped
@@ -155,7 +155,32 @@ def rank_basic_topk(spark, d):
     + f"), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, scan_index) AS rank FROM s) SELECT query_id, scan_index, path, round(score, 9) AS score, rank::INT AS rank FROM r WHERE rank <= {LIMIT}"
 )
 def rank_basic_batch(spark, d):
-    return scoring.top_each(scoring.basic_scores(text_corpus(spark, d), QUESTIONS), LIMIT).withColumn("score", F.round("score", 9))
+    asked = spark.createDataFrame(QUESTIONS, "query_id string, question string")
+    return questions.ranked(text_corpus(spark, d), asked, LIMIT).withColumn("score", F.round("score", 9))
+
+
+# every first turn of a conversation is a question about the documents
+_ASKED_SQL = """asked AS (SELECT conv_id::VARCHAR AS query_id, min(text) AS question FROM conversations WHERE turn = 0 AND role = 'user' GROUP BY conv_id)"""
+
+
+def asked_questions(spark: SparkSession, d: str) -> DataFrame:
+    first = _read(spark, d, "conversations").where("turn = 0 AND role = 'user'")
+    return first.groupBy(F.col("conv_id").cast("string").alias("query_id")).agg(F.min("text").alias("question"))
+
+
+_ESCAPED = r"regexp_replace(w, '([!-,/:-@\[-^`{-~])', '\\\1', 'g')"
+
+
+@query(
+    f"""WITH {TEXT_SQL}, {_ASKED_SQL}, words AS (SELECT query_id, generate_subscripts(ws, 1) AS k, unnest(ws) AS w, len(ws) AS n FROM (SELECT query_id, list_filter(regexp_split_to_array(lower(question), '[{_SPACE}]+'), lambda x: length(x) > 2) AS ws FROM asked)),
+    files AS (SELECT scan_index, path, {_STEM} AS stem, lower(path) AS low_path, lower(content) AS low FROM texts WHERE content <> ''),
+    points AS (SELECT w, scan_index, [CASE WHEN contains(stem, w) THEN 5.0::DOUBLE ELSE 0 END, CASE WHEN contains(low_path, w) AND NOT contains(w, '/') THEN 3.0::DOUBLE ELSE 0 END, least(len(regexp_extract_all(low, {_ESCAPED})) * 0.1::DOUBLE, 2.0::DOUBLE)] AS p FROM (SELECT DISTINCT w FROM words), files WHERE contains(low, rtrim(w, '.')) OR contains(low_path, w)),
+    scored AS (SELECT query_id, scan_index, least(list_reduce(flatten(list(p ORDER BY k)), lambda x, y: x + y) / (10.0::DOUBLE * any_value(n)), 1.0::DOUBLE) AS score FROM words JOIN points USING (w) GROUP BY query_id, scan_index),
+    every AS (SELECT asked.query_id, texts.scan_index, path, CASE WHEN coalesce(content, '') = '' THEN 0.0::DOUBLE WHEN asked.query_id NOT IN (SELECT query_id FROM words) THEN 0.5::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score FROM asked CROSS JOIN texts LEFT JOIN scored ON scored.query_id = asked.query_id AND scored.scan_index = texts.scan_index),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, scan_index) AS rank FROM every) SELECT query_id, scan_index, path, round(score, 9) AS score, rank::INT AS rank FROM r WHERE rank <= {LIMIT}"""
+)
+def rank_questions(spark, d):
+    return questions.ranked(text_corpus(spark, d), asked_questions(spark, d), LIMIT).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {TEXT_SQL} SELECT scan_index, round({_sql_basic(QUESTION)}, 9) AS score FROM texts")
@@ -163,9 +188,10 @@ def relevance_score_all(spark, d):
     return text_corpus(spark, d).select("scan_index", F.round(scoring.basic_score(F.col("path"), F.col("content"), QUESTION), 9).alias("score"))
 
 
-@query(f"SELECT query_id, len(w)::INT AS n_words, array_to_string(w, ' ') AS words FROM (SELECT query_id, list_filter(regexp_split_to_array(lower(question), '[{_SPACE}]+'), lambda x: length(x) > 2) AS w FROM {_Q_LIST})")
+@query(f"WITH asked AS (SELECT query_id, question FROM {_Q_LIST} UNION ALL SELECT conv_id || ':' || turn, text FROM conversations WHERE role = 'user') SELECT query_id, len(w)::INT AS n_words, array_to_string(w, ' ') AS words FROM (SELECT query_id, list_filter(regexp_split_to_array(lower(question), '[{_SPACE}]+'), lambda x: length(x) > 2) AS w FROM asked)")
 def question_words(spark, d):
-    asked = spark.createDataFrame(QUESTIONS, "query_id string, question string")
+    said = _read(spark, d, "conversations").where("role = 'user'").selectExpr("conv_id || ':' || turn AS query_id", "text AS question")
+    asked = spark.createDataFrame(QUESTIONS, "query_id string, question string").unionByName(said)
     words = tx.question_words(F.col("question"))
     return asked.select("query_id", F.size(words).alias("n_words"), F.array_join(words, " ").alias("words"))
 
@@ -359,9 +385,15 @@ def scan_modules(spark, d):
     return scoped(text_corpus(spark, d), _SCOPE, ["es", "fr"]).select("module", "scan_index", "path")
 
 
-@query("SELECT key, relative_path FROM (VALUES ('fr', 'corpus/fr'), ('de', 'corpus/de'), ('en', 'corpus/en'), ('es', 'corpus/es')) m(key, relative_path) WHERE key IN ('es', 'xx', 'fr')")
+_KEYS = ["es", "xx", "fr"]
+
+
+# the registry's modules of these keys, and what of the documents lies in them
+@query("SELECT key, relative_path, (SELECT count(*) FROM documents WHERE lang = key) AS files FROM (VALUES ('fr', 'corpus/fr'), ('de', 'corpus/de'), ('en', 'corpus/en'), ('es', 'corpus/es')) m(key, relative_path) WHERE key IN ('es', 'xx', 'fr')")
 def module_semi_join(spark, d):
-    return spark.createDataFrame([(m.key, m.relative_path) for m in _SCOPE.chosen(["es", "xx", "fr"])], "key string, relative_path string")
+    chosen = spark.createDataFrame([(m.key, m.relative_path) for m in _SCOPE.chosen(_KEYS)], "key string, relative_path string")
+    files = scoped(text_corpus(spark, d), _SCOPE, _KEYS).groupBy(F.col("module").alias("key")).agg(F.count(F.lit(1)).alias("files"))
+    return chosen.join(files, "key", "left").select("key", "relative_path", F.coalesce("files", F.lit(0)).cast("long").alias("files"))
 
 
 @query("SELECT lang AS module, count(*) AS files FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY lang")
