@@ -7,6 +7,7 @@ module for each region, nation and supplier that imports the one above it (``cod
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from quillspark.functions import text as tx
 from quillspark.functions.paths import is_below, is_source, stem
 from quillspark.operators import cache, imports, questions, scoring, structure
 from quillspark.plans import analysis, benchmark
-from quillspark.sources import code_tree
+from quillspark.sources import artefacts, code_tree
 from quillspark.sources.code_tree import from_table, scoped
 from quillspark.sources.scope import IGNORED, SUFFIXES, Module, Scope
 
@@ -510,6 +511,44 @@ def analyze_enhanced(spark, d):
     return found.select("path", F.round("score", 9).alias("score"), "original_token_count", "skeleton_token_count")
 
 
+_ANALYZED_SQL = SQL["analyze_enhanced"]
+
+
+# the second of two runs, which the cache answers
+@query(f"SELECT *, 1 AS hits, 1 AS misses FROM ({_ANALYZED_SQL})")
+def analyze_cached(spark, d):
+    options = analysis.Options("", CODE_QUESTION, LIMIT, enhanced_ranking=True, boost_in_order=False)
+    held = cache.ResultCache(spark, code_tree.local_folder(spark, "cache"))
+    for _ in range(2):
+        found = analysis.analyze_corpus(code_corpus(spark, d), "", options, held)
+    return found.select("path", F.round("score", 9).alias("score"), "original_token_count", "skeleton_token_count").withColumns({"hits": F.lit(held.hits), "misses": F.lit(held.misses)})
+
+
+@query(f"WITH {CODE_SQL} SELECT step, n AS files, hit FROM (SELECT count(*) AS n FROM code), (VALUES ('before', false), ('fresh', true), ('from disk', true), ('after a change', false), ('expired', false)) v(step, hit)")
+def cache_steps(spark, d):
+    """A result kept for the corpus: found while it is fresh, promoted from disk, and gone with a changed file or after its life."""
+    corpus, key, now = code_corpus(spark, d), "0" * 32, datetime(2026, 1, 1, tzinfo=UTC)
+    changed = corpus.withColumn("content", F.when(F.col("scan_index") == 1, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
+    held = cache.ResultCache(spark, code_tree.local_folder(spark, "cache"))
+    files = corpus.agg(F.count(F.lit(1)).alias("files"))
+    steps = [("before", held.get(key, corpus, now))]
+    held.set(key, files, corpus, now)
+    steps.append(("fresh", held.get(key, corpus, now)))
+    held.clear_memory()
+    steps.append(("from disk", held.get(key, corpus, now)))
+    steps.append(("after a change", held.get(key, changed, now)))
+    steps.append(("expired", held.get(key, corpus, now + cache.LIFE + timedelta(seconds=1))))
+    told = spark.createDataFrame([(name, found is not None) for name, found in steps], "step string, hit boolean")
+    return told.join(F.broadcast(steps[2][1]), how="left").select("step", "files", "hit")  # one row of the cache
+
+
+@query(f"WITH {CODE_SQL}, {_SYMBOLS_SQL} SELECT symbol_id, symbol_name, symbol_type, file_path, start_line, end_line, parent_class, signature, symbol_order FROM symbols")
+def mapping_round_trip(spark, d):
+    file = code_tree.local_folder(spark, "mapping") + ".json"
+    artefacts.save_mapping(_symbols(spark, d), file, "/app")
+    return artefacts.load_mapping(spark, file).select("symbol_id", "symbol_name", "symbol_type", "file_path", "start_line", "end_line", "parent_class", "signature", "symbol_order")
+
+
 # nations without content: they are ranked, then left out, so fewer files than the limit come back
 @query(f"WITH {_REDUCED_SQL}, s AS (SELECT scan_index, path, {_sql_basic(CODE_QUESTION)} AS score FROM (SELECT scan_index, path, CASE WHEN scan_index >= 100 THEN '' ELSE content END AS content FROM code WHERE scan_index < 1000)), top AS (SELECT * FROM s ORDER BY score DESC, path LIMIT {LIMIT}) SELECT path, round(score, 9) AS score, original_tokens AS original_token_count, skeleton_tokens AS skeleton_token_count FROM top JOIN r USING (scan_index) WHERE scan_index < 100")
 def analyze_with_empty_files(spark, d):

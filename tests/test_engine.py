@@ -313,3 +313,21 @@ def test_own_registry(spark, tmp_path):
     (tmp_path / "src/x/a.ts").write_text("export const a = 1;")
     scope = Scope(app_path="src", marker="x", modules=(Module("x", "x"),))
     assert names(code_tree.scan_modules(spark, str(tmp_path), scope=scope)) == ["x/a.ts"]
+
+
+def test_a_mapping_is_written_whole_or_not(spark, tmp_path):
+    """Ranges of files by tasks, in order; a task that fails leaves the old file and nothing beside it."""
+    rows = [(k, j, f"s{k}.{j}", "n", "method", f"f{k:03}.ts", 1, 2, None, None, None, 'say "é"\n') for k in range(200) for j in range(k % 3)]
+    names_ = "file_order bigint, symbol_order int, symbol_id string, symbol_name string, symbol_type string, file_path string, start_line int, end_line int, start_pos int, end_pos int, parent_class string, signature string"
+    path = tmp_path / "m.json"
+    table = spark.createDataFrame(rows, names_).repartition(5)
+    artefacts.save_mapping(table, str(path), "/r")
+    whole = json.loads(path.read_text())
+    assert list(whole["files"]) == [f"f{k:03}.ts" for k in range(200) if k % 3]
+    assert [s["symbolId"] for s in whole["files"]["f005.ts"]["symbols"]] == ["s5.0", "s5.1"] and whole["files"]["f005.ts"]["originalPath"] == "/r/f005.ts"
+    before = path.read_text()
+    with pytest.raises(Exception, match="path"):  # a name that is null can't be joined to the root
+        artefacts.save_mapping(table.withColumn("file_path", F.when(F.col("file_order") != 100, F.col("file_path"))), str(path), "/r")
+    assert path.read_text() == before and os.listdir(tmp_path) == ["m.json"]
+    artefacts.save_mapping(table.limit(0), str(path), "/r")
+    assert json.loads(path.read_text())["files"] == {}
