@@ -194,7 +194,7 @@ def narrowed(rows: DataFrame, max_slots: int, least_rows: int = 4) -> DataFrame:
 
 def judged(column: pa.Array, model: Model, seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Expected grades and tail probabilities of a column of texts."""
-    raw = np.array([model.weights[features(t or "", seen)].sum(dtype=np.float64) for t in column.to_pylist()])
+    raw = np.array([model.weights[features(t or "", seen)].sum(dtype=np.float64) for k in range(0, len(column), 256) for t in column.slice(k, 256).to_pylist()])
     if not len(model.thresholds):
         return np.full(len(raw), GRADES - 1.0), np.ones(len(raw))
     tails = model.tails(raw)
