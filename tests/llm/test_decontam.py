@@ -107,3 +107,48 @@ def test_memory_of_a_long_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == [(0, 0, 0, 0, 1.0)] and peak < 25 * len(raw)
+
+
+def test_size_of_a_block():
+    """What is sent of a block of items follows its text by a bound, and so does what making it takes."""
+    import pickle
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    vocabulary = ["".join(r.choice(["an", "er", "th", "on", "re", "in"], 3)) + str(k) for k in range(5000)]
+    items = [(k, " ".join(vocabulary[x] for x in r.integers(0, 5000, int(r.integers(20, 50))))) for k in range(6000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    index = decontam.Index(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(index)) < 5 * size and peak < 16 * size
+
+
+def test_blocks_are_released_one_after_another(spark, monkeypatch):
+    docs, items = planted(5)
+    live, most = set(), []
+    real = type(spark.sparkContext).broadcast
+
+    def watched(self, value):
+        sent = real(self, value)
+        if isinstance(value, decontam.Index):
+            live.add(id(sent))
+            most.append(len(live))
+            destroy = sent.destroy
+            sent.destroy = lambda: (live.discard(id(sent)), destroy())
+        return sent
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", watched)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 500)
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    decontam.leaks(d, b).collect()
+    decontam.decontaminated(d, b).collect()
+    assert len(most) > 4 and max(most) == 1
+
+
+def test_tables_without_rows(spark):
+    docs, items = planted(6)
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert decontam.leaks(d.limit(0), b).count() == 0 == decontam.leaks(d, b.limit(0)).count()
+    assert decontam.decontaminated(d, b.limit(0)).count() == d.count()
