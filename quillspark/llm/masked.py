@@ -1,9 +1,9 @@
 """Operator 4, LM scoring: masked pseudo-likelihood.
 
 A window network predicts every token from the two tokens on either side of it: their embeddings, side by side, go
-through a layer of ``HIDDEN`` tanh units, and the token is read off as two digits, p(high) * p(low | high), each a
-softmax over ``BASE`` values; the high digit weighs the hidden units anew before the low one is read. A document's
-score is the sum of the logarithms of its words' conditional probabilities.
+through a layer of ``HIDDEN`` tanh units, and the token is read off as three digits, p(a) * p(b | a) * p(c | a, b), each
+a softmax over ``BASE`` values; the digits read so far weigh the hidden units anew before the next is read. Three short
+rows of values instead of two long ones make a step cheap enough for several passes. A document's score is the sum of the logarithms of its words' conditional probabilities.
 
 Words are in lower case, without ASCII marks, and known by 64-bit hashes. Spark counts all words of all texts. The
 ``VOCABULARY - CLASSES`` most frequent ones have tokens of their own. Each other word belongs to one of ``CLASSES`` classes by its
@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import FOLD, WordHasher, head_from, lean, parts, size_class, slices, table, written
 
-BASE = 128
-VOCABULARY = BASE * BASE
+BASE = 26
+VOCABULARY = BASE**3
 CLASSES = 1024
 EDGE = VOCABULARY  # the token beyond a text's ends
 REACH = 2
 WIDTH, HIDDEN = 12, 32
-PASSES, ROUNDS = 1, 4
+PASSES, ROUNDS = 2, 4
 SHARD = 1 << 19
 BATCH, CHUNK = 2048, 1 << 15
 RATE = 0.05
@@ -60,83 +60,98 @@ class Network:
     embed: np.ndarray
     inner: np.ndarray
     inner_bias: np.ndarray
-    high: np.ndarray
-    high_bias: np.ndarray
-    gate: np.ndarray  # how each high digit weighs the hidden units
-    low: np.ndarray
-    low_bias: np.ndarray  # a row for each high digit
+    outer: list[np.ndarray]  # for each digit, from the hidden units to its values
+    bias: list[np.ndarray]  # for each digit, a row for each way to have read those before it
+    gate: list[np.ndarray]  # for the second and third digit, how those before it weigh the hidden units
 
     @classmethod
     def new(cls, frequencies: np.ndarray | None = None, seed: int = 17) -> Network:
         """Random weights, and biases by which tokens have their plain ``frequencies``."""
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        counts = (np.zeros(VOCABULARY) if frequencies is None else frequencies).reshape(BASE, BASE) + 0.5
-        high, low = np.log(counts.sum(axis=1) / counts.sum()), np.log(counts / counts.sum(axis=1, keepdims=True))
+        counts = (np.zeros(VOCABULARY) if frequencies is None else frequencies) + 0.5
+        bias = []
+        for k in range(3):
+            upto = counts.reshape(BASE ** (k + 1), -1).sum(axis=1).reshape(-1, BASE)
+            bias.append(np.log(upto / upto.sum(axis=1, keepdims=True)).astype(np.float32))
         embed = (r.standard_normal((VOCABULARY + 1, WIDTH)) * 0.1).astype(np.float32)
-        gate = (1 + 0.3 * r.standard_normal((BASE, HIDDEN))).astype(np.float32)
-        return cls(embed, draw(2 * REACH * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, BASE) / 4, high.astype(np.float32), gate, draw(HIDDEN, BASE) / 4, low.astype(np.float32))
+        gate = [(1 + 0.3 * r.standard_normal((BASE**k, HIDDEN))).astype(np.float32) for k in (1, 2)]
+        return cls(embed, draw(2 * REACH * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), [draw(HIDDEN, BASE) / 4 for _ in range(3)], bias, gate)
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.inner, self.inner_bias, self.high, self.high_bias, self.gate, self.low, self.low_bias]
+        return [self.embed, self.inner, self.inner_bias, *self.outer, *self.bias, *self.gate]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.arrays()])
 
+    @classmethod
+    def of(cls, arrays: list[np.ndarray]) -> Network:
+        return cls(*arrays[:3], arrays[3:6], arrays[6:9], arrays[9:])
+
     @classmethod
     def unflat(cls, flat: np.ndarray) -> Network:
         out, at = [], 0
         for x in cls.new().arrays():
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return cls(*out)
+        return cls.of(out)
 
-    def logits(self, around: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Inputs, hidden units, these as the high digits weigh them, and the logits of both digits, which exp() can take."""
+    def logits(self, around: np.ndarray, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Inputs, hidden units, these as the digits before each weigh them, and the logits of each digit, which exp() can take."""
         x = self.embed[around].reshape(len(around), -1)
         h = np.tanh(x @ self.inner + self.inner_bias)
-        gated = h * self.gate[high]
-        a = h @ self.high
-        a += self.high_bias
-        b = gated @ self.low
-        b += self.low_bias[high]
-        if self._bound() > 80:
-            np.minimum(a, 80, out=a)
-            np.minimum(b, 80, out=b)
-        return x, h, gated, a, b
+        weighed = [h, h * self.gate[0][before[1]], h * self.gate[1][before[2]]]
+        out = []
+        bound = self._bound()
+        for g, outer, bias, known in zip(weighed, self.outer, self.bias, before):
+            z = g @ outer
+            z += bias[known]
+            if bound > 80:
+                np.minimum(z, 80, out=z)
+            out.append(z)
+        return x, h, weighed, out
 
     def _bound(self) -> float:
         """What no logit exceeds, as hidden units are at most 1."""
-        of_high = np.abs(self.high).sum(axis=0).max() + np.abs(self.high_bias).max()
-        of_low = (np.abs(self.gate).max(axis=0) @ np.abs(self.low)).max() + np.abs(self.low_bias).max()
-        return float(max(of_high, of_low))
+        weights = [np.ones(len(self.inner_bias)), *(np.abs(g).max(axis=0) for g in self.gate)]
+        return float(max((w @ np.abs(o)).max() + np.abs(b).max() for w, o, b in zip(weights, self.outer, self.bias)))
 
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        out, ones = np.empty(len(token), np.float64), np.ones(BASE, self.high.dtype)
+        out, ones = np.empty(len(token), np.float64), np.ones(BASE, self.inner.dtype)
         for k in range(0, len(token), BATCH):
-            high, low = np.divmod(token[k : k + BATCH], BASE)
-            *_, a, b = self.logits(around[k : k + BATCH], high)
-            row = np.arange(len(high))
-            own = a[row, high] + b[row, low]
-            out[k : k + BATCH] = own - np.log(np.exp(a, out=a) @ ones) - np.log(np.exp(b, out=b) @ ones)
+            digits, before = digits_of(token[k : k + BATCH])
+            *_, logits = self.logits(around[k : k + BATCH], before)
+            row = np.arange(len(before[0]))
+            own = sum(z[row, d] for z, d in zip(logits, digits))
+            out[k : k + BATCH] = own - sum(np.log(np.exp(z, out=z) @ ones) for z in logits)
         return out
 
     def gradients(self, around: np.ndarray, token: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
-        """Of the sum of the negative logarithms: for embed, gate and low_bias (rows, their gradients), and those of the other arrays. Tokens ascend."""
-        high, low = np.divmod(token, BASE)
-        x, h, gated, a, b = self.logits(around, high)
-        row, ones = np.arange(len(token)), np.ones(BASE, a.dtype)
-        for z, digit in ((a, high), (b, low)):
+        """Of the sum of the negative logarithms: for embed, the gates and the later biases (rows, their gradients), and those of the other arrays. Tokens ascend."""
+        digits, before = digits_of(token)
+        x, h, weighed, logits = self.logits(around, before)
+        row, ones = np.arange(len(token)), np.ones(BASE, self.inner.dtype)
+        for z, d in zip(logits, digits):
             np.exp(z, out=z)
             z *= (1 / (z @ ones))[:, None]
-            z[row, digit] -= 1
-        back = b @ self.low.T
-        dh = (a @ self.high.T + back * self.gate[high]) * (1 - h * h)
+            z[row, d] -= 1
+        back = [z @ outer.T for z, outer in zip(logits, self.outer)]
+        dh = back[0].copy()
+        for g, b, known in zip(self.gate, back[1:], before[1:]):
+            dh += b * g[known]
+        dh *= 1 - h * h
         dx = (dh @ self.inner.T).reshape(-1, WIDTH)
         slots = around.ravel().astype(np.uint16)  # sorted by their digits, in one go
         order = np.argsort(slots, kind="stable")
-        some = [by_row(slots[order], dx[order]), by_row(high, h * back), by_row(high, b)]
-        return some, [x.T @ dh, dh.sum(axis=0), h.T @ a, np.ones(len(a), a.dtype) @ a, gated.T @ b]
+        some = [by_row(slots[order], dx[order]), *(by_row(known, h * b) for b, known in zip(back[1:], before[1:])), *(by_row(known, z) for z, known in zip(logits[1:], before[1:]))]
+        return some, [x.T @ dh, dh.sum(axis=0), *(g.T @ z for g, z in zip(weighed, logits)), (ones[:1].repeat(len(token)) @ logits[0])[None, :]]
+
+
+def digits_of(token: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The three digits of each token, and before each digit those that came first, as one number."""
+    ab, c = np.divmod(token, BASE)
+    a, b = np.divmod(ab, BASE)
+    return [a, b, c], [np.zeros_like(a), a, ab]
 
 
 def firsts(values: np.ndarray) -> np.ndarray:
@@ -155,8 +170,8 @@ class Descent:
 
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.steps = net, rate, 0
-        self.rows = [net.embed, net.gate, net.low_bias]
-        self.whole = [net.inner, net.inner_bias, net.high, net.high_bias, net.low]
+        self.rows = [net.embed, *net.gate, *net.bias[1:]]
+        self.whole = [net.inner, net.inner_bias, *net.outer, net.bias[0]]
         self.row_squares, self.squares = ([np.zeros_like(x) for x in y] for y in (self.rows, self.whole))
 
     def step(self, around: np.ndarray, token: np.ndarray) -> None:

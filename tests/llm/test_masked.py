@@ -20,14 +20,15 @@ def test_distribution_over_the_vocabulary():
 
 def test_gradients_by_differences():
     r = np.random.default_rng(2)
-    net = Network(*[x.astype(np.float64) for x in Network.new().arrays()])
+    net = Network.of([x.astype(np.float64) for x in Network.new().arrays()])
     around, token = r.integers(0, VOCABULARY + 1, (20, 4)), np.sort(r.integers(0, VOCABULARY, 20))
     loss = lambda: -net.log_probabilities(around, token).sum()
     (some, whole), full = net.gradients(around, token), []
-    for x, (rows, g) in zip((net.embed, net.gate, net.low_bias), some):
+    for x, (rows, g) in zip((net.embed, *net.gate, *net.bias[1:]), some, strict=True):
         full.append((x, np.zeros_like(x)))
         full[-1][1][rows] = g
-    for x, g in [*full, *zip((net.inner, net.inner_bias, net.high, net.high_bias, net.low), whole)]:
+    for x, g in [*full, *zip((net.inner, net.inner_bias, *net.outer, net.bias[0]), whole, strict=True)]:
+        assert x.shape == g.shape
         k = int(np.argmax(np.abs(g)))
         old, step = x.flat[k], 1e-5
         x.flat[k] = old + step
@@ -38,6 +39,16 @@ def test_gradients_by_differences():
         assert g.flat[k] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-7)
 
 
+def test_frequencies_to_begin_with():
+    """Without training, and with nothing read off the window, tokens have their plain shares."""
+    counts = np.random.default_rng(1).integers(0, 50, VOCABULARY).astype(float)
+    net = Network.new(counts)
+    for x in net.outer:
+        x[:] = 0
+    p = np.exp(net.log_probabilities(np.full((VOCABULARY, 4), EDGE), np.arange(VOCABULARY)))
+    assert np.allclose(p, (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
+
+
 def test_windows_stay_in_their_text():
     assert windows(np.array([1, 2, 3, 9], np.int32), np.array([0, 3, 3, 4])).tolist() == [[EDGE, EDGE, 2, 3], [EDGE, 1, 3, EDGE], [1, 2, EDGE, EDGE], [EDGE] * 4]
 
@@ -119,9 +130,10 @@ def test_scores_by_plain_loops(spark, sf, small):
         for k, h in enumerate(hashes):
             x = np.concatenate([net.embed[t[k + j]] for j in (0, 1, 3, 4)]).astype(float)
             hidden = np.tanh(x @ net.inner + net.inner_bias)
-            high, low = divmod(t[k + 2], BASE)
-            a, b = hidden @ net.high + net.high_bias, (hidden * net.gate[high]) @ net.low + net.low_bias[high]
-            out += a[high] - math.log(np.exp(a).sum()) + b[low] - math.log(np.exp(b).sum())
+            digits, before = (t[k + 2] // BASE**2, t[k + 2] // BASE % BASE, t[k + 2] % BASE), (0, t[k + 2] // BASE**2, t[k + 2] // BASE)
+            for j in range(3):
+                z = (hidden * net.gate[j - 1][before[j]] if j else hidden) @ net.outer[j] + net.bias[j][before[j]]
+                out += z[digits[j]] - math.log(np.exp(z).sum())
             out += 0 if h in named else math.log(counts[h] / sums[token[h]])
         return out
 
@@ -149,4 +161,4 @@ def test_unknown_words(spark, small):
 
 
 def test_digits():
-    assert BASE * BASE == VOCABULARY and masked.CLASSES < VOCABULARY <= 1 << 16
+    assert BASE**3 == VOCABULARY and masked.CLASSES < VOCABULARY <= 1 << 16
