@@ -3,8 +3,8 @@
 ``declarations`` is the only Python in the skeleton operators: it finds where declarations begin and end and what
 their heads say. What is made of them (metadata, skeletons, symbols) is Column expressions over the list.
 
-Types are the annotations as written. Where there is none, literals, ``new`` and arrow functions tell theirs, a body
-without a returned value gives void, and all else is any; a type checker would know more.
+Types are the annotations as written. Where there is none, ``expression_types`` works them out of initializers and
+returned values, as far as the file itself tells them; all else is any.
 Positions are code points from 0, lines count from 1.
 """
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.expression_types import settle
+
 FIELDS = [
     ("ord", T.IntegerType()),
     ("parent", T.IntegerType()),  # the class of a member, else -1
@@ -102,6 +104,7 @@ class _Reader:
         self.source, self.tokens, self.i = source, _tokens(source), 0
         self.breaks = [m.start() for m in re.finditer("\n", source)]
         self.out: list[dict] = []
+        self.pending: list[dict] = []  # declarations without an annotation, and where their values stand
         self.statement = 0
 
     # places in the list of tokens
@@ -290,8 +293,11 @@ class _Reader:
             k += 1
         return b
 
-    def callable(self, modifiers: list[str]) -> tuple[str, str, bool, int]:
-        """At a ``<`` or ``(``: parameters, return type, whether there is a body, and the last token."""
+    def callable(self, modifiers: list[str], ord_: int | None = None) -> tuple[str, str, bool, int]:
+        """At a ``<`` or ``(``: parameters, return type, whether there is a body, and the last token.
+
+        A body without a return type is left to be looked at under the next declaration's number.
+        """
         if self.text() == "<":
             self.i = self.angle(self.i) + 1
         close = self.closing(self.i) if self.text() == "(" else self.i
@@ -313,6 +319,8 @@ class _Reader:
             returns = body and any(self.tokens[j].text == "return" and self.tokens[j + 1].text not in (";", "}") for j in range(k, min(end, len(self.tokens) - 1)))
             kind = "any" if returns or not body else "void"
             kind = f"Promise<{kind}>" if "async" in modifiers else kind
+            if returns and ord_ is not None:
+                self.pending.append({"ord": ord_, "body": (k, end), "async": "async" in modifiers})
         return params, kind, body, end
 
     def read(self) -> list[dict]:
@@ -321,6 +329,7 @@ class _Reader:
             self.top()
             self.statement += 1
             self.i = max(self.i, before + 1)
+        settle(self, self.pending)
         return self.out
 
     def top(self) -> None:
@@ -344,12 +353,13 @@ class _Reader:
             end = self.end_of_statement(self.i)
             self.add("type", begin, end, name=after, modifiers=shown)
         elif word == "function":
-            self.i += 1 + (after == "*")
+            generator = after == "*"
+            self.i += 1 + generator
             name = None
             if self.i < len(self.tokens) and self.tokens[self.i].kind == "word":
                 name = self.text()
                 self.i += 1
-            params, kind, body, end = self.callable(modifiers)
+            params, kind, body, end = self.callable(modifiers, None if generator else len(self.out))
             if body or "declare" in modifiers:
                 self.add("function", begin, end, name=name, modifiers=shown, params=params, type=kind, doc=doc)
         elif word in ("const", "let", "var"):
@@ -360,7 +370,10 @@ class _Reader:
                 named = k - 1
                 k += k < y and self.tokens[k].text == "!"
                 equals = self.equals(k, y)
-                kind = self.slice(k + 1, equals - 1) if k < y and self.tokens[k].text == ":" else self.guess(equals + 1, y, word == "const") if equals < y else "any"
+                noted = k < y and self.tokens[k].text == ":"
+                kind = self.slice(k + 1, equals - 1) if noted else self.guess(equals + 1, y, word == "const") if equals < y else "any"
+                if not noted and equals < y:
+                    self.pending.append({"ord": len(self.out), "init": (equals + 1, y), "constant": word == "const"})
                 self.add("variable", x, y - 1, name=self.slice(x, named), modifiers=shown, head=word, type=kind, init=self.slice(equals + 1, y - 1) if equals < y else None, doc=doc)
         elif modifiers[:1] == ["export"] or word == "export":
             default = "default" in modifiers or after in ("=", "default")
@@ -420,6 +433,7 @@ class _Reader:
         if self.text() == "{":  # a static block
             self.i = self.closing(self.i) + 1
             return
+        generator = self.text() == "*"
         accessor = self.text() in ("get", "set") and self.text(1) not in ("(", ":", "=", "?", ";", "!", "<", "}")
         self.i += accessor or self.text() == "*"
         key = self.i
@@ -429,14 +443,17 @@ class _Reader:
         optional = self.text() in ("?", "!")
         self.i += optional
         if self.text() in ("(", "<"):
-            params, kind, body, end = self.callable(modifiers)
+            params, kind, body, end = self.callable(modifiers, None if generator or accessor or name == "constructor" else len(self.out))
             if not accessor and (body or "abstract" in modifiers or "declare" in modifiers):
                 self.add("constructor" if name == "constructor" else "method", begin, end, parent=parent, name=name, modifiers=" ".join(modifiers), params=params, type=kind, doc=doc)
         else:
             end = self.end_of_statement(self.i, stop)
             last = end + (self.tokens[end].text != ";")
             equals = self.equals(self.i, last)
-            kind = self.slice(self.i + 1, equals - 1) if self.text() == ":" else self.guess(equals + 1, last, "readonly" in modifiers) if equals < last else "any"
+            noted = self.text() == ":"
+            kind = self.slice(self.i + 1, equals - 1) if noted else self.guess(equals + 1, last, "readonly" in modifiers) if equals < last else "any"
+            if not noted and equals < last:
+                self.pending.append({"ord": len(self.out), "init": (equals + 1, last), "constant": "readonly" in modifiers})
             if self.tokens[key].text != "[" or equals < last:  # else an index signature
                 self.add("property", begin, end, parent=parent, name=name, modifiers=" ".join(modifiers), type=kind, doc=doc)
         self.i = max(self.i, end + 1)
