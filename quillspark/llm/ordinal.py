@@ -57,7 +57,7 @@ def features(text: str, seen: dict[bytes, int] | None = None) -> np.ndarray:
     mask = (1 << BITS) - 1
     if seen is None:
         seen = {}
-    if len(seen) > 400_000:
+    if len(seen) > 100_000:
         seen.clear()
     for w in distinct:
         k = seen.get(w)
