@@ -10,7 +10,8 @@ is then a number of documents for each source and size, and which ones is settle
 
 What meets in one task is a source's table of sizes and counts: k distinct sizes need k * (k + 1) / 2 words, so the
 table grows with the square root of the source at most. Documents are never ranked by the group: a hash bucket's
-count says whether it is taken whole, and only the one bucket on the border of each size is ranked.
+count says how many of it are taken, rows meet that number by a join, and are ranked within their bucket of a size,
+so no window holds more. Rows go through that join whole, with their texts where ``docs`` has them.
 
 Null sources are one source, the last. Documents without words take 0 words; they are taken in the proportion of the
 others. A very long text counts by its words alone. Repeated rows (same doc_id and text) are interchangeable, and rows
