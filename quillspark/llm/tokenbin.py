@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import WordHasher, lean, new_path, parts, table
 
 BLOCK_IDS = 1 << 16
-#: Chunks, and parts of chunks, whose ids a worker remembers; then it forgets all and starts anew.
+#: Chunks, and parts of chunks, that a generation of a worker's memory holds. There are two generations: a full one is
+#: kept until the next is full, and what is asked for meanwhile goes over, so that only what is rare is worked out again.
 CACHE_CHUNKS, CACHE_PARTS = 400_000, 200_000
 
 BLOCKS = "part int, block int, first bigint, n_ids bigint, bits int, doc_ids array<bigint>, lens array<bigint>, payload binary"
@@ -89,6 +90,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.divider, self.divider_id = divider, self.tokenizer.token_to_id(divider)
         self.parts: dict[bytes, bytes] = {b"": b""}
+        self.old_parts: dict[bytes, bytes] = {}
         # the characters that stand for bytes in the vocabulary: themselves if they can be seen, else from 256 on
         seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
@@ -118,10 +120,17 @@ class ChunkEncoder:
 
     def ids_of(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        parts, marks = self.parts, self.MARKS
-        if len(parts) > CACHE_PARTS:
-            parts.clear()
-            parts[b""] = b""
+        if len(self.parts) > CACHE_PARTS:
+            self.old_parts, self.parts = self.parts, {b"": b""}
+        parts, old, marks = self.parts, self.old_parts, self.MARKS
+
+        def unknown(part: bytes) -> bool:
+            if part in parts:
+                return False
+            if (ids := old.get(part)) is not None:
+                parts[part] = ids
+            return ids is None
+
         cut: list[tuple[bytes, bytes]] = []
         missing: list[bytes] = []
         for c in chunks:
@@ -129,19 +138,19 @@ class ChunkEncoder:
             tail = c[len(core) :]
             if core.isalpha() and self.plain:  # A to Z only
                 core = core.lower()
-                if core not in parts:
+                if unknown(core):
                     parts[core] = self._merged(core.decode())
             elif self.split and core and (letters := core.decode()).isalpha():
-                if core not in parts:
+                if unknown(core):
                     if max(letters) < "\u0250" and "\u0130" not in letters:  # composed, and lower case letter by letter
                         parts[core] = self._merged(letters.lower().encode().decode("latin-1").translate(self.shown))
                     else:
                         missing.append(core)
             else:
                 core, tail = c, b""
-                if core not in parts:
+                if unknown(core):
                     missing.append(core)
-            if tail not in parts:
+            if unknown(tail):
                 missing.append(tail)
             cut.append((core, tail))
         if missing:
@@ -149,6 +158,12 @@ class ChunkEncoder:
         return [parts[core] + parts[tail] for core, tail in cut]
 
 
+def _places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after another."""
+    upto = np.cumsum(lens)
+    return np.repeat(starts - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class ChunkTable:
     """Numpy hash table from chunks' 64-bit hashes to their bytes and their ids, which lie in a pool each."""
 
@@ -186,25 +201,34 @@ class ChunkTable:
     def store(self, chunks: list[bytes], ids: list[bytes]) -> np.ndarray:
         """Slots of chunks that are put into the pools, under no hash as yet."""
         pool, raw = np.frombuffer(b"".join(ids), "<u4"), np.frombuffer(b"".join(chunks), np.uint8)
-        lens, sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.fromiter(map(len, chunks), np.int64, len(chunks))
+        return self._store(pool, np.fromiter(map(len, ids), np.int64, len(ids)) // 4, raw, np.fromiter(map(len, chunks), np.int64, len(chunks)))
+
+    def _store(self, pool: np.ndarray, lens: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         twice = lambda x: np.concatenate([x, np.zeros_like(x)])
         while self.used + len(pool) > len(self.pool):
             self.pool = twice(self.pool)
         while self.written + len(raw) > len(self.bytes):
             self.bytes = twice(self.bytes)
-        while self.n + len(ids) > len(self.starts):
+        while self.n + len(lens) > len(self.starts):
             self.starts, self.lens, self.begins, self.sizes = map(twice, (self.starts, self.lens, self.begins, self.sizes))
         self.pool[self.used : self.used + len(pool)] = pool
         self.bytes[self.written : self.written + len(raw)] = raw
-        slots = np.arange(self.n, self.n + len(ids))
+        slots = np.arange(self.n, self.n + len(lens))
         self.starts[slots], self.lens[slots] = self.used + np.cumsum(lens) - lens, lens
         self.begins[slots], self.sizes[slots] = self.written + np.cumsum(sizes) - sizes, sizes
-        self.n, self.used, self.written = self.n + len(ids), self.used + len(pool), self.written + len(raw)
+        self.n, self.used, self.written = self.n + len(lens), self.used + len(pool), self.written + len(raw)
         return slots
 
     def add(self, hashes: np.ndarray, chunks: list[bytes], ids: list[bytes]) -> None:
         """Add chunks under their hashes, each of which comes once and is not there yet."""
-        slots = self.store(chunks, ids)
+        self._enter(hashes, self.store(chunks, ids))
+
+    def take_over(self, hashes: np.ndarray, other: ChunkTable, slots: np.ndarray) -> None:
+        """As ``add``, of the chunks in another table's slots."""
+        lens, sizes = other.lens[slots], other.sizes[slots]
+        self._enter(hashes, self._store(other.pool[_places(other.starts[slots], lens)], lens, other.bytes[_places(other.begins[slots], sizes)], sizes))
+
+    def _enter(self, hashes: np.ndarray, slots: np.ndarray) -> None:
         if 2 * self.n > len(self.keys):
             size, full = len(self.keys), self.keys != 0
             while 2 * self.n > size:
@@ -235,6 +259,7 @@ class Encoder:
 
     def __init__(self, file: str):
         self.chunks, self.table, self.hasher = ChunkEncoder(file), ChunkTable(), WordHasher()
+        self.old = ChunkTable()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts, and how many each text has. Null: none."""
@@ -250,9 +275,15 @@ class Encoder:
         hashes[hashes == 0] = 1
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if self.table.n + len(distinct) > CACHE_CHUNKS:
-            self.table = ChunkTable()
+            self.old, self.table = self.table, ChunkTable()
         slots = self.table.find(distinct)
         new = np.flatnonzero(slots < 0)
+        if len(new) and self.old.n:
+            before = self.old.find(distinct[new])
+            kept = before >= 0
+            self.table.take_over(distinct[new[kept]], self.old, before[kept])
+            new = new[~kept]
+            slots = self.table.find(distinct)
         if len(new):
             raw = self._raw(data, begins[first[new]], ends[first[new]])
             self.table.add(distinct[new], raw, self.chunks.ids_of(raw))

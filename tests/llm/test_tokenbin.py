@@ -132,3 +132,19 @@ def test_hashes_by_windows(found, size):
             assert len(cut) == len(edges)
     assert len(set(held.values())) == len(held)
     assert set(held) == {w for x in found for w in x.encode().split()}
+
+
+def test_common_chunks_outlive_a_full_memory(monkeypatch):
+    """What comes again and again is worked out once, however many rare chunks come between, and all ids are right."""
+    monkeypatch.setattr(tokenbin, "CACHE_CHUNKS", 60)
+    monkeypatch.setattr(tokenbin, "CACHE_PARTS", 60)
+    enc = Encoder(FILE)
+    asked, whole = [], enc.chunks.ids_of
+    enc.chunks.ids_of = lambda chunks: (asked.extend(chunks), whole(chunks))[1]
+    for k in range(40):
+        found = [f"the common, words été {'x' * 70} of all texts", " ".join(f"rare{k}x{j}" for j in range(20)), None]
+        ids, n = enc.encode(pa.array(found))
+        want = [enc.chunks.tokenizer.encode(x or "", add_special_tokens=False).ids for x in found]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert asked.count(b"common,") == 1 and len(asked) == 40 * 20 + 8
+    assert enc.table.n <= 90 and len(enc.chunks.parts) <= 90
