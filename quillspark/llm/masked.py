@@ -15,7 +15,7 @@ task as (row, word, times) and meet their costs in a join, which gives the same
 The network starts at the words' plain frequencies and is trained by numpy in ``PASSES`` passes over all documents,
 each in ``ROUNDS`` rounds: a document's hash says in which round of a pass it is, and in which *shard* of the round,
 each of about ``SHARD`` tokens. A shard is a descent from the round's common weights over its documents in the order
-of their hashes; Spark averages the shards' weights by their tokens, summed in the order of the shards. So the model
+of their hashes, ``CHUNK`` tokens at a time, whose runs of ``RUN`` tokens are dealt to the steps at random; Spark averages the shards' weights by their tokens, summed in the order of the shards. So the model
 depends on the documents alone and not on how they are partitioned, and a lost task is done again alike. The driver
 sees the averages: as many numbers as the network has.
 
@@ -28,8 +28,9 @@ not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +48,15 @@ WIDTH, HIDDEN = 12, 32
 PASSES, ROUNDS = 2, 4
 SHARD = 1 << 19
 BATCH, CHUNK = 2048, 1 << 15
+RUN, TILE = 32, 128
 RATE = 0.05
 #: Words of classes whose costs are broadcast, 12 bytes each.
 HEAD = 1 << 20
 #: Distinct words that a task sums up before it hands them on.
 HELD = 1 << 19
 UNIT = 1_000_000
+#: Where a token's neighbours are, from the first of its window on.
+SIDES = [*range(REACH), *range(REACH + 1, 2 * REACH + 1)]
 
 
 @dataclass
@@ -63,6 +67,7 @@ class Network:
     outer: list[np.ndarray]  # for each digit, from the hidden units to its values
     bias: list[np.ndarray]  # for each digit, a row for each way to have read those before it
     gate: list[np.ndarray]  # for the second and third digit, how those before it weigh the hidden units
+    room: Room = field(default_factory=lambda: Room(), repr=False, compare=False)
 
     @classmethod
     def new(cls, frequencies: np.ndarray | None = None, seed: int = 17) -> Network:
@@ -96,73 +101,178 @@ class Network:
             at += x.size
         return cls.of(out)
 
-    def logits(self, around: np.ndarray, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Inputs, hidden units, these as the digits before each weigh them, and the logits of each digit, which exp() can take."""
-        x = self.embed[around].reshape(len(around), -1)
-        h = np.tanh(x @ self.inner + self.inner_bias)
-        weighed = [h, h * self.gate[0][before[1]], h * self.gate[1][before[2]]]
-        out = []
-        bound = self._bound()
-        for g, outer, bias, known in zip(weighed, self.outer, self.bias, before):
-            z = g @ outer
-            z += bias[known]
-            if bound > 80:
-                np.minimum(z, 80, out=z)
-            out.append(z)
-        return x, h, weighed, out
-
-    def _bound(self) -> float:
-        """What no logit exceeds, as hidden units are at most 1."""
-        weights = [np.ones(len(self.inner_bias)), *(np.abs(g).max(axis=0) for g in self.gate)]
-        return float(max((w @ np.abs(o)).max() + np.abs(b).max() for w, o, b in zip(weights, self.outer, self.bias)))
+    def inputs(self, around: np.ndarray) -> np.ndarray:
+        x = self.room("x", self.inner.dtype, *around.shape, WIDTH)
+        return self.embed.take(around, axis=0, mode="clip", out=x).reshape(len(around), -1)
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        h = self.room("h", x.dtype, len(x), HIDDEN)
+        np.matmul(tiles(x), self.inner, out=tiles(h))
+        h += self.inner_bias
+        return np.tanh(h, out=h)
+
+    def logits(self, k: int, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """How the digits before the one numbered ``k`` weigh the hidden units, these so weighed, and the digit's logits, which exp() can take."""
+        n, weights, weighed = len(h), None, h
+        if k:
+            weights, weighed = self.room("weights", h.dtype, n, HIDDEN), self.room("weighed", h.dtype, n, HIDDEN)
+            self.gate[k - 1].take(before, axis=0, mode="clip", out=weights)
+            np.multiply(h, weights, out=weighed)
+        z, known = self.room("z", h.dtype, n, BASE), self.room("known", h.dtype, n, BASE)
+        np.matmul(tiles(weighed), self.outer[k], out=tiles(z))
+        z += self.bias[k].take(before, axis=0, mode="clip", out=known)
+        if z.max() > 80:
+            np.minimum(z, 80, out=z)
+        return weights, weighed, z
 
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        out, ones = np.empty(len(token), np.float64), np.ones(BASE, self.inner.dtype)
-        for k in range(0, len(token), BATCH):
-            digits, before = digits_of(token[k : k + BATCH])
-            *_, logits = self.logits(around[k : k + BATCH], before)
-            row = np.arange(len(before[0]))
-            own = sum(z[row, d] for z, d in zip(logits, digits))
-            out[k : k + BATCH] = own - sum(np.log(np.exp(z, out=z) @ ones) for z in logits)
+        out, ones = np.zeros(len(token), np.float64), np.ones(BASE, self.inner.dtype)
+        for a in range(0, len(token), BATCH):
+            own, (digits, before) = slice(a, a + BATCH), digits_of(token[a : a + BATCH])
+            h = self.hidden(self.inputs(around[own]))
+            row = np.arange(0, len(h) * BASE, BASE)
+            for k in range(3):
+                *_, z = self.logits(k, h, before[k])
+                out[own] += z.take(row + digits[k])
+                out[own] -= np.log(np.exp(z, out=z) @ ones)
         return out
 
     def gradients(self, around: np.ndarray, token: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
         """Of the sum of the negative logarithms: for embed, the gates and the later biases (rows, their gradients), and those of the other arrays. Tokens ascend."""
+        x = self.inputs(around)
+        h = self.hidden(x)
+        dh, some, whole = self.read_off(h, token, len(token))
+        dh *= 1 - h * h
+        return [by_row(around.ravel(), (dh @ self.inner.T).reshape(-1, WIDTH)), *some], [crossed(x, dh), dh.sum(axis=0), *whole]
+
+    def read_off(self, h: np.ndarray, token: np.ndarray, count: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """The gradients for the hidden units; for the gates and the later biases (rows, their gradients); for outer and the first bias. Tokens ascend; those from ``count`` on don't count."""
+        n, kind = len(token), h.dtype
         digits, before = digits_of(token)
-        x, h, weighed, logits = self.logits(around, before)
-        row, ones = np.arange(len(token)), np.ones(BASE, self.inner.dtype)
-        for z, d in zip(logits, digits):
+        row, ones, value = np.arange(0, n * BASE, BASE), np.ones(n, kind), np.ones(BASE, kind)
+        dh = self.room("dh", kind, n, HIDDEN)
+        gates, biases, outer = [], [], []
+        for k in range(3):  # one after another, as a core's cache holds what one needs
+            weights, weighed, z = self.logits(k, h, before[k])
             np.exp(z, out=z)
-            z *= (1 / (z @ ones))[:, None]
-            z[row, d] -= 1
-        back = [z @ outer.T for z, outer in zip(logits, self.outer)]
-        dh = back[0].copy()
-        for g, b, known in zip(self.gate, back[1:], before[1:]):
-            dh += b * g[known]
-        dh *= 1 - h * h
-        dx = (dh @ self.inner.T).reshape(-1, WIDTH)
-        slots = around.ravel().astype(np.uint16)  # sorted by their digits, in one go
-        order = np.argsort(slots, kind="stable")
-        some = [by_row(slots[order], dx[order]), *(by_row(known, h * b) for b, known in zip(back[1:], before[1:])), *(by_row(known, z) for z, known in zip(logits[1:], before[1:]))]
-        return some, [x.T @ dh, dh.sum(axis=0), *(g.T @ z for g, z in zip(weighed, logits)), (ones[:1].repeat(len(token)) @ logits[0])[None, :]]
+            z *= np.reciprocal(z @ value)[:, None]
+            z.reshape(-1)[row + digits[k]] -= 1
+            z[count:] = 0
+            outer.append(crossed(weighed, z))
+            b = weighed if k else dh  # in the place of what is needed no longer
+            np.matmul(tiles(z), np.ascontiguousarray(self.outer[k].T), out=tiles(b))
+            if k:
+                weights *= b
+                dh += weights
+                b *= h
+                first = firsts(before[k])
+                rows = before[k][first]
+                gates.append((rows, summed(b, first)))
+                biases.append((rows, summed(z, first)))
+            else:
+                bias = (ones @ z)[None, :]
+        return dh, [*gates, *biases], [*outer, bias]
+
+    def run_gradients(self, spots: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """The same for all tokens of the runs ``spots``, of which the ``REACH`` at either end are only read.
+
+        Neighbours share most of their windows, so a run's gradients of embeddings are summed by place first.
+        """
+        kind, (runs, length) = self.inner.dtype, spots.shape
+        n = length - 2 * REACH
+        around = np.stack([spots[:, d : d + n] for d in SIDES], axis=-1).reshape(runs * n, -1)
+        x = self.inputs(around)
+        full = self.hidden(x)
+        token = spots[:, REACH:-REACH].ravel()
+        at = np.argsort(token, kind="stable")
+        token = token[at].astype(np.int64)
+        count = int(np.searchsorted(token, EDGE))
+        some_more = min(len(token), -(-count // TILE) * TILE)  # so that tiles come out even
+        at = at[:some_more]
+        h = full.take(at, axis=0, mode="clip", out=self.room("sorted", kind, some_more, HIDDEN))
+        dh, some, whole = self.read_off(h, np.minimum(token[:some_more], VOCABULARY - 1), count)
+        back = self.room("weights", kind, *full.shape)
+        back[:] = 0
+        put(back, at, dh)
+        full *= full
+        back *= np.subtract(1, full, out=full)
+        dread = self.room("dread", kind, runs, length, WIDTH)
+        dread[:] = 0
+        each, part = self.inner.reshape(2 * REACH, 1, WIDTH, HIDDEN).swapaxes(2, 3), self.room("part", kind, 2 * REACH, runs * n, WIDTH)
+        by_tile = tiles(back)
+        np.matmul(by_tile, np.ascontiguousarray(each), out=part.reshape(2 * REACH, *by_tile.shape[:2], WIDTH))
+        for p, d in zip(part.reshape(2 * REACH, runs, -1), SIDES):
+            to = dread.reshape(runs, -1)[:, d * WIDTH : (d + n) * WIDTH]
+            to += p
+        embed = by_row(spots.ravel(), dread.reshape(-1, WIDTH))
+        return [embed, *some], [crossed(x, back), np.ones(len(back), kind) @ back, *whole]
+
+
+class Room:
+    """Arrays that are used again from step to step: to get new ones from the system takes longer than most of what is done with them."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, np.ndarray] = {}
+        self.seen: dict[tuple, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        found = self.seen.get((name, kind, shape))
+        if found is None:
+            size, kept = math.prod(shape), self.kept.get(name)
+            if kept is None or kept.size < size or kept.dtype != kind:
+                kept = self.kept[name] = np.empty(size, kind)
+                self.seen.clear()
+            if len(self.seen) > 1000:
+                self.seen.clear()
+            found = self.seen[name, kind, shape] = kept[:size].reshape(shape)
+        return found
+
+
+def tiles(x: np.ndarray) -> np.ndarray:
+    """Rows in runs of ``TILE``, short enough to be multiplied without being packed first; in one run, if that doesn't come out even."""
+    n = len(x)
+    return x.reshape(n // TILE, TILE, -1) if n and n % TILE == 0 else x[None]
+
+
+def crossed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The transpose of ``x`` times ``y``."""
+    return np.matmul(tiles(x).swapaxes(1, 2), tiles(y)).sum(axis=0)
 
 
 def digits_of(token: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The three digits of each token, and before each digit those that came first, as one number."""
-    ab, c = np.divmod(token, BASE)
-    a, b = np.divmod(ab, BASE)
-    return [a, b, c], [np.zeros_like(a), a, ab]
+    ab = token // BASE
+    a = ab // BASE
+    return [a, ab - a * BASE, token - ab * BASE], [np.zeros_like(a), a, ab]
 
 
 def firsts(values: np.ndarray) -> np.ndarray:
     """Where each new value begins, in sorted values."""
-    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
+def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of ``first`` to the next."""
+    if not len(first):
+        return values[:0].copy()
+    pairs = values.view("F" if values.itemsize == 4 else "D")  # columns are added up two at a time
+    return np.add.reduceat(pairs, first, axis=0).view(values.dtype)
 
 
 def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values; rows are sorted."""
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
     first = firsts(rows)
-    return rows[first], np.add.reduceat(values, first, axis=0)
+    return rows[first].astype(np.int64), summed(values.take(order, axis=0, mode="clip"), first)
+
+
+def put(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Rows into a table, each copied in one piece."""
+    piece = f"V{values.shape[1] * values.itemsize}"
+    to.view(piece)[rows, 0] = values.view(piece)[:, 0]
 
 
 class Descent:
@@ -170,22 +280,61 @@ class Descent:
 
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.steps = net, rate, 0
-        self.rows = [net.embed, *net.gate, *net.bias[1:]]
-        self.whole = [net.inner, net.inner_bias, *net.outer, net.bias[0]]
-        self.row_squares, self.squares = ([np.zeros_like(x) for x in y] for y in (self.rows, self.whole))
-
-    def step(self, around: np.ndarray, token: np.ndarray) -> None:
-        some, whole = self.net.gradients(around, token)
+        self.embed_squares = np.zeros_like(net.embed)
+        self.late, (*net.gate, net.bias[1], net.bias[2]) = together([*net.gate, *net.bias[1:]])
+        self.whole, (net.inner, net.inner_bias, *net.outer, net.bias[0]) = together([net.inner, net.inner_bias, *net.outer, net.bias[0]])
+        self.late_squares, self.squares = np.zeros_like(self.late), np.zeros_like(self.whole)
+        self.late_gradients, self.parts = together([np.zeros_like(x) for x in (*net.gate, *net.bias[1:])])
+
+    def step(self, spots: np.ndarray) -> None:
+        ((rows, g), *some), whole = self.net.run_gradients(spots)
         self.steps += 1
-        for x, v, (rows, g) in zip(self.rows, self.row_squares, some):
-            now = v[rows] + g * g
-            v[rows] = now
-            x[rows] -= self.rate * 2 * g / (np.sqrt(now) + 1e-6)
-        unbiased = 1 - 0.99**self.steps
-        for x, v, g in zip(self.whole, self.squares, whole):
-            v *= 0.99
-            v += 0.01 * g * g
-            x -= self.rate / 4 * g / (np.sqrt(v / unbiased) + 1e-6)
+        now = self.embed_squares.take(rows, axis=0, mode="clip")
+        now += g * g
+        put(self.embed_squares, rows, now)
+        change = self.change(g, now)
+        change += self.net.embed.take(rows, axis=0, mode="clip")
+        put(self.net.embed, rows, change)
+        # the other tables are so small that all of their rows are gone over, most of them for a zero
+        g = self.late_gradients
+        g[:] = 0
+        for part, (rows, of) in zip(self.parts, some):
+            put(part, rows, of)
+        self.late_squares += g * g
+        self.late += self.change(g, self.late_squares.copy())
+        g = np.concatenate([x.ravel() for x in whole])
+        self.squares *= 0.99
+        self.squares += 0.01 * g * g
+        g *= self.rate / 4
+        g /= np.sqrt(self.squares / (1 - 0.99**self.steps)) + 1e-6
+        self.whole -= g
+
+    def change(self, gradients: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """In the place of ``squares``."""
+        np.sqrt(squares, out=squares)
+        squares += 1e-6
+        np.divide(gradients, squares, out=squares)
+        squares *= -2 * self.rate
+        return squares
+
+
+def together(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Copies of arrays in one flat one, and where each of them is there."""
+    flat = np.concatenate([x.ravel() for x in arrays])
+    ends = np.cumsum([x.size for x in arrays])
+    return flat, [flat[b - x.size : b].reshape(x.shape) for x, b in zip(arrays, ends)]
+
+
+def runs_of(tokens: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Tokens of texts that end at ``cut``, with edges between and around the texts, in runs of ``RUN`` with those on either side."""
+    if not len(tokens):
+        return np.zeros((0, RUN + 2 * REACH), np.uint16)
+    ends = np.unique(cut)  # texts without tokens have no edges
+    at = np.arange(len(tokens)) + REACH * np.searchsorted(ends, np.arange(len(tokens)), side="right")
+    size = -(-(len(tokens) + REACH * (len(ends) - 2)) // RUN) * RUN
+    wide = np.full(size + 2 * REACH, EDGE, np.uint16)
+    wide[at] = tokens
+    return np.lib.stride_tricks.sliding_window_view(wide, RUN + 2 * REACH)[::RUN]
 
 
 def windows(tokens: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -380,12 +529,10 @@ def descended(found: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
         for shard, tokens, cut, last in _chunks(frames):
             if way is None:
                 way, seen = Descent(Network.unflat(sent.value), rate), 0
-            around = windows(tokens, cut)
-            order = np.random.default_rng(len(tokens)).permutation(len(tokens))
-            for k in range(0, len(tokens), BATCH):
-                some = order[k : k + BATCH]
-                some = some[np.argsort(tokens[some], kind="stable")]
-                way.step(around[some], tokens[some].astype(np.int64))
+            runs = runs_of(tokens, cut)
+            order = np.random.default_rng(len(tokens)).permutation(len(runs))
+            for k in range(0, len(runs), BATCH // RUN):
+                way.step(runs[order[k : k + BATCH // RUN]])
             seen += len(tokens)
             if last:
                 if seen:

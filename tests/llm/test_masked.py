@@ -53,6 +53,50 @@ def test_windows_stay_in_their_text():
     assert windows(np.array([1, 2, 3, 9], np.int32), np.array([0, 3, 3, 4])).tolist() == [[EDGE, EDGE, 2, 3], [EDGE, 1, 3, EDGE], [1, 2, EDGE, EDGE], [EDGE] * 4]
 
 
+@pytest.mark.parametrize("sizes", [[], [0], [0, 0, 5, 0], [1] * 70, [30, 4, 0, 100, 31, 32, 33]])
+def test_runs_hold_every_token_once_in_its_window(sizes):
+    cut = np.cumsum([0, *sizes])
+    tokens = np.random.default_rng(4).integers(0, VOCABULARY, cut[-1]).astype("<u2")
+    runs = masked.runs_of(tokens, cut)
+    found = [[run[k + d] for d in masked.SIDES] for run in runs.tolist() for k in range(masked.RUN) if run[k + masked.REACH] != EDGE]
+    assert [run[k] for run in runs.tolist() for k in range(masked.REACH, masked.REACH + masked.RUN) if run[k] != EDGE] == tokens.tolist()
+    assert found == windows(tokens, cut).tolist()
+
+
+def test_gradients_of_runs_are_those_of_their_windows():
+    """Also where runs end in edges, and where the tokens don't come out even."""
+    r = np.random.default_rng(6)
+    net = Network.of([x.astype(np.float64) for x in Network.new().arrays()])
+    for sizes in ([3, 0, 1, 200], [500, 12]):
+        cut = np.cumsum([0, *sizes])
+        tokens = r.integers(0, 60, cut[-1]).astype("<u2")
+        order = np.argsort(tokens, kind="stable")
+        want, whole = net.gradients(windows(tokens, cut)[order], tokens[order].astype(np.int64))
+        got, more = net.run_gradients(masked.runs_of(tokens, cut))
+        for table, (rows, g), (rows2, g2) in zip((net.embed, *net.gate, *net.bias[1:]), want, got, strict=True):
+            full, full2 = np.zeros_like(table), np.zeros_like(table)
+            full[rows] = g
+            full2[np.minimum(rows2, len(table) - 1)] += g2
+            assert np.allclose(full, full2)
+        assert all(np.allclose(a, b) for a, b in zip(whole, more, strict=True))
+
+
+def test_a_step_sums_embeddings_by_place(monkeypatch):
+    """Not once for each of a token's windows."""
+    seen, by_row = [], masked.by_row
+    monkeypatch.setattr(masked, "by_row", lambda rows, values: seen.append(len(rows)) or by_row(rows, values))
+    tokens = np.random.default_rng(8).integers(0, VOCABULARY, masked.BATCH).astype("<u2")
+    masked.Descent(Network.new(), masked.RATE).step(masked.runs_of(tokens, np.array([0, masked.BATCH])))
+    assert seen and max(seen) < 1.2 * masked.BATCH
+
+
+def test_logits_beyond_what_exp_takes():
+    net = Network.new()
+    net.bias[0][0, 3] = 200
+    p = net.log_probabilities(np.full((2, 4), EDGE), np.array([3 * BASE**2, 5]))
+    assert np.isfinite(p).all() and p[0] > p[1]
+
+
 def test_chunks_do_not_depend_on_batches(monkeypatch):
     monkeypatch.setattr(masked, "CHUNK", 20)
     r = np.random.default_rng(3)
